@@ -173,12 +173,16 @@ def _sizes(spark: SparkSession, d: str, keep: list[str] = ()) -> DataFrame:
     return cut(with_tokens(_read(spark, d, "documents").withColumn("source", clean_name(F.col("source"))), "doc_id", "text", keep))
 
 
+def _packs(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pack_sizes").select("pack_name", F.col("capacity_tokens").alias("capacity"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack(_sizes(spark, d), "doc_id", "n_tokens", _read(spark, d, "pack_sizes"))
+    return pack(_sizes(spark, d), "doc_id", "n_tokens", _packs(spark, d))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    return fill_report(p7_containers(spark, d), "n_tokens", _read(spark, d, "pack_sizes"))
+    return fill_report(p7_containers(spark, d), "n_tokens", _packs(spark, d))
 
 
 # 8: mixing
