@@ -1,2 +1,341 @@
-def sentences(df, ident, text):
-    raise NotImplementedError
+"""Sentence boundaries in any language and script, with their places.
+
+A text is cut at its line breaks; within a line every mark that may end a sentence is a node of a terminator lattice, and what
+stands on both sides (abbreviations, numbers, quotations and brackets, letter case) decides whether it does. Where a script has no
+spaces, the words beside an uncertain gap come from the best path through a lattice of dictionary words, and their classes, final
+particles before it and opening or continuing words after it, decide. A line's label, bullet or number never ends a sentence.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Abbreviations and words by what they do at a gap, in natural order.
+#: Never end a sentence: titles, and words that point at what follows.
+NEVER = frozenset(
+    "dr mr mrs ms mx prof st sgt capt lt col gen maj rev hon sen rep gov messrs mme mlle mm hr fr herr dra sra srta sr dña lic ing mag dipl "
+    "vs viz i.e e.g cf z.b d.h u.a bzw vgl evtl ggf inkl abb bd av avda blvd p.ex bspw sog ugs "
+    "д-р проф им ул пл просп см напр т.е т.к гр акад κ κα δρ καθ βλ π.χ λ.χ डॉ प्रो श्री पं कु د أ ዶ/ር ดร ศ ผศ รศ นพ พญ".split()
+)
+#: Stand before a number or a name of a place in a text; end a sentence only before a capital.
+POINTING = frozenset(
+    "no nos nr núm num n fig figs sect sec vol vols ver ch chap p pp pg pág págs art seg min max approx aprox env ca circa ed eds tab kap "
+    "рис стр ок гл табл αρ εικ σελ περ кл नं पृ मी ص م ث ቁ ሜ".split()
+)
+#: May end a sentence before a capital although they are abbreviations.
+CLOSING = frozenset("a.m p.m etc usw ff jr inc ltd co corp т.д т.п и.т.д κ.λπ κλπ ktl".split())
+#: Words before a German ordinal number.
+ORDINAL_LEADS = frozenset("im am dem den der des vom zum seit bis ab ins und".split())
+#: Openers of an aside that a sentence may begin with.
+_OPENING = "([{（【〔«“„「『‘¿¡\"'《〈‹”"
+_CLOSERS = "\"'”’»›“‘」』）)]}】〕》〉"
+#: Words of scripts without spaces that continue a sentence after a quotation or dots, that open one, and that close one.
+CONTINUING = frozenset(
+    "的 地 得 等 这 那 之 与 和 或 是 为 作 字样 字 几个 这样 这个 一词 一句 三个字 两个字 四个字 "
+    "と という といった って との とは も の を に が は で へ や から まで など と書かれた と言い と言って と叫び と呼ばれる".split()
+)
+OPENERS = frozenset(
+    "与此同时 的确 这时 那么 这里 那里 这些 那些 和平 为了 为什么 是否 等到 随后 然后 接着 最后 画面中 大约 但是 不过 因此 所以 "
+    "とても とりあえず ところが ときどき とうとう もう もし もっと もちろん のち がんばれ はい はじめに ではなく でも できれば やがて やはり からだ へえ".split()
+)
+FINAL = frozenset("了 吗 呢 吧 啊 呀 です ます でした ました ません だ よ ね か る た い す ครับ ค่ะ คะ นะ ไหม หรือไม่ แล้ว".split())
+_LONGEST = max(map(len, CONTINUING | OPENERS | FINAL))
+
+_BREAK = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
+_LABEL = re.compile(
+    r"[\s﻿​]*(?:(?:\[[^\]]{0,120}\]|[-*•·–—▪◦‣●○■□►]+(?=\s)|\(?\d{1,3}[.)、．）](?!\d)|\(?[^\W\d_][.)](?=\s)|#{1,6}(?=\s)|>+(?=\s)|[①-⑳])[\s﻿]*)*"
+)
+_THAI = "ก-ฺเ-๎"
+_GREEK = "Ͱ-Ͽἀ-῿"
+_MARKS = re.compile(rf"(?:[.!?…。！？｡．।॥۔؟։።፧፨‼⁇⁈⁉‽;]|(?<=[{_GREEK}]);)+")
+_THAI_GAP = re.compile(rf"(?<=[{_THAI}])[ \t\xa0​　]+(?=\S)")
+_PAIRS = {"“": "”", "„": "“”", "”": "“", "«": "»", "»": "«", "‹": "›", '"': '"', "'": "'", "‘": "’", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】", "{": "}"}
+_PAIRED = re.compile(r"[“„”«»‹›\"'‘’「」『』《》〈〉()（）\[\]【】{}]")
+_ROUND = "(（[【{"
+_ALWAYS_OPEN, _ALWAYS_CLOSE = "„«‹「『《〈(（[【{", "»›」』》〉)）]】}"
+_SPEECH = ":：,，،、፦"
+_NUMBER = re.compile(r"[-+]?\d[\d.,٫]*|[٠-٩۰-۹०-९][٠-٩۰-۹०-९.,٫]*")
+
+
+def first_word(text: str, at: int, end: int) -> str:
+    """The first word at ``at`` on the best path through the words of the dictionary: fewest letters left over, then fewest words."""
+    size = min(end - at, 2 * _LONGEST)
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(1e9, 0, 0)] * size  # cost, words, end of the first word
+    for i in range(size):
+        cost, words, head = best[i]
+        for n in range(1, min(_LONGEST, size - i) + 1):
+            word = text[at + i : at + i + n]
+            known = word in CONTINUING or word in OPENERS or word in FINAL
+            if n > 1 and not known:
+                continue
+            step = (cost + (0.0 if known else 1.0), words + 1, head or n)
+            if step[:2] < best[i + n][:2]:
+                best[i + n] = step
+    return text[at : at + best[size][2]]
+
+
+def _spaceless(c: str) -> bool:
+    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0003ffff" or "가" <= c <= "힣"
+
+
+def _asides(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Outermost quotations and brackets of a line that close in it, as (opening, closing) places."""
+    open_: list[tuple[int, str]] = []
+    found: list[tuple[int, int]] = []
+    for m in _PAIRED.finditer(text, start, end):
+        i, c = m.start(), m.group()
+        before, after = text[i - 1] if i > start else " ", text[i + 1] if i + 1 < end else " "
+        may_open = (before.isspace() or before in _OPENING + "-–—/:：") and not after.isspace()
+        may_close = not before.isspace() and not (after.isalnum() and before.isalnum())
+        if c in "'’" and before.isalnum() and after.isalnum():
+            continue
+        if c in _ALWAYS_OPEN:
+            closes = False
+        elif c in _ALWAYS_CLOSE:
+            closes = True
+        elif c in "\"'":
+            closes = not may_open and may_close
+            if not closes and not may_open:
+                continue
+        elif may_open != (may_close and (after.isspace() or not after.isalnum())):
+            closes = not may_open
+        else:
+            closes = c in "”’"
+        if closes:
+            for k in range(len(open_) - 1, -1, -1):
+                if c in _PAIRS[open_[k][1]]:
+                    found.append((open_[k][0], i))
+                    del open_[k:]
+                    break
+        elif c in _PAIRS:
+            open_.append((i, c))
+    found.sort()
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        if not out or a > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _token(text: str, at: int, low: int) -> tuple[str, int]:
+    """The word that ends at ``at`` without opening marks, and where it starts with them."""
+    i = at
+    spaceless = at > low and _spaceless(text[at - 1])
+    while i > low and not text[i - 1].isspace() and text[i - 1] not in "。！？｡．…，、：；」』）》〉" and _spaceless(text[i - 1]) == spaceless:
+        i -= 1
+    return text[i:at].lstrip(_OPENING + "-–—").casefold(), i
+
+
+def _mixed_case(text: str, at: int, end: int) -> bool:
+    """A word such as iCam, which may open a sentence although it is in lower case."""
+    return at + 1 < end and text[at].islower() and text[at + 1].isupper()
+
+
+class _Line:
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.end = text, end
+        self.begin = min(_LABEL.match(text, start, end).end(), end)
+        self.asides = _asides(text, self.begin, end)
+        self.opens = [a for a, _ in self.asides]
+
+    def aside(self, at: int) -> tuple[int, int] | None:
+        k = bisect_right(self.opens, at) - 1
+        return self.asides[k] if k >= 0 and self.asides[k][0] < at < self.asides[k][1] else None
+
+    def ends(self) -> Iterator[int]:
+        """Ends of the line's sentences but the last, which is the line's."""
+        text, end, sentence = self.text, self.end, self.begin
+        gaps = [(m.start(), m.end(), True) for m in _MARKS.finditer(text, self.begin, end)]
+        gaps += [(m.start(), m.end(), False) for m in _THAI_GAP.finditer(text, self.begin, end)]
+        done = -1
+        for a, b, mark in sorted(gaps):
+            if a < done:
+                continue
+            stop = self._mark(a, b, sentence) if mark else self._thai(a, b)
+            if stop and stop > sentence and any(c.isalnum() for c in text[sentence:stop]):
+                yield stop
+                done = sentence = stop
+                while sentence < end and text[sentence].isspace():
+                    sentence += 1
+
+    def _thai(self, a: int, b: int) -> int | None:
+        text, after = self.text, self.text[b]
+        if self.aside(a) or after in _CLOSERS + _OPENING and after not in "([（¿¡":
+            return None
+        if number := _NUMBER.match(text, b, self.end):
+            i = number.end()
+            while i < self.end and text[i].isspace():
+                i += 1
+            return a if i > number.end() and i < self.end and text[i].isalpha() and text[i].isascii() else None
+        return a
+
+    def _mark(self, a: int, b: int, sentence: int) -> int | None:
+        text, end = self.text, self.end
+        marks, inside = text[a:b], self.aside(a)
+        stop = b
+        while stop < end:  # closing marks belong to the sentence; French ones stand behind a space
+            c = text[stop]
+            if c in _CLOSERS and (inside is None and c not in "\"'“‘”" or inside is not None and stop <= inside[1] or c in ")）]】」』"):
+                stop += 1
+            elif c in " \xa0 " and stop + 1 < end and text[stop + 1] in "»›" and inside and stop + 1 <= inside[1]:
+                stop += 2
+            else:
+                break
+        if inside and stop <= inside[1]:
+            return None  # further text of the same aside follows
+        n = stop
+        while n < end and text[n].isspace():
+            n += 1
+        if n >= end:
+            return None  # the line's end
+        nxt, spaced = text[n], n > stop
+        if nxt in ",，、;；،:：" or nxt in ")）]】":
+            return None
+        if inside:
+            return stop if self._after_aside(inside, n, spaced, sentence) else None
+        head = n
+        while head < end and text[head] in _OPENING + "-–— ":
+            head += 1
+        first = text[head] if head < end else nxt
+        lower = first.islower() and not _mixed_case(text, head, end)
+        if marks == ".":
+            return stop if self._dot(a, n, spaced, first, lower, stop > b, sentence) else None
+        if marks == "．":
+            return None if a and text[a - 1].isdigit() and nxt.isdigit() and not spaced else stop
+        if "…" in marks or ".." in marks:
+            if lower:
+                return None
+            if first.isdigit() and not re.search(r"\s", text[sentence:a].strip()):
+                return None  # one word and dots before a number: a pause
+            if _spaceless(first) and not spaced and a and _spaceless(text[a - 1]):
+                return None if first_word(text, n, end) in CONTINUING and text[max(sentence, a - 1) : a] not in FINAL else stop
+            return stop if spaced or not first.isascii() or first.isupper() else None
+        if lower:
+            return None
+        if not spaced and marks.isascii() and first.isascii() and not (first.isupper() or nxt in _OPENING):
+            return None
+        return stop
+
+    def _after_aside(self, inside: tuple[int, int], n: int, spaced: bool, sentence: int) -> bool:
+        """Whether a quotation or bracket that ends with a mark ends the sentence around it."""
+        text = self.text
+        k = inside[0] - 1
+        while k >= sentence and text[k].isspace():
+            k -= 1
+        opened = k < sentence
+        if text[inside[0]] in _ROUND:
+            return opened
+        head = n
+        while head < self.end and text[head] in _OPENING + "-–— ":
+            head += 1
+        first = text[head] if head < self.end else text[n]
+        if first.islower() and not _mixed_case(text, head, self.end):
+            return False
+        if _spaceless(first) and not spaced:
+            return first_word(text, n, self.end) not in CONTINUING and (opened or text[k] in _SPEECH) and not "가" <= first <= "힣"
+        if opened or text[k] in _SPEECH:
+            return True
+        return first.isupper() or _mixed_case(text, head, self.end)
+
+    def _dot(self, a: int, n: int, spaced: bool, first: str, lower: bool, closed: bool, sentence: int) -> bool:
+        text = self.text
+        before = text[a - 1] if a > self.begin else " "
+        if before.isspace():
+            return spaced and not lower
+        if before in _CLOSERS or closed:
+            return spaced and not lower or (not spaced and (first.isupper() or _spaceless(first)))
+        word, at = _token(text, a, sentence)
+        if not spaced:
+            if first.isdigit() or not first.isalpha():
+                return False
+            if not first.isascii() and not first.isupper() and not first.islower():
+                return before.isalnum() and word not in NEVER and word not in POINTING and "." not in word and (len(word) > 1 or before.isdigit())
+            if not first.isupper() or word in NEVER:
+                return False
+            if word in CLOSING:
+                return True
+            if len(word) == 1 and word.isalpha():
+                return text[sentence:at].rstrip()[-1:] in ("+", "=")
+            follows = text[n + 1] if n + 1 < self.end else " "
+            part = word.rpartition("-")[2]
+            long = len(part) > 1 and part.isalpha() and before.islower() or before.isdigit() and word[:1].isdigit()
+            return long and (follows.islower() or follows in ". '’" or follows.isspace() or bool(re.match(r"[^\W\d_]{2,} \w", text[n : n + 24])))
+        i = at
+        while i > sentence and text[i - 1].isspace():
+            i -= 1
+        previous, _ = _token(text, i, sentence)
+        pair = f"{previous}{word}" if previous.endswith(".") and len(previous) <= 3 and len(word) <= 2 else ""
+        if word in CLOSING or pair in CLOSING:
+            return not lower
+        if word in NEVER or pair in NEVER or lower:
+            return False
+        if word in POINTING:
+            return first.isupper() and (len(word) > 1 or bool(_NUMBER.fullmatch(previous)))
+        if len(word) == 1 and word.isalpha():
+            if _NUMBER.fullmatch(previous):
+                return True  # a unit
+            return previous in ("+", "=", "-", "*", "/")
+        if word.isdigit() and len(word) <= 2 and first.isupper() and previous in ORDINAL_LEADS:
+            return False
+        return True
+
+
+def sentence_ends(text: str | None) -> list[int]:
+    """Code points from the text's start through each sentence's last character; none for null and blank texts."""
+    out: list[int] = []
+    if not text:
+        return out
+    at, carried = 0, False
+    breaks = [(m.start(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]
+    for stop, after in breaks:
+        end = stop
+        while end > at and (text[end - 1].isspace() or text[end - 1] in "﻿​"):
+            end -= 1
+        if end > at and any(c.isalnum() for c in text[at:end]):
+            line = _Line(text, at, end)
+            out.extend(line.ends())
+            if line.begin < end:  # a label alone belongs to the line that follows
+                out.append(end)
+                carried = False
+            else:
+                carried = True
+        at = after
+    if carried:
+        end = len(text.rstrip("﻿​ \t\r\n\v\f\x85  \xa0"))
+        if end and (not out or end > out[-1]):
+            out.append(end)
+    return out
+
+
+def sentences(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """``ident, sentence_no, start_char, end_char, sentence`` for every sentence of every text of ``df``.
+
+    ``end_char`` counts the code points from the text's start through the sentence's last character, ``start_char`` those before its
+    first; blanks between sentences belong to none. Null, empty and blank texts have no rows; a text of punctuation alone has none;
+    repeated rows give their sentences each. Texts of any length are read whole, in the task that holds them; nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, str]] = []
+            for r, t in enumerate(batch["_text"].to_pylist()):
+                begin = 0
+                for k, stop in enumerate(sentence_ends(t)):
+                    while begin < stop and (t[begin].isspace() or t[begin] in "﻿​"):
+                        begin += 1
+                    rows.append((r, k, begin, stop, t[begin:stop]))
+                    begin = stop
+            source, number, starts, ends, parts = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.record_batch({
+                ident: batch[ident].take(pa.array(source, pa.int64())), "sentence_no": pa.array(number, pa.int64()), "start_char": pa.array(starts, pa.int64()),
+                "end_char": pa.array(ends, pa.int64()), "sentence": pa.array(parts, pa.string()),
+            })
+
+    kind = dict(df.dtypes)[ident]
+    return df.select(ident, F.col(text).alias("_text")).mapInArrow(run, f"`{ident}` {kind}, sentence_no long, start_char long, end_char long, sentence string")
