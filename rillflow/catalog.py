@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rillflow.plans.registry import QUERIES, SQL
+
+#: Modules of plans whose queries are offered.
+MODULES = ("grouped", "tokens")
+for _name in MODULES:
+    importlib.import_module(f"rillflow.plans.{_name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
