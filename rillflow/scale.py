@@ -59,3 +59,23 @@ def ranked(df: DataFrame, keys: list[str], ident: str, name: str = "rank", shard
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_shard").orderBy(F.xxhash64(F.col(ident), F.lit(1)), F.col(ident)))
     return sharded.withColumn("_local", local - 1).join(starts, [*keys, "_shard"]).withColumn(name, F.col("_start") + F.col("_local")).drop("_shard", "_local", "_start")
+
+
+def parted(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows in ranges of (``by``, ``order``), with the number of their range as ``_part``; ranges follow each other in that order."""
+    return cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, is_parted: bool = False) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row in ``order`` within ``by`` (all rows for an empty ``by``).
+
+    ``order`` should be total, else equal rows follow each other in any order. Ranges are summed first and each is accumulated by
+    itself, so neither the whole table nor a hot group is ordered in one task.
+    """
+    rows = (df if is_parted else parted(df, by, order)).withColumn("_v", value)
+    sums = rows.groupBy(*by, "_part").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = cut(sums.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = attach_small(rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))), starts, [*by, "_part"])
+    return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_in", "_start", *([] if is_parted else ["_part"]))
