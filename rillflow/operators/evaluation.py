@@ -94,7 +94,7 @@ def aggregate_steps(df: DataFrame, name: str, value: str, step: str, weight: str
 def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact tp50, tp95 and tp99 (interpolated), mean, least and greatest; equal values are counted before they are sorted."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    p = counted.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), "_c").alias("_p"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    p = counted.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("_c")).alias("_p"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
     return p.select(*keys, F.col("_p")[0].alias("tp50"), F.col("_p")[1].alias("tp95"), F.col("_p")[2].alias("tp99"), "mean", "least", "greatest")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SHOTS = "array<struct<start:double,end:double>>"
-
 
 def split_long(shots: Column, most: float) -> Column:
     """Shots longer than ``most`` in floor(length / most) + 1 equal parts with bounds of two decimals."""
@@ -18,25 +18,31 @@ def split_long(shots: Column, most: float) -> Column:
     return F.flatten(F.transform(shots, parts))
 
 
-@F.pandas_udf(_SHOTS)
-def _merge(shots: pd.Series, least: pd.Series) -> pd.Series:
-    def one(rows, low: float) -> list[dict]:
-        out: list[dict] = []
-        for s in rows:
-            if out and out[-1]["end"] - out[-1]["start"] < low:
-                out[-1]["end"] = s["end"]
-            else:
-                out.append({"start": s["start"], "end": s["end"]})
-        if len(out) > 1 and out[-1]["end"] - out[-1]["start"] < low:
-            tail = out.pop()
-            out[-1]["end"] = tail["end"]
-        return out
-    return pd.Series([one(r, low) for r, low in zip(shots, least)])
+def _merge(rows, least: float) -> list[tuple[float, float]]:
+    out: list[list[float]] = []
+    for s in rows:
+        if out and out[-1][1] - out[-1][0] < least:
+            out[-1][1] = s["end"]
+        else:
+            out.append([s["start"], s["end"]])
+    if len(out) > 1 and out[-1][1] - out[-1][0] < least:
+        _, end = out.pop()
+        out[-1][1] = end
+    return [(a, b) for a, b in out]
 
 
-def split_and_merge(shots: Column, most: float, least: float) -> Column:
-    """Split, then let a shot under ``least`` take those that follow until it is long enough; a short tail joins the one before.
+def split_and_merge(df: DataFrame, keys: list[str], shots: str, most: float, least: float) -> DataFrame:
+    """``keys, start, end``: shots split, then one under ``least`` takes those that follow until it is long enough; a short tail joins
+    the one before.
 
-    What follows depends on what was merged, so this is an Arrow UDF over whole timelines; an empty timeline stays empty.
+    What follows depends on what was merged, so timelines pass a Python function whole, in Arrow batches; empty ones have no rows.
     """
-    return _merge(split_long(shots, most), F.lit(least))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [(*row[:-1], a, b) for row in part.itertuples(index=False, name=None) for a, b in _merge(row[-1], least)]
+            yield pd.DataFrame(found, columns=[*keys, "start", "end"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", start double, end double"
+    return df.select(*keys, split_long(F.col(shots), most).alias("_s")).mapInPandas(run, schema)

@@ -211,8 +211,8 @@ def shot_pieces(spark: SparkSession, d: str) -> DataFrame:
 def merged_shots(spark: SparkSession, d: str) -> DataFrame:
     """Shots of two to four seconds where the timeline allows it."""
     docs = table(spark, d, "caption_docs").select("video_id", F.unix_millis("captioned_at").alias("at_ms"), F.filter(F.transform("timeline", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), lambda s: s["end"] > s["start"]).alias("shots"))
-    merged = docs.where(F.size("shots") > 0).select("video_id", "at_ms", split_and_merge(F.col("shots"), 4.0, 2.0).alias("merged"))
-    return merged.select("video_id", "at_ms", F.explode("merged").alias("s")).select("video_id", "at_ms", F.round("s.start", 2).alias("start"), F.round("s.end", 2).alias("end"))
+    merged = split_and_merge(docs.where(F.size("shots") > 0), ["video_id", "at_ms"], "shots", 4.0, 2.0)
+    return merged.select("video_id", "at_ms", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
 @query()
