@@ -37,27 +37,26 @@ def cap_contributors(rows: DataFrame, contributor: str, quality: str, ident: str
         raise ValueError("give either cap or share")
     if share is not None:
         cap = int(rows.count() * share + 1e-9)
-    q = F.when(F.isnan(quality), None).otherwise(F.col(quality)).cast("double")
-    binned = rows.withColumn("_q", F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))).withColumn("_q", F.when(q.isNotNull(), F.col("_q")).otherwise(F.lit(-1.0)))
-    binned = binned.withColumn("_bin", F.when(F.col("_q") < 0, F.lit(-1)).otherwise(F.least(F.lit(bins - 1), F.floor(F.col("_q") * bins).cast("int"))))
+    raw = F.col(quality).cast("double")
+    q = F.when(F.isnan(raw), None).otherwise(raw)
+    level = F.when(q.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))).otherwise(F.lit(-1.0))
+    place = F.when(F.col("__q") < 0, F.lit(-1)).otherwise(F.least(F.lit(bins - 1), F.floor(F.col("__q") * bins).cast("int")))
+    keyed = rows.withColumn("__who", F.col(contributor)).withColumn("__q", level).withColumn("__bin", place)
     names = F.min(name) if name else F.lit(None).cast("string")
-    histogram = binned.where(F.col(contributor).isNotNull()).groupBy(contributor, "_bin").agg(F.count(F.lit(1)).alias("n"), names.alias("name"))
-    by = Window.partitionBy(contributor)
-    better = F.coalesce(F.sum("n").over(by.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    histogram = keyed.where(F.col("__who").isNotNull()).groupBy("__who", "__bin").agg(F.count(F.lit(1)).alias("n"), names.alias("name"))
+    better = F.coalesce(F.sum("n").over(Window.partitionBy("__who").orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     reached = histogram.withColumn("better", better)
-    report = reached.groupBy(F.col(contributor).alias("contributor")).agg(F.min("name").alias("name"), F.sum("n").alias("total")).withColumn("kept", F.least("total", F.lit(cap))).withColumn("lost", F.col("total") - F.col("kept"))
+    report = reached.groupBy(F.col("__who").alias("contributor")).agg(F.min("name").alias("name"), F.sum("n").alias("total")).withColumn("kept", F.least("total", F.lit(cap))).withColumn("lost", F.col("total") - F.col("kept"))
     # of a contributor beyond its cap, the bin in which the cap is reached and the places left in it
-    over = cut(reached.where((F.col("better") <= cap) & (F.col("better") + F.col("n") > cap)).select(F.col(contributor).alias("_who"), F.col("_bin").alias("_cut"), (cap - F.col("better")).alias("_left")))
-    keyed = binned.withColumnRenamed(contributor, "_who")
+    over = cut(reached.where((F.col("better") <= cap) & (F.col("better") + F.col("n") > cap)).select("__who", F.col("__bin").alias("__cut"), (cap - F.col("better")).alias("__left")))
     if over.count() <= BROADCAST_ROWS:
-        judged = keyed.join(F.broadcast(over), "_who", "left")
+        judged = keyed.join(F.broadcast(over), "__who", "left")
     else:
-        judged = salted_join(keyed, over, ["_who"], F.col(ident))
-    judged = judged.withColumnRenamed("_who", contributor)
-    columns = [F.col(c) for c in rows.columns]
-    sure = judged.where(F.col("_cut").isNull() | (F.col("_bin") > F.col("_cut"))).select(*columns)
-    order = [F.desc("_q"), F.col(ident)]
-    border = judged.where(F.col("_bin") == F.col("_cut")).withColumn("_shard", F.pmod(F.xxhash64(ident), F.lit(64)))
-    first = border.withColumn("_r", F.row_number().over(Window.partitionBy(contributor, "_shard").orderBy(*order))).where(F.col("_r") <= cap)
-    second = first.withColumn("_r", F.row_number().over(Window.partitionBy(contributor).orderBy(*order))).where((F.col("_r") <= cap) & (F.col("_r") <= F.col("_left")))
+        judged = salted_join(keyed, over, ["__who"], F.col(ident))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    sure = judged.where(F.col("__cut").isNull() | (F.col("__bin") > F.col("__cut"))).select(*columns)
+    order = [F.desc("__q"), F.col(ident)]
+    border = judged.where(F.col("__bin") == F.col("__cut")).withColumn("__shard", F.pmod(F.xxhash64(ident), F.lit(64)))
+    first = border.withColumn("__r", F.row_number().over(Window.partitionBy("__who", "__shard").orderBy(*order))).where(F.col("__r") <= cap)
+    second = first.withColumn("__r", F.row_number().over(Window.partitionBy("__who").orderBy(*order))).where((F.col("__r") <= cap) & (F.col("__r") <= F.col("__left")))
     return Capped(report, sure.unionByName(second.select(*columns)))

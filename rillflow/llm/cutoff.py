@@ -21,7 +21,7 @@ def score_cutoffs(rows: DataFrame, source: Column, score: Column, targets: DataF
 
     A cutoff keeps the rows of its source whose score is at or below it; of all cutoffs, keeping none (null cutoff) and all
     included, the one whose share of the source's scored rows is nearest to the target is returned, the smaller at a tie.
-    Rows with a null source or a null or NaN score count nowhere. A source without scored rows has null cutoff and share and 0
+    Rows with a null source or a null, NaN or infinite score count nowhere. A source without scored rows has null cutoff and share and 0
     rows; a null or NaN target likewise keeps its counts with null cutoff and share. Targets beyond 0 and 1 mean 0 and 1.
 
     Each round counts every open source's scores into equal bins between the least and greatest score still in question and zooms
@@ -38,7 +38,7 @@ def score_cutoffs(rows: DataFrame, source: Column, score: Column, targets: DataF
     ])
     if not wanted:
         return spark.createDataFrame([], out)
-    scored = rows.select(source.alias("source"), score.cast("double").alias("score")).where("source is not null and score is not null and not isnan(score)")
+    scored = rows.select(source.alias("source"), score.cast("double").alias("score")).where(F.col("source").isNotNull() & (F.abs("score") < float("inf")))
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
     scored = scored.join(F.broadcast(names), "source")  # at most MAX_TARGETS names
     total = {r["source"]: r for r in scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect()}
@@ -66,8 +66,8 @@ def score_cutoffs(rows: DataFrame, source: Column, score: Column, targets: DataF
         if not state:
             break
         opened = spark.createDataFrame([(s, lo, hi) for s, (lo, hi, _, _) in state.items()], _STATE)
-        width = F.col("hi") - F.col("lo")
-        place = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("lo")) / width * bins).cast("int"))
+        half = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1e300, 0.5).otherwise(1.0)  # so that no difference overflows
+        place = F.least(F.lit(bins - 1), F.floor((F.col("score") * half - F.col("lo") * half) / (F.col("hi") * half - F.col("lo") * half) * bins).cast("int"))
         counts: dict[str, list] = {}
         histogram = scored.join(F.broadcast(opened), "source").where("score between lo and hi").groupBy("source", place.alias("bin"))
         for r in histogram.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect():

@@ -75,9 +75,9 @@ class Videos:
 
     def attach(self, df: DataFrame, stored: Column, out: str = "video") -> DataFrame:
         """``df`` with the video of each stored name; null and blank names have none."""
-        named = df.withColumn("_name", spelled(stored))
-        small = self.special.select(F.col("name").alias("_name"), F.col("video").alias("_video"))
-        return attach_small(named, small, ["_name"], rows=self.rows).withColumn(out, F.coalesce("_video", "_name")).drop("_name", "_video")
+        named = df.withColumn("__name", spelled(stored))
+        small = self.special.select(F.col("name").alias("__name"), F.col("video").alias("__video"))
+        return attach_small(named, small, ["__name"], rows=self.rows).withColumn(out, F.coalesce("__video", "__name")).drop("__name", "__video")
 
 
 def find_videos(names: DataFrame, files: DataFrame) -> Videos:

@@ -264,10 +264,10 @@ def near_links(rows: DataFrame, threshold: float = 0.75, errors: int = 1, cross:
     """``kind, row_id_a, row_id_b`` over ``rows`` (``ident, video, side, text``): kind 0 binds a copy b to the representative a of
     its class of equal bags, kind 1 is a pair of representatives (the smaller first) whose similarity is ``threshold`` or more.
 
-    With ``cross`` a class is of one ``side`` and only pairs of different sides count. Rows with a null video or text have no links;
+    With ``cross`` a class is of one ``side`` and only pairs of different sides count; else ``side`` isn't looked at. Rows with a null video or text have no links;
     two messages without words are equal. Repeated rows are copies. Whole texts are compared.
     """
-    rows = rows.where("video is not null and text is not null and ident is not null").select("ident", "video", F.col("side").cast("int").alias("side"), "text")
+    rows = rows.where("video is not null and text is not null and ident is not null").select("ident", "video", (F.col("side").cast("int") if cross else F.lit(0)).alias("side"), "text")
     keyed = rows.withColumns({"vk": F.xxhash64("video"), "vk2": F.xxhash64(F.lit(1), F.col("video"))})
     sizes = cut(keyed.groupBy("vk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local))
     n_hot = sizes.count()

@@ -92,16 +92,16 @@ def pack(sizes: DataFrame, ident: str, size: str, capacities: DataFrame) -> Data
         return spark.createDataFrame([], result)
     names = sorted(packs)
     listed = F.array(*[F.struct(F.lit(i).alias("pack"), F.lit(packs[n]).cast("long").alias("cap")) for i, n in enumerate(names)])
-    whole = sizes.select(ident, F.col(size).cast("long").alias("_n")).where("_n > 0").withColumn("_p", F.explode(listed)).select(ident, "_n", "_p.*")
+    whole = sizes.select(F.col(ident).alias("_id"), F.col(size).cast("long").alias("_n")).where("_n > 0").withColumn("_p", F.explode(listed)).select("_id", "_n", "_p.*")
     pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.col("cap")))))
-    items = pieces.withColumn("start", F.col("piece") * F.col("cap")).withColumn("n", F.least("cap", F.col("_n") - F.col("start"))).select("pack", ident, "piece", "start", "n")
+    items = pieces.withColumn("start", F.col("piece") * F.col("cap")).withColumn("n", F.least("cap", F.col("_n") - F.col("start"))).select("pack", "_id", "piece", "start", "n")
     histograms: dict[int, dict[int, int]] = {i: {} for i in range(len(names))}
     for r in items.groupBy("pack", "n").agg(F.count(F.lit(1)).alias("c")).collect():
         histograms[r["pack"]][r["n"]] = r["c"]
     rows = [(i, n, start, c, p.base) for i, h in histograms.items() for p in plan(h, packs[names[i]]) for n, c, start in p.parts]
     table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
-    placed = ranked(items.withColumn("item", F.struct(ident, "piece")), ["pack", "n"], "item", "slot").select("pack", ident, "piece", "start", "n", "slot")
+    placed = ranked(items.withColumn("item", F.struct("_id", "piece")), ["pack", "n"], "item", "slot").select("pack", "_id", "piece", "start", "n", "slot")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan_ = shared.value
@@ -118,9 +118,10 @@ def pack(sizes: DataFrame, ident: str, size: str, capacities: DataFrame) -> Data
                 low, high = np.where(right & (high - low > 1), middle, low), np.where(right | (high - low <= 1), high, middle)
             container = plan_[low, 4] + (slot - plan_[low, 2]) // plan_[low, 3]
             columns = {"pack_name": pa.array([names[i] for i in batch["pack"].to_pylist()], pa.string()), "container_id": pa.array(container)}
-            yield pa.record_batch(columns | {c: batch[c] for c in (ident, "piece", "start")} | {size: batch["n"]})
+            yield pa.record_batch(columns | {"_id": batch["_id"], "piece": batch["piece"], "start": batch["start"], "_n": batch["n"]})
 
-    return placed.mapInArrow(place, result)
+    plain = f"pack_name string, container_id long, _id {dict(sizes.dtypes)[ident]}, piece long, start long, _n long"
+    return placed.mapInArrow(place, plain).select("pack_name", "container_id", F.col("_id").alias(ident), "piece", "start", F.col("_n").alias(size))
 
 
 def fill_report(placed: DataFrame, size: str, capacities: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def sample_to_targets(rows: DataFrame, keys: list[str], ident: str, targets: Dat
     """Draw ``fraction`` of all ``rows`` with the shares of ``targets`` (``keys, target_share, min_rows``) among its categories.
 
     A category gets at least ``min_rows``, or all it has; one that can't reach its goal is taken whole and its gap goes to the
-    others in proportion, so the size holds while rows last. Rows in no target category (nulls in a key included) are not drawn. The
+    others in proportion, so the size holds while rows last; floors come first, even where they add up to more than the size. Rows in no target category (nulls in a key included) are not drawn. The
     report has ``keys, target_share, min_rows, wanted`` (the goal before floors), ``available, planned, sampled, gap`` (goal or
     floor less the drawn rows) and ``short`` (fewer rows than the goal). Repeated rows each take part; ``ident`` must be unique.
     Repeated target categories count once, the largest share. No rows: nothing drawn, all goals 0.
@@ -128,7 +128,9 @@ def sample_to_targets(rows: DataFrame, keys: list[str], ident: str, targets: Dat
     goals["cat"] = np.arange(len(goals), dtype=np.int64)
     kinds = targets.select(*keys).schema
     listed = spark.createDataFrame([(*[None if pd.isna(v) else (int(v) if isinstance(v, (np.integer, float)) else v) for v in r[:-1]], int(r[-1])) for r in goals[[*keys, "cat"]].itertuples(index=False)], kinds.add("cat", "long"))
-    tagged = rows.join(F.broadcast(listed), keys, "left")  # at most MAX_CATEGORIES rows
+    narrow = rows.select(F.col(ident).cast("long").alias("ident"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    coded = listed.select("cat", *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    tagged = narrow.join(F.broadcast(coded), [f"k{i}" for i in range(len(keys))], "left")  # at most MAX_CATEGORIES rows
     counted = {r["cat"]: r["n"] for r in tagged.groupBy("cat").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counted.values())
     count = np.array([counted.get(c, 0) for c in goals["cat"]], dtype=float)
@@ -136,7 +138,7 @@ def sample_to_targets(rows: DataFrame, keys: list[str], ident: str, targets: Dat
     size = float(np.floor(fraction * total + 0.5))
     rate = plan_rates(count, share, floor, size)
     planned = spark.createDataFrame([(int(c), float(p), int(max(1, np.ceil(n / SHARD_ROWS)))) for c, p, n in zip(goals["cat"], rate, count)], "cat long, p double, shards int")
-    light = tagged.where("cat is not null").select("cat", F.col(ident).cast("long").alias("ident")).join(F.broadcast(planned), "cat")
+    light = tagged.where("cat is not null").select("cat", "ident").join(F.broadcast(planned), "cat")
     chance = (F.pmod(F.xxhash64(F.lit(seed), "ident"), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("u")
     sure = light.where("p >= 1").select("ident")
     open_ = light.where("p > 0 and p < 1").select("cat", F.pmod(F.xxhash64(F.lit(seed + 1), "ident"), F.col("shards")).alias("shard"), "ident", "p", chance)
@@ -152,7 +154,7 @@ def sample_to_targets(rows: DataFrame, keys: list[str], ident: str, targets: Dat
     done, level = done.unionByName(level.where("p = 1").select("ident")), level.where("p < 1")
     final = level.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda d: _draw(True)(d.drop(columns="one")), kind)  # a row per category
     chosen = cut(sure.unionByName(done).unionByName(final.select("ident")))
-    picked = rows.join(chosen.withColumnRenamed("ident", ident), ident, "left_semi")
+    picked = rows.join(chosen, F.col(ident).cast("long") == chosen["ident"], "left_semi") if ident != "ident" else rows.join(chosen, "ident", "left_semi")
     reached = light.join(chosen, "ident", "left_semi").groupBy("cat").agg(F.count(F.lit(1)).alias("sampled"))
     table = spark.createDataFrame([(int(c), float(s), int(m), float(s * fraction * total), int(n), float(n * p)) for c, s, m, n, p in zip(goals["cat"], share, floor, count, rate)], "cat long, target_share double, min_rows long, wanted double, available long, planned double")
     report = listed.join(F.broadcast(table), "cat").join(reached, "cat", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))

@@ -27,8 +27,9 @@ def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets:
     """
     whole = sum(s for _, s in targets)
     shares = [(k, s / whole) for k, s in targets]
-    own = F.concat(F.lit("\x00row:"), F.col(ident).cast("string"))
-    light = rows.select(F.col(ident), F.coalesce(F.col(group), own).alias(group), F.col(source))
+    own = F.concat(F.lit("\x00row:"), F.coalesce(F.col(ident).cast("string"), F.lit("null")))
+    light = rows.select(F.col(ident).alias("__id"), F.coalesce(F.col(group).cast("string"), own).alias("__group"), F.col(source).cast("string").alias("__source"))
+    names, ident, group, source = (ident, group, source), "__id", "__group", "__source"
     sizes = light.groupBy(group, source).agg(F.count(F.lit(1)).alias("n"))
     groups = cut(sizes.groupBy(group).agg(F.sum("n").alias("n"), F.max_by(F.struct(F.col(source).alias("home")), F.struct("n", F.xxhash64(source))).alias("h")).select(group, "n", "h.home"))
     total = groups.agg(F.sum("n")).first()[0] or 0
@@ -67,4 +68,5 @@ def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets:
     chosen = cut(chosen)
     decided = rest.join(chosen, rest["home"].eqNullSafe(chosen["home"]) & (rest["_cell"] == chosen["_cell"]), "left").select(group, F.coalesce("_placed", "_chosen").alias("assigned"))
     decided = cut(decided)
-    return attach_small(light, decided, [group]).select(ident, group, source, "assigned")
+    out = attach_small(light, decided, [group])
+    return out.select(*[F.col(c).alias(n) for c, n in zip((ident, group, source), names)], "assigned")
