@@ -17,6 +17,11 @@ MASK_EPS = 1e-8
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value evaluated once per row, also where ``f`` uses it inside a lambda over an array."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -41,8 +46,8 @@ def masked_mean(x: Column, mask: Column) -> Column:
 
 def masked_var(x: Column, mask: Column) -> Column:
     """Variance over the mask with Bessel's correction; null where fewer than two tokens count (the correction is undefined there)."""
-    mean, n = masked_mean(x, mask), mask_size(mask)
-    var = masked_mean(F.transform(x, lambda a: (a - mean) * (a - mean)), mask)
+    n = mask_size(mask)
+    var = let(masked_mean(x, mask), lambda mean: masked_mean(F.transform(x, lambda a: (a - mean) * (a - mean)), mask))
     return F.when(n > 1, var * n / (n - 1))
 
 
@@ -88,8 +93,7 @@ def truncate(x: Column, size: int, side: str) -> Column:
 
 def mask_to_first(x: Column, end: Column) -> Column:
     """1 up to and including the first ``end`` token, 0 after it; all 1 where there is none."""
-    at = F.array_position(x, end)
-    return F.transform(x, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0))
+    return let(F.array_position(x, end), lambda at: F.transform(x, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0)))
 
 
 def positions_to_mask(positions: Column, size: Column) -> Column:
@@ -100,7 +104,7 @@ def positions_to_mask(positions: Column, size: Column) -> Column:
 def place_at_last(score: Column, mask: Column) -> Column:
     """A score put on the last token of the mask, 0 elsewhere; all 0 for an empty mask."""
     last = F.aggregate(F.transform(mask, lambda m, i: F.when(m > 0, i).otherwise(F.lit(-1))), F.lit(-1), lambda a, b: F.greatest(a, b))
-    return F.transform(mask, lambda m, i: F.when(i == last, score).otherwise(F.lit(0.0)))
+    return let(last, lambda at: F.transform(mask, lambda _, i: F.when(i == at, score).otherwise(F.lit(0.0))))
 
 
 def even_indices(n: Column, m: Column) -> Column:

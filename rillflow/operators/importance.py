@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.arrays import clamp, mask_size, masked_max, masked_mean, masked_sum, zip_map
+from rillflow.functions.arrays import clamp, let, mask_size, masked_max, masked_mean, masked_sum, zip_map
 from rillflow.operators.losses import SAFE
 
 TOKEN_OPTIONS = ("token_k1", "token_k2", "token_k3")
@@ -80,7 +80,7 @@ def _each_passes(values: Column, low: float | None, high: float) -> Column:
 
 
 def _all_pass(values: Column, whole: Column) -> Column:
-    return F.transform(values, lambda _: whole)
+    return let(whole, lambda w: F.transform(values, lambda _: w))
 
 
 def raw_weights(log_ratio: Column, mask: Column, level: str) -> Column:
@@ -88,7 +88,7 @@ def raw_weights(log_ratio: Column, mask: Column, level: str) -> Column:
         return F.zip_with(log_ratio, mask, lambda x, m: F.exp(clamp(x, -SAFE, SAFE)) * m)
     if level == "sequence":
         whole = F.exp(clamp(masked_sum(log_ratio, mask), -SAFE, SAFE))
-        return F.transform(mask, lambda m: whole * m)
+        return let(whole, lambda w: F.transform(mask, lambda m: w * m))
     raise ValueError(f"unknown level {level}")
 
 

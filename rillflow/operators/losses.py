@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.arrays import MASK_EPS, array_sum, clamp, mask_size, masked_mean, masked_sum, zip_map
+from rillflow.functions.arrays import MASK_EPS, array_sum, clamp, let, mask_size, masked_mean, masked_sum, zip_map
 
 #: Bound of log ratios before exp.
 SAFE = 20.0
@@ -85,8 +85,7 @@ def token_losses(kind: str, advantage: Column, new: Column, old: Column, **optio
 def gspo(advantage: Column, new: Column, old: Column, mask: Column, low: float, high: float) -> Column:
     """Losses with one ratio per sequence: exp of its mean log ratio, at most e^10."""
     mean = masked_sum(zip_map(lambda n, o: n - o, new, old), mask) / F.greatest(mask_size(mask), F.lit(1.0))
-    ratio = F.exp(clamp(mean, high=10.0))
-    return F.transform(advantage, lambda a: F.greatest(-a * ratio, -a * clamp(ratio, 1 - low, 1 + high)))
+    return let(F.exp(clamp(mean, high=10.0)), lambda ratio: F.transform(advantage, lambda a: F.greatest(-a * ratio, -a * clamp(ratio, 1 - low, 1 + high))))
 
 
 def gmpo(advantage: Column, new: Column, old: Column, mask: Column, low: float, high: float) -> Column:
@@ -136,16 +135,17 @@ def aggregate_loss(df: DataFrame, loss: Column, mask: Column, mode: str, horizon
 
 def entropy(logits: Column) -> Column:
     """Entropy of the distribution that an array of logits stands for."""
-    top = F.array_max(logits)
-    z = array_sum(F.transform(logits, lambda x: F.exp(x - top)))
-    mean = array_sum(F.transform(logits, lambda x: F.exp(x - top) * x)) / z
-    return F.ln(z) + top - mean
+    def with_top(top: Column) -> Column:
+        z = array_sum(F.transform(logits, lambda x: F.exp(x - top)))
+        return F.ln(z) + top - array_sum(F.transform(logits, lambda x: F.exp(x - top) * x)) / z
+    return let(F.array_max(logits), with_top)
 
 
 def sum_pi_squared(logits: Column) -> Column:
-    top = F.array_max(logits)
-    z = array_sum(F.transform(logits, lambda x: F.exp(x - top)))
-    return array_sum(F.transform(logits, lambda x: F.exp(2 * (x - top)))) / (z * z)
+    def with_top(top: Column) -> Column:
+        z = array_sum(F.transform(logits, lambda x: F.exp(x - top)))
+        return array_sum(F.transform(logits, lambda x: F.exp(2 * (x - top)))) / (z * z)
+    return let(F.array_max(logits), with_top)
 
 
 def covariance_tokens(df: DataFrame, ident: str, advantage: str, new: str, mask: str) -> DataFrame:

@@ -42,13 +42,14 @@ class Queue:
         self.consumed += 1
         return self.items.popleft(), None
 
-    def rows(self, queue: int, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for seq, op, item in part.sort_values("seq")[["seq", "op", "item"]].itertuples(index=False):
-            got, pushed = self.step(op, None if pd.isna(item) else int(item))
-            out.append((queue, seq, op, got, pushed, len(self.items), self.produced, self.consumed, self.dropped))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        return frame.astype({"item": "Int64", "dropped_item": "Int64"})
+    def row(self, queue: int, seq: int, op: str, item: float | None) -> tuple:
+        got, pushed = self.step(op, None if pd.isna(item) else int(item))
+        return (queue, seq, op, got, pushed, len(self.items), self.produced, self.consumed, self.dropped)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+    return frame.astype({"item": "Int64", "dropped_item": "Int64"})
 
 
 def queue_stream(log: DataFrame, capacity: int) -> DataFrame:
@@ -57,7 +58,8 @@ def queue_stream(log: DataFrame, capacity: int) -> DataFrame:
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         q = Queue(capacity, state.get[0] if state.exists else None)
-        yield q.rows(key[0], pd.concat(list(parts)))
+        log = pd.concat(list(parts)).sort_values("seq")
+        yield _frame([q.row(key[0], *r) for r in zip(log["seq"].tolist(), log["op"].tolist(), log["item"].tolist())])
         state.update((q.dump(),))
 
     return log.groupBy("queue").applyInPandasWithState(run, OUT, "kept string", "append", "NoTimeout")
@@ -69,10 +71,12 @@ def queue_replay(log: DataFrame, capacity: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, q = None, None
         for batch in batches:
-            for key, part in batch.groupby("queue", sort=False):
+            out = []
+            for key, seq, op, item in zip(*(batch[c].tolist() for c in ("queue", "seq", "op", "item"))):
                 if key != name:
                     name, q = key, Queue(capacity)
-                yield q.rows(int(key), part)
+                out.append(q.row(key, seq, op, item))
+            yield _frame(out)
 
     return log.select("queue", "seq", "op", "item").repartition("queue").sortWithinPartitions("queue", "seq").mapInPandas(run, OUT)
 
