@@ -160,3 +160,17 @@ def top_share(tokens: DataFrame, value: str, share: float, order: list[str]) ->
     k = max(1, int(tokens.count() * share))
     return tokens.orderBy(F.desc(value), *order).limit(k)
 
+
+
+def forward_topk(teacher: Column, student: Column, k: int) -> Column:
+    """Divergence of the teacher from the student over the teacher's ``k`` likeliest tokens (arrays of log probabilities), at least 0."""
+    top = F.slice(F.reverse(F.array_sort(F.zip_with(teacher, student, lambda t, s: F.struct(t.alias("t"), s.alias("s"))))), 1, k)
+    return F.greatest(F.lit(0.0), array_sum(F.transform(top, lambda z: F.exp(z["t"]) * (z["t"] - z["s"]))))
+
+
+def clip_cov_tokens(tokens: DataFrame, ident: str, low: float, high: float, share: float, seed: int) -> DataFrame:
+    """Of the tokens whose covariance lies between the bounds a random ``share`` of all tokens, chosen by hash: those that lose their
+    gradient."""
+    n = int(tokens.count() * share)
+    order = F.sha1(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string"), F.lit("|"), F.col("pos").cast("string")))
+    return tokens.where((F.col("cov") > low) & (F.col("cov") < high)).orderBy(order, ident, "pos").limit(n)

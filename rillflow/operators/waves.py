@@ -61,3 +61,16 @@ def drop_decisions(df: DataFrame, key: str, position: str, p: Column, token: Col
     w = Window.partitionBy(key).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     n = F.sum(trigger.cast("int")).over(w)
     return df.withColumn("dropped", trigger & (n <= cap))
+
+
+def prefix_means(df: DataFrame, key: str, wave: str, ordinal: str, ids: str, cap: int = 4096) -> DataFrame:
+    """``key, lcp_w1, lcp_w2``: mean length of the prefix that each wave's rollouts share with the group's first rollout of wave 1
+    (itself left out), counted up to ``cap``; -1 where there is nothing to compare."""
+    from rillflow.functions.arrays import common_prefix
+
+    first = df.where((F.col(wave) == 1) & (F.size(ids) > 0)).groupBy(key).agg(F.min_by(F.struct(F.col(ordinal).alias("o"), F.col(ids).alias("x")), ordinal).alias("_f"))
+    others = df.where(F.size(ids) > 0).join(first, key).where(F.col(ordinal) != F.col("_f.o"))
+    shared = others.withColumn("_n", common_prefix(F.col(ids), F.col("_f.x"), cap))
+    means = shared.groupBy(key).agg(*[F.avg(F.when(F.col(wave) == w, F.col("_n"))).alias(f"lcp_w{w}") for w in (1, 2)])
+    groups = df.select(key).distinct()
+    return groups.join(means, key, "left").select(key, *[F.coalesce(f"lcp_w{w}", F.lit(-1.0)).alias(f"lcp_w{w}") for w in (1, 2)])
