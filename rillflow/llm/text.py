@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Characters that may stand around a stored name without belonging to it.
 _OUTER = r"[\s ​⁠﻿]+"
-_EXTENSION = r"\.(mp4|webm|mkv|mov|avi|m4v)$"
+_EXTENSION = r"\.(mp4|webm|mkv|mov|avi|m4v)([?#].*)?$"
 
 
 def clean_name(c: Column) -> Column:
@@ -28,7 +28,7 @@ def spelled(c: Column) -> Column:
     plain = F.regexp_replace(c, rf"^{_OUTER}|{_OUTER}$", "")
     plain = F.when(plain.contains("%"), F.coalesce(F.try_url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), plain)).otherwise(plain)
     plain = F.lower(F.regexp_replace(plain, r"\\", "/"))
-    plain = F.regexp_replace(plain, r"^[a-z][a-z0-9+.-]*://", "/")
+    plain = F.regexp_replace(plain, r"^[a-z][a-z0-9+.-]+:/+", "/")
     plain = F.regexp_replace(F.regexp_replace(plain, r"/{2,}", "/"), rf"^\./|{_OUTER}$", "")
     return F.nullif(F.regexp_replace(plain, _EXTENSION, ""), F.lit(""))
 

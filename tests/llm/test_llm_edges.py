@@ -109,7 +109,7 @@ def test_components_against_union_find(spark):
 NAMES = [
     ("lumen_01", "lumen_01"), ("LUMEN_01 ", "lumen_01"), ("file:///pool/proxy_lumen_1f/lumen_01.mp4", "lumen_01"), ("lumen%5F01", "lumen_01"), ("s3://other/deep/er/root/lumen_01.webm", "lumen_01"), ("\ufefflumen_01", "lumen_01"),
     ("/a/b/seq_1/take2.MP4", "seq_1/take2"), ("seq_1/take2", "seq_1/take2"), ("seq%5F1%2Ftake2", "seq_1/take2"), ("seq_2/take2", "seq_2/take2"), ("twin", "lumen_01"), ("far", "lumen_01"), ("zero_a", "zero_a"), ("zero_b", "zero_b"),
-    ("C:\\\\clips\\lumen_01.mp4", "lumen_01"), ("100%", "100%"), ("", None), ("  ", None), (None, None),
+    ("C:\\\\clips\\lumen_01.mp4", "lumen_01"), ("file:/pool/lumen_01.mp4#t=3", "lumen_01"), ("100%", "100%"), ("", None), ("  ", None), (None, None),
 ]
 
 
