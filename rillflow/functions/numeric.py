@@ -60,3 +60,9 @@ def adaptive_coefficient(steps: Column, start: float, target: float, horizon: fl
         error = F.greatest(F.lit(-0.2), F.least(F.lit(0.2), s["kl"] / target - 1))
         return v * (1 + error * s["n"] / horizon)
     return F.aggregate(steps, F.lit(start), one)
+
+
+def adaptive_final(kl: Column, n: Column, start: float, target: float, horizon: float) -> Column:
+    """The coefficient after all steps of a group, as an aggregate: its factors don't depend on it, so their order doesn't matter."""
+    error = F.greatest(F.lit(-0.2), F.least(F.lit(0.2), kl / target - 1))
+    return start * F.exp(F.sum(F.ln(1 + error * n / horizon)))

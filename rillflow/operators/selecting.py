@@ -98,11 +98,20 @@ def resample(df: DataFrame, key: str, weight: Column, n: int, seed: int) -> Data
     return draws.join(spans, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("draw", key)
 
 
-def diverse_pair(df: DataFrame, entity: str, ordinal: str, overlap: Column) -> DataFrame:
-    """``entity, i, j``: of each entity's pairs i < j the one of least overlap, the first at a tie. ``overlap`` reads ``a.*`` and
-    ``b.*``. Entities are meant to be small (candidates of one video); a cap on them belongs before this."""
-    a, b = df.alias("a"), df.alias("b")
+def smallest_of_kinds(df: DataFrame, entity: str, ordinal: str, kinds: str, k: int) -> DataFrame:
+    """The ``k`` smallest ordinals of every set of ``kinds`` of an entity. Rows with one set are alike to any measure of the sets, so a
+    choice of k rows by it, smallest ordinals at a tie, is among these; an entity keeps k rows per set, however many it has."""
+    sets = df.withColumn(kinds, F.array_sort(F.array_distinct(kinds)))
+    w = Window.partitionBy(entity, kinds).orderBy(ordinal)
+    return sets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def diverse_pair(df: DataFrame, entity: str, ordinal: str, kinds: str) -> DataFrame:
+    """``entity, overlap, i, j``: of each entity's pairs i < j the one that shares the fewest kinds, the smallest at a tie."""
+    few = smallest_of_kinds(df, entity, ordinal, kinds, 2)
+    a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col(f"a.{entity}") == F.col(f"b.{entity}")) & (F.col(f"a.{ordinal}") < F.col(f"b.{ordinal}")))
+    overlap = F.size(F.array_intersect(f"a.{kinds}", f"b.{kinds}"))
     scored = pairs.select(F.col(f"a.{entity}").alias(entity), F.struct(overlap.alias("overlap"), F.col(f"a.{ordinal}").alias("i"), F.col(f"b.{ordinal}").alias("j")).alias("s"))
     return scored.groupBy(entity).agg(F.min("s").alias("s")).select(entity, "s.*")
 
@@ -111,4 +120,4 @@ def round_robin(ordinal: Column, shards: int) -> Column:
     return F.pmod(ordinal, F.lit(shards))
 
 
-__all__ = ["cap_ranked", "diverse_pair", "fill_until", "hash_order", "holdout_entities", "largest_remainder", "quotas", "resample", "round_robin", "stratified", "top_rows"]
+__all__ = ["cap_ranked", "diverse_pair", "fill_until", "hash_order", "holdout_entities", "largest_remainder", "quotas", "resample", "round_robin", "smallest_of_kinds", "stratified", "top_rows"]

@@ -12,7 +12,7 @@ from rillflow.functions import answers as Y
 from rillflow.operators import groups as G
 from rillflow.operators import sequences as Z
 from rillflow.operators.batches import with_ordinal
-from rillflow.operators.selecting import cap_ranked
+from rillflow.operators.selecting import smallest_of_kinds
 from rillflow.plans.registry import query, table
 from rillflow.sources import files
 from rillflow.streaming.queues import scratch
@@ -119,7 +119,7 @@ def weightless_padding(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def diverse_triples(spark: SparkSession, d: str) -> DataFrame:
-    """Of a video's first eight questions the three that share the fewest kinds of hop, smallest ids at a tie."""
+    """The three questions of a video that share the fewest kinds of hop, smallest ids at a tie."""
     rows = table(spark, d, "corpus_rows").select("row_id", F.col("extra_info.video_id").alias("video"), F.col("extra_info.hop_types").alias("hop_types")).where("video is not null and size(hop_types) > 0")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +127,7 @@ def diverse_triples(spark: SparkSession, d: str) -> DataFrame:
         best = min(((sum(len(kinds[a] & kinds[b]) for a, b in itertools.combinations(ids, 2)), ids) for ids in itertools.combinations(sorted(kinds), 3)), default=None)
         return pd.DataFrame([] if best is None else [(part["video"].iat[0], best[0], list(best[1]))], columns=["video", "overlap", "row_ids"])
 
-    return cap_ranked(rows, "video", ["row_id"], 8).groupBy("video").applyInPandas(run, "video string, overlap int, row_ids array<long>")
+    return smallest_of_kinds(rows, "video", "row_id", "hop_types", 3).groupBy("video").applyInPandas(run, "video string, overlap int, row_ids array<long>")
 
 
 @query("SELECT count(*) + 1 AS lines, 1::BIGINT AS unreadable, count(*) FILTER (extra_info.question_id IS NULL OR trim(extra_info.question_id) IN ('', 'None')) AS without_id FROM corpus_rows")

@@ -217,11 +217,9 @@ def merged_shots(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def attached_specs(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of a video attached to its specifications, by id, else by place."""
-    from rillflow.operators.selecting import cap_ranked
-
-    rows = cap_ranked(table(spark, d, "corpus_rows").select("row_id", F.col("extra_info.video_id").alias("video"), F.col("extra_info.num_hops").alias("spec_id")).where("video is not null"), "video", ["row_id"], 8)
+    """Lines of an order attached to its specifications (made from the line numbers), by id, else by place."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     from pyspark.sql import Window
 
-    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("video").orderBy("row_id")))  # at most eight of a video
-    return J.attach_greedy(placed.select("video", "pos", "spec_id"), placed.select("video", F.col("pos").alias("place"), (F.col("pos") + 2).alias("spec")), "video")
+    placed = li.withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))  # an order has few lines
+    return J.attach_greedy(placed.select("l_orderkey", "pos", F.col("l_linenumber").alias("spec_id")), placed.select("l_orderkey", F.col("pos").alias("place"), (F.col("pos") + 1).alias("spec")), "l_orderkey")

@@ -34,10 +34,7 @@ def majority_votes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_best(spark: SparkSession, d: str) -> DataFrame:
     """Best of four of a user's values, resampled a thousand times."""
-    from rillflow.operators.selecting import cap_ranked
-
-    first = cap_ranked(table(spark, d, "events").select("user_id", "value", "event_id"), "user_id", ["event_id"], 16)
-    return E.bootstrap(first, ["user_id"], "value", "event_id", 4)
+    return E.bootstrap(table(spark, d, "events").select("user_id", "value", "event_id"), ["user_id"], "value", "event_id", 4)
 
 
 @query("SELECT l_linestatus AS source, round(avg(l_discount), 6) AS mean_score FROM (SELECT l_linestatus, l_orderkey, avg(l_discount) AS l_discount FROM lineitem GROUP BY ALL) GROUP BY 1")

@@ -87,13 +87,10 @@ def weighted_resample(spark: SparkSession, d: str) -> DataFrame:
     return S.resample(rows, "row_id", F.col("rate") + 0.01, 500, 11)
 
 
-_K = f"""{_C}, k AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY row_id) AS i, row_id, hop_types FROM (SELECT c.*, r.extra_info.hop_types AS hop_types FROM c JOIN corpus_rows r USING (row_id)) WHERE video IS NOT NULL AND len(hop_types) > 0)"""
-
-
-@query(f"""WITH {_K}, p AS (SELECT a.video, len(list_intersect(a.hop_types, b.hop_types))::INT AS overlap, a.row_id AS i, b.row_id AS j FROM k a JOIN k b ON a.video = b.video AND a.i < b.i WHERE a.i <= 8 AND b.i <= 8),
+@query("""WITH k AS (SELECT extra_info.video_id AS video, row_id, extra_info.hop_types AS h FROM corpus_rows WHERE extra_info.video_id IS NOT NULL AND len(extra_info.hop_types) > 0),
+ p AS (SELECT a.video, len(list_intersect(list_distinct(a.h), list_distinct(b.h)))::INT AS overlap, a.row_id AS i, b.row_id AS j FROM k a JOIN k b ON a.video = b.video AND a.row_id < b.row_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY overlap, i, j) AS q FROM p) SELECT video, overlap, i, j FROM r WHERE q = 1""")
 def diverse_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Of a video's first eight questions the two that share the fewest kinds of hop."""
+    """The two questions of a video that share the fewest kinds of hop."""
     rows = table(spark, d, "corpus_rows").select("row_id", F.col("extra_info.video_id").alias("video"), F.col("extra_info.hop_types").alias("hop_types")).where("video is not null and size(hop_types) > 0")
-    few = S.cap_ranked(rows, "video", ["row_id"], 8)
-    return S.diverse_pair(few, "video", "row_id", F.size(F.array_intersect("a.hop_types", "b.hop_types")))
+    return S.diverse_pair(rows, "video", "row_id", "hop_types")

@@ -212,11 +212,14 @@ def branch_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", all_sums_distinct(pairs).alias("distinct_totals"), F.array_max(subset_sums(pairs)).alias("largest"))
 
 
-@query("WITH s AS (SELECT user_id, value AS kl, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT user_id, exp(sum(ln(1 + least(greatest(kl / 50 - 1, -0.2), 0.2) * 10 / 1000.0))) AS c FROM s WHERE k <= 40 GROUP BY user_id) SELECT user_id, round(0.1 * c, 9) AS coefficient FROM f")
+@query("SELECT user_id, round(0.1 * exp(sum(ln(1 + least(greatest(value / 50 - 1, -0.2), 0.2) * 10 / 1000.0))), 9) AS coefficient FROM events GROUP BY user_id")
 def adaptive_kl(spark: SparkSession, d: str) -> DataFrame:
-    """A KL coefficient after a user's first forty steps."""
-    from rillflow.operators.selecting import cap_ranked
+    """A KL coefficient after all of a user's steps."""
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(N.adaptive_final(F.col("value"), F.lit(10.0), 0.1, 50.0, 1000.0), 9).alias("coefficient"))
 
-    first = cap_ranked(table(spark, d, "events"), "user_id", ["event_id"], 40)
-    steps = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("value").alias("kl"), F.lit(10.0).alias("n")))).alias("s"))
-    return steps.select("user_id", F.round(N.adaptive_coefficient(F.col("s"), 0.1, 50.0, 1000.0), 9).alias("coefficient"))
+
+@query("SELECT vec_id, round(0.1 * exp(list_sum(list_transform(embedding, lambda x: ln(1 + least(greatest(abs(x::DOUBLE) / 0.1 - 1, -0.2), 0.2) * 10 / 1000.0)))), 9) AS coefficient FROM embeddings")
+def adaptive_kl_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The same where a row holds its steps in order."""
+    steps = F.transform("embedding", lambda x: F.struct(F.abs(x.cast("double")).alias("kl"), F.lit(10.0).alias("n")))
+    return table(spark, d, "embeddings").select("vec_id", F.round(N.adaptive_coefficient(steps, 0.1, 0.1, 1000.0), 9).alias("coefficient"))
