@@ -34,7 +34,9 @@ def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets:
     groups = cut(sizes.groupBy(group).agg(F.sum("n").alias("n"), F.max_by(F.struct(F.col(source).alias("home")), F.struct("n", F.xxhash64(source))).alias("h")).select(group, "n", "h.home"))
     total = groups.agg(F.sum("n")).first()[0] or 0
     large = groups.where(F.col("n") > max(1.0, HEAVY * total)).orderBy(F.desc("n"), group).collect()
-    by_home = {r["home"]: r["n"] for r in groups.groupBy("home").agg(F.sum("n").alias("n")).collect()} if large else {}
+    homes_of_large = {r["home"] for r in large}
+    at_home = F.col("home").isin([h for h in homes_of_large if h is not None]) | (F.col("home").isNull() if None in homes_of_large else F.lit(False))
+    by_home = {r["home"]: r["n"] for r in groups.where(at_home).groupBy("home").agg(F.sum("n").alias("n")).collect()} if large else {}
     load: dict = {}
     placed = []
     for r in large:
