@@ -47,14 +47,14 @@ OPENERS = frozenset(
 FINAL = frozenset("了 吗 呢 吧 啊 呀 です ます でした ました ません だ よ ね か る た い す ครับ ค่ะ คะ นะ ไหม หรือไม่ แล้ว".split())
 _LONGEST = max(map(len, CONTINUING | OPENERS | FINAL))
 
-_BREAK = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
+_BREAK = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _LABEL = re.compile(
-    r"[\s﻿​]*(?:(?:\[[^\]]{0,120}\]|[-*•·–—▪◦‣●○■□►]+(?=\s)|\(?\d{1,3}[.)、．）](?!\d)|\(?[^\W\d_][.)](?=\s)|#{1,6}(?=\s)|>+(?=\s)|[①-⑳])[\s﻿]*)*"
+    r"[\s\ufeff\u200b]*(?:(?:\[[^\]]{0,120}\]|[-*•·–—▪◦‣●○■□►]+(?=\s)|\(?\d{1,3}[.)、．）](?!\d)|\(?[^\W\d_][.)](?=\s)|#{1,6}(?=\s)|>+(?=\s)|[①-⑳])[\s\ufeff]*)*"
 )
 _THAI = "ก-ฺเ-๎"
 _GREEK = "Ͱ-Ͽἀ-῿"
-_MARKS = re.compile(rf"(?:[.!?…。！？｡．।॥۔؟։።፧፨‼⁇⁈⁉‽;]|(?<=[{_GREEK}]);)+")
-_THAI_GAP = re.compile(rf"(?<=[{_THAI}])[ \t\xa0​　]+(?=\S)")
+_MARKS = re.compile(rf"(?:[.!?…。！？｡．।॥۔؟։።፧፨‼⁇⁈⁉‽\u037e]|(?<=[{_GREEK}]);)+")
+_THAI_GAP = re.compile(rf"(?<=[{_THAI}])[ \t\xa0\u200b\u3000]+(?=\S)")
 _PAIRS = {"“": "”", "„": "“”", "”": "“", "«": "»", "»": "«", "‹": "›", '"': '"', "'": "'", "‘": "’", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】", "{": "}"}
 _PAIRED = re.compile(r"[“„”«»‹›\"'‘’「」『』《》〈〉()（）\[\]【】{}]")
 _ROUND = "(（[【{"
@@ -183,7 +183,7 @@ class _Line:
             c = text[stop]
             if c in _CLOSERS and (inside is None and c not in "\"'“‘”" or inside is not None and stop <= inside[1] or c in ")）]】」』"):
                 stop += 1
-            elif c in " \xa0 " and stop + 1 < end and text[stop + 1] in "»›" and inside and stop + 1 <= inside[1]:
+            elif c in " \xa0\u202f" and stop + 1 < end and text[stop + 1] in "»›" and inside and stop + 1 <= inside[1]:
                 stop += 2
             else:
                 break
@@ -295,7 +295,7 @@ def sentence_ends(text: str | None) -> list[int]:
     breaks = [(m.start(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]
     for stop, after in breaks:
         end = stop
-        while end > at and (text[end - 1].isspace() or text[end - 1] in "﻿​"):
+        while end > at and (text[end - 1].isspace() or text[end - 1] in "\ufeff\u200b"):
             end -= 1
         if end > at and any(c.isalnum() for c in text[at:end]):
             line = _Line(text, at, end)
@@ -307,7 +307,7 @@ def sentence_ends(text: str | None) -> list[int]:
                 carried = True
         at = after
     if carried:
-        end = len(text.rstrip("﻿​ \t\r\n\v\f\x85  \xa0"))
+        end = len(text.rstrip("\ufeff\u200b \t\r\n\v\f\x85\u2028\u2029\xa0"))
         if end and (not out or end > out[-1]):
             out.append(end)
     return out
@@ -327,7 +327,7 @@ def sentences(df: DataFrame, ident: str, text: str) -> DataFrame:
             for r, t in enumerate(batch["_text"].to_pylist()):
                 begin = 0
                 for k, stop in enumerate(sentence_ends(t)):
-                    while begin < stop and (t[begin].isspace() or t[begin] in "﻿​"):
+                    while begin < stop and (t[begin].isspace() or t[begin] in "\ufeff\u200b"):
                         begin += 1
                     rows.append((r, k, begin, stop, t[begin:stop]))
                     begin = stop

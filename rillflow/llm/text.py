@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that may stand around a stored name without belonging to it.
-_OUTER = r"[\s ​⁠﻿]+"
+_OUTER = r"[\s\u00a0\u200b\u2060\ufeff]+"
 _EXTENSION = r"\.(mp4|webm|mkv|mov|avi|m4v)([?#].*)?$"
 
 
