@@ -44,25 +44,33 @@ def repoint(rows: DataFrame, ident: str, array: str, field: str, moved: DataFram
 
 def attach_greedy(candidates: DataFrame, specs: DataFrame, group: str) -> DataFrame:
     """``group, pos, spec``: each candidate (``group, pos, spec_id``), in order of ``pos``, takes the spec of its id if it is free, else
-    the free spec at its own place, else none. ``specs``: ``group, place, spec``. Order matters, so a group is handled whole; groups
-    are the few candidates of one video."""
-    both = candidates.select(group, F.lit(0).alias("side"), F.col("pos").cast("long").alias("at"), F.col("spec_id").cast("long").alias("spec")).unionByName(
-        specs.select(group, F.lit(1).alias("side"), F.col("place").cast("long").alias("at"), F.col("spec").cast("long").alias("spec"))
+    the free spec at its own place, else none. ``specs``: ``group, place, spec``; ``spec`` is unique in its group.
+
+    Order matters, so rows are sorted by group, its specs first, and streamed through; only one group's specs are held at a time.
+    """
+    both = candidates.select(group, F.lit(1).alias("side"), F.col("pos").cast("long").alias("at"), F.col("spec_id").cast("double").alias("spec")).unionByName(
+        specs.select(group, F.lit(0).alias("side"), F.col("place").cast("long").alias("at"), F.col("spec").cast("double").alias("spec"))
     )
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        there = part[part["side"] == 1].sort_values("at")
-        by_id = {int(s): int(s) for s in there["spec"]}
-        by_place = {int(a): int(s) for a, s in zip(there["at"], there["spec"])}
-        free, out = set(by_id), []
-        for at, wish in part[part["side"] == 0].sort_values("at")[["at", "spec"]].itertuples(index=False):
-            pick = int(wish) if pd.notna(wish) and int(wish) in free else by_place.get(int(at))
-            if pick in free:
-                free.discard(pick)
-                out.append((part[group].iat[0], int(at), pick))
-        return pd.DataFrame(out, columns=[group, "pos", "spec"])
-
-    return both.groupBy(group).applyInPandas(run, f"`{group}` {dict(candidates.dtypes)[group]}, pos long, spec long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, by_place, free = None, {}, set()
+        for batch in batches:
+            out = []
+            for key, side, at, spec in zip(*(batch[c].tolist() for c in (group, "side", "at", "spec"))):
+                if key != name:
+                    name, by_place, free = key, {}, set()
+                if side == 0:
+                    by_place[at] = spec
+                    free.add(spec)
+                    continue
+                pick = spec if spec in free else by_place.get(at)
+                if pick in free:
+                    free.discard(pick)
+                    out.append((key, at, int(pick)))
+            yield pd.DataFrame(out, columns=[group, "pos", "spec"])
+
+    ordered = both.where(F.col(group).isNotNull()).repartition(group).sortWithinPartitions(group, "side", "at")
+    return ordered.mapInPandas(run, f"`{group}` {dict(candidates.dtypes)[group]}, pos long, spec long")
 
 
 def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
