@@ -72,10 +72,10 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
     ``order`` should be total, else equal rows follow each other in any order. Ranges are summed first and each is accumulated by
     itself, so neither the whole table nor a hot group is ordered in one task.
     """
-    rows = (df if is_parted else parted(df, by, order)).withColumn("_v", value)
-    sums = rows.groupBy(*by, "_part").agg(F.sum("_v").alias("_s"))
+    rows = (df if is_parted else parted(df, by, order)).withColumn("__v", value)
+    sums = rows.groupBy(*by, "_part").agg(F.sum("__v").alias("__s"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = cut(sums.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s"))
+    starts = cut(sums.withColumn("__start", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s"))
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = attach_small(rows.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))), starts, [*by, "_part"])
-    return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_v", "_in", "_start", *([] if is_parted else ["_part"]))
+    out = attach_small(rows.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0))), starts, [*by, "_part"])
+    return out.withColumn(name, F.col("__start") + F.col("__in")).drop("__v", "__in", "__start", *([] if is_parted else ["_part"]))

@@ -7,13 +7,16 @@ queue's capacity) is held.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.scale import ensure_checkpoint_dir, parted, running
+
 OUT = "queue long, seq long, op string, item long, dropped_item long, size long, produced long, consumed long, dropped long"
 
 
@@ -157,13 +160,16 @@ def paused_steps(log: DataFrame, key: str, seq: str, capacity: int) -> DataFrame
     """Replay of the producer's state: ``stale`` samples since the last sync (which leaves those in flight), paused at capacity.
 
     ``log`` has ``op`` start, finish or sync per key in order of ``seq``; counts between syncs come from running sums within the
-    key's versions, so nothing is folded row by row.
+    key's versions, so nothing is folded row by row and no task sees all of a key's rows.
     """
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    ops = log.withColumn("version", F.sum((F.col("op") == "sync").cast("int")).over(w)).withColumn("flying", F.sum(F.when(F.col("op") == "start", 1).when(F.col("op") == "finish", -1).otherwise(0)).over(w))
-    at_sync = ops.where("op = 'sync'").select(key, "version", F.col("flying").alias("carried"))
-    v = Window.partitionBy(key, "version").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ops.join(at_sync, [key, "version"], "left").withColumn("stale", F.coalesce("carried", F.lit(0)) + F.sum((F.col("op") == "start").cast("int")).over(v))
+    sync, start = (F.col("op") == "sync").cast("int"), (F.col("op") == "start").cast("int")
+    change = F.when(F.col("op") == "start", 1).when(F.col("op") == "finish", -1).otherwise(0)
+    rows = parted(log.select(key, seq, "op"), [key], [seq])
+    rows = running(rows, [key], [seq], sync, "_v", is_parted=True).withColumn("version", F.col("_v") + sync)
+    rows = running(rows, [key], [seq], change, "_f", is_parted=True).withColumn("flying", F.col("_f") + change)
+    rows = running(rows, [key, "version"], [seq], start, "_s", is_parted=True)
+    at_sync = rows.where("op = 'sync'").select(key, "version", F.col("flying").alias("carried"))
+    joined = rows.join(at_sync, [key, "version"], "left").withColumn("stale", F.coalesce("carried", F.lit(0)) + F.col("_s") + start)
     return joined.select(key, seq, "op", "version", "flying", "stale", (F.col("stale") >= capacity).alias("paused"))
 
 
@@ -183,10 +189,6 @@ def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
-    import uuid
-
-    from rillflow.scale import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
