@@ -86,8 +86,9 @@ def find_videos(names: DataFrame, files: DataFrame) -> Videos:
     Two ids are one video if a file of each has the same hash, letter case aside; files of 0 bytes, blank or null hashes and the
     hash of nothing link nothing. Links also run over ids that only the files have. Empty tables are allowed.
     """
-    stored = names.select(spelled(F.col("video_id")).alias("name")).where("name is not null").distinct()
-    filed = files.select(spelled(F.col("video_id")).alias("name"), F.lower(F.trim("content_sha1")).alias("sha"), "n_bytes").where("name is not null")
+    # distinct names before their spelling, which costs more; both tables are read once
+    stored = cut(names.select("video_id").distinct().select(spelled(F.col("video_id")).alias("name")).where("name is not null").distinct())
+    filed = cut(files.select("video_id", F.lower(F.trim("content_sha1")).alias("sha"), "n_bytes").distinct().select(spelled(F.col("video_id")).alias("name"), "sha", "n_bytes").where("name is not null"))
     has_folder = F.col("name").contains("/")
     known = (
         filed.select("name", F.lit(0).alias("tier"))
