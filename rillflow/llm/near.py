@@ -1,13 +1,13 @@
-"""Near messages within a video: multi-index search over b-bit minwise signatures, exact Jaccard similarity of word bags after it.
+"""Near messages within a video: all pairs by size and parity signature, exact Jaccard similarity of word bags after it.
 
-A message is the bag of its words; the k-th use of a word is an element of its own, so the similarity of bags is that of sets. A
-signature has chunks of ``c`` symbols, each the low 16 bits of a minwise hash. With m chunks and e errors allowed in a chunk, every
-pair whose signatures differ in at most (e + 1) m - 1 symbols agrees in a chunk up to e symbols (pigeonhole), and all such variants
-are enumerated; c and m follow from the size of the video so that a pair of similarity 0.775 is missed in less than one case of
-500, and c grows with the logarithm of the size. Candidates pass a 256-bit parity signature, whose distance never exceeds the bags'
-difference, so that it loses nothing; what is left is verified on the words themselves.
+A message is the bag of its words; the k-th use of a word is an element of its own, so the similarity of bags is that of sets. Every
+pair of different bags of a video is looked at, and both filters are free of loss: a pair of similarity t has sizes whose ratio is
+at least t, and the distance of parity signatures never exceeds the bags' difference. What is left is verified on the words
+themselves, so no pair at or above the limit is missed in a video of any size. The work grows with the square of a video's different
+messages (a few nanoseconds a pair).
 
-Videos of up to ``LOCAL`` rows are searched where their rows meet after one shuffle; larger ones are spread over their chunk keys.
+Videos of up to ``LOCAL`` rows are searched where their rows meet after one shuffle; larger ones are dealt into blocks by hash, and
+each pair of blocks is a cell of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.llm.text import word_hashes
@@ -25,7 +25,13 @@ from rillflow.scale import attach_small, cut
 
 #: Rows up to which a video is searched in one task.
 LOCAL = 4096
-#: Similarity for which the chunks are laid out, and the share of such pairs that may be missed.
+#: Rows up to which a video is compared together with others, offset by offset; larger ones row by row.
+FEW = 256
+#: Rows of a block of a large video, blocks that every large video has if its rows fill them by LOCAL, and tasks of all cells.
+BLOCK, LEAST_BLOCKS, MOST_TASKS = 131_072, 8, 4000
+#: Words for each 64 bits of a parity signature, and its most lanes; longer bags only leave more pairs to verify.
+WORDS_A_LANE, MOST_LANES = 56, 64
+#: Of ``layout`` only: similarity of the pairs, and the share of them that may be missed.
 DESIGN, MISS = 0.775, 0.002
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -33,22 +39,23 @@ LINKS = "kind int, row_id_a long, row_id_b long"
 
 
 def layout(n: int, errors: int) -> tuple[int, int]:
-    """Symbols of a chunk and chunks, for a video of ``n`` rows."""
+    """Symbols of a chunk and chunks of a minwise index over ``n`` rows. The search doesn't use it, as an index misses pairs."""
     c = max(3, math.ceil(math.log2(max(n, 2)) / 2)) + errors
     hit = sum(math.comb(c, i) * (1 - DESIGN) ** i * DESIGN ** (c - i) for i in range(errors + 1))
     return c, max(6, math.ceil(math.log(MISS) / math.log(1 - hit)))
 
 
+def lanes(size: np.ndarray) -> np.ndarray:
+    """Lanes of 64 bits (a power of two) that tell bags of ``size`` words from others."""
+    return np.minimum(2 ** np.ceil(np.log2(np.maximum(size / WORDS_A_LANE, 1))), MOST_LANES).astype(int)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-def _constants(k: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20_231)).integers(1, 2**63, size=(k, 2), dtype=np.uint64) * _U(2) + _U(1)
-
-
 class Bags:
     """Bags of words in flat arrays: elements ``x`` of row i at ``start[i]:start[i + 1]``."""
 
@@ -71,9 +78,10 @@ class Bags:
         """128 bits that equal bags share."""
         return self.reduce(np.add, _mixed(self.x + _U(1))), self.reduce(np.add, _mixed(self.x ^ _GOLD))
 
-    def parity(self) -> np.ndarray:
-        bit, lane = _U(1) << (self.x & _U(63)), (self.x >> _U(6)) & _U(3)
-        return np.stack([self.reduce(np.bitwise_xor, np.where(lane == _U(i), bit, _U(0))) for i in range(4)], axis=1)
+    def parity(self, lanes: int) -> np.ndarray:
+        """Parities of the elements' counts in 64 ``lanes`` buckets. Halves laid on each other are the signature of half the lanes."""
+        bit, lane = _U(1) << (self.x & _U(63)), (self.x >> _U(6)) & _U(lanes - 1)
+        return np.stack([self.reduce(np.bitwise_xor, np.where(lane == _U(i), bit, _U(0))) for i in range(lanes)], axis=1)
 
     def take(self, rows: np.ndarray) -> Bags:
         out = object.__new__(Bags)
@@ -82,16 +90,6 @@ class Bags:
         out.x = self.x[np.repeat(self.start[:-1][rows] - out.start[:-1], out.size) + np.arange(out.start[-1])]
         return out
 
-    def keys(self, c: int, m: int, errors: int) -> np.ndarray:
-        """Chunk keys, one row each: every chunk's value with up to ``errors`` (0 or 1) of its symbols left out."""
-        symbols = np.stack([_mixed(self.reduce(np.minimum, (self.x ^ b) * a)) & _U(0xFFFF) for a, b in _constants(c * m)], axis=1)
-        weight = _mixed(np.arange(1, c * m + 1, dtype=_U) * _GOLD) | _U(1)
-        parts = ((symbols + _U(1)) * weight).reshape(-1, m, c)
-        chunk = parts.sum(axis=2, dtype=_U)
-        kept = chunk[:, :, None] - parts if errors else chunk[:, :, None]
-        salt = np.arange(kept.shape[1] * kept.shape[2], dtype=_U) + _U(1)
-        return _mixed(kept.reshape(len(self.size), -1) + salt * _GOLD)
-
 
 def shared_words(a: Bags, b: Bags) -> np.ndarray:
     """Elements in common of each row of two lists of bags."""
@@ -116,7 +114,87 @@ def _words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.flatten().to_numpy(zero_copy_only=False).view(_U), np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
 
 
-def _search(table: pa.Table, threshold: float, errors: int, cross: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class Signed:
+    """Parity signatures of rows in the order of their size. A row of s words has the lanes of s / threshold words, so that it can be
+    compared with every larger row that it may be near to."""
+
+    def __init__(self, size: np.ndarray, parity: list[np.ndarray], threshold: float):
+        self.size, self.parity, self.threshold = size, parity, threshold
+        self.folded: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def of(bags: Bags, threshold: float) -> list[np.ndarray]:
+        """The signature of each bag; its length depends on the bag's size."""
+        width = lanes(bags.size / threshold + 1e-6)
+        out: list[np.ndarray] = [np.zeros(0, _U)] * len(width)
+        for n in np.unique(width):
+            at = np.flatnonzero(width == n)
+            for i, p in zip(at, bags.take(at).parity(int(n))):
+                out[i] = p
+        return out
+
+    def lane(self, n: int) -> np.ndarray:
+        """``n`` lanes of all rows, lane by lane; zeros for rows that have fewer."""
+        if n not in self.folded:
+            out = np.zeros((n, len(self.size)), _U)
+            width = np.array([len(p) for p in self.parity])
+            for w in np.unique(width[width >= n]):
+                at = np.flatnonzero(width == w)
+                out[:, at] = np.bitwise_xor.reduce(np.stack([self.parity[i] for i in at]).reshape(len(at), w // n, n), axis=1).T
+            self.folded[n] = out
+        return self.folded[n]
+
+    def near(self, other: Signed) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in self, in other) of the pairs that size and parity leave; with itself, every pair once."""
+        limit, out_i, out_j = (1 - self.threshold) / (1 + self.threshold), [], []
+        low = np.searchsorted(other.size, self.threshold * self.size - 1e-9)
+        high = np.arange(len(self.size)) if other is self else np.searchsorted(other.size, self.size / self.threshold + 1e-9, "right")
+        width = lanes(self.size)
+        for i in np.flatnonzero(low < high):
+            n, lo, hi = int(width[i]), low[i], high[i]
+            mine, theirs = self.lane(n)[:, i], other.lane(n)[:, lo:hi]
+            far = np.bitwise_count(theirs[0] ^ mine[0])
+            if n > 3:
+                far = far.astype(np.uint16)
+            for k in range(1, n):
+                far += np.bitwise_count(theirs[k] ^ mine[k])
+            j = np.flatnonzero(far <= int(limit * (self.size[i] + other.size[hi - 1]) + 1e-9))
+            j = j[far[j] <= limit * (self.size[i] + other.size[lo + j]) + 1e-9]
+            if len(j):
+                out_i.append(np.full(len(j), i))
+                out_j.append(lo + j)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+def _across(size: np.ndarray, parity: list[np.ndarray], p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two lists, or of one if both are the same object, that size and parity leave."""
+    own = p is q
+    if len(p) > len(q):
+        p, q = q, p
+    p = p[np.argsort(size[p], kind="stable")]
+    q = p if own else q[np.argsort(size[q], kind="stable")]
+    a = Signed(size[p], [parity[i] for i in p], threshold)
+    b = a if own else Signed(size[q], [parity[i] for i in q], threshold)
+    i, j = a.near(b)
+    return p[i], q[j]
+
+
+def _together(bags: Bags, run: np.ndarray, side: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one run (and of different sides) that size and parity leave; rows come by run and size."""
+    parity, size, limit = bags.parity(4), bags.size, (1 - threshold) / (1 + threshold)
+    left, d = np.arange(len(size)), 0
+    while len(left):
+        d += 1
+        left = left[left + d < len(size)]
+        left = left[(run[left] == run[left + d]) & (size[left] >= threshold * size[left + d] - 1e-9)]
+        i = left if side is None else left[side[left] != side[left + d]]
+        far = np.bitwise_count(parity[i] ^ parity[i + d]).sum(axis=1, dtype=np.int64)
+        i = i[far <= limit * (size[i] + size[i + d]) + 1e-9]
+        yield i, i + d
+
+
+def _search(table: pa.Table, threshold: float, cross: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Copies and near pairs in whole videos: (0, representative, copy) and (1, a, b)."""
     ident, video, other, side = (table[c].to_numpy() for c in ("ident", "vk", "vk2", "side"))
     bags = Bags(*_words(table["words"]))
@@ -135,42 +213,27 @@ def _search(table: pa.Table, threshold: float, errors: int, cross: bool) -> Iter
     reps = order[new & (bags.size[order] > 0)]
     if len(reps) < 2:
         return
+    reps = reps[np.lexsort((bags.size[reps], other[reps], video[reps]))]
     change = np.ones(len(reps), bool)
-    change[1:] = video[reps][1:] != video[reps][:-1]
+    change[1:] = (video[reps][1:] != video[reps][:-1]) | (other[reps][1:] != other[reps][:-1])
     run = np.cumsum(change) - 1
     n = np.bincount(run)[run]
-    if cross:
-        sides = np.bincount(run, side[reps] == 1) * np.bincount(run, side[reps] != 1)
-        n = np.where(sides[run] > 0, n, 1)
-    shape = np.ceil(np.log2(np.maximum(n, 2)) / 2).astype(int)
-    limit = (1 - threshold) / (1 + threshold)
-    for w in np.unique(shape[n > 1]):
-        rows = reps[(n > 1) & (shape == w)]
-        some = bags.take(rows)
-        c, m = layout(2 ** (2 * int(w)), errors)
-        keys = _mixed(some.keys(c, m, errors) ^ video[rows].view(_U)[:, None])
-        parity, size = some.parity(), some.size
-        at = np.argsort(keys, axis=None, kind="stable")
-        key, row = keys.reshape(-1)[at], at // keys.shape[1]
-        left, found, d = np.arange(len(key)), [], 1
-        while True:
-            left = left[left + d < len(key)]
-            left = left[key[left] == key[left + d]]
-            if not len(left):
-                break
-            i, j = row[left], row[left + d]
-            ok = i != j
-            if cross:
-                ok &= side[rows[i]] != side[rows[j]]
-            ok &= (other[rows[i]] == other[rows[j]]) & (video[rows[i]] == video[rows[j]])
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1) <= limit * (size[i] + size[j]) + 1e-9
-            found.append(np.unique(np.minimum(i, j)[ok].astype(np.int64) * len(rows) + np.maximum(i, j)[ok]))
-            d += 1
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        i, j = pairs // len(rows), pairs % len(rows)
+    some = bags.take(reps)
+    few = np.flatnonzero((n > 1) & (n <= FEW))
+    found = [(few[i], few[j]) for i, j in _together(some.take(few), run[few], side[reps][few] if cross else None, threshold)]
+    for start in np.flatnonzero(change & (n > FEW)):
+        rows = np.arange(start, start + n[start])
+        held = some.take(rows)
+        parity = Signed.of(held, threshold)
+        at = np.arange(len(rows))
+        own = side[reps][rows]
+        for p, q in [(at[own == s], at[own > s]) for s in np.unique(own)] if cross else [(at, at)]:
+            i, j = _across(held.size, parity, p, q, threshold)
+            found.append((rows[i], rows[j]))
+    if found:
+        i, j = (np.concatenate(x) for x in zip(*found))
         ok = similar_pairs(some, i, j, threshold)
-        a, b = ident[rows[i[ok]]], ident[rows[j[ok]]]
+        a, b = ident[reps[i[ok]]], ident[reps[j[ok]]]
         yield 1, np.minimum(a, b), np.maximum(a, b)
 
 
@@ -184,7 +247,7 @@ def _as_links(found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[p
             yield pa.record_batch({"kind": pa.array(np.full(len(a), kind, np.int32)), "row_id_a": pa.array(a.astype(np.int64)), "row_id_b": pa.array(b.astype(np.int64))})
 
 
-def _search_videos(threshold: float, errors: int, cross: bool) -> Callable:
+def _search_videos(threshold: float, cross: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
@@ -194,30 +257,41 @@ def _search_videos(threshold: float, errors: int, cross: bool) -> Callable:
                 continue
             whole = pa.concat_tables(held)
             split = len(whole) - int((video == video[-1]).sum())  # rows come sorted by vk
-            yield from _as_links(_search(whole.slice(0, split), threshold, errors, cross))
+            yield from _as_links(_search(whole.slice(0, split), threshold, cross))
             held = [whole.slice(split)]
         if held and len(whole := pa.concat_tables(held)):
-            yield from _as_links(_search(whole, threshold, errors, cross))
+            yield from _as_links(_search(whole, threshold, cross))
 
     return run
 
 
-def _sign(errors: int) -> Callable:
+def _sign(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags, n = Bags(*_words(batch["words"])), batch["n"].to_numpy()
-            shape = np.ceil(np.log2(np.maximum(n, 2)) / 2).astype(int)
-            names, parity = bags.names(), bags.parity()
-            for w in np.unique(shape):
-                rows = np.flatnonzero((shape == w))
-                some = bags.take(rows)
-                keys = some.keys(*layout(2 ** (2 * int(w)), errors), errors).view(np.int64)
-                keys, counts = keys[some.size > 0], np.where(some.size > 0, keys.shape[1], 0)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                columns = {c: batch[c].take(pa.array(rows)) for c in ("ident", "vk", "vk2", "side")}
-                columns |= {"s1": pa.array(names[0][rows].view(np.int64)), "s2": pa.array(names[1][rows].view(np.int64)), "size": pa.array(some.size.astype(np.int64))}
-                columns |= {f"p{i}": pa.array(np.ascontiguousarray(parity[rows, i]).view(np.int64)) for i in range(4)}
-                yield pa.record_batch(columns | {"keys": pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))})
+            bags = Bags(*_words(batch["words"]))
+            s1, s2 = bags.names()
+            columns = {c: batch[c] for c in ("ident", "vk", "vk2", "side", "n")}
+            columns |= {"s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "size": pa.array(bags.size.astype(np.int64))}
+            yield pa.record_batch(columns | {"parity": pa.array([p.tobytes() for p in Signed.of(bags, threshold)], pa.binary())})
+
+    return run
+
+
+def _cell(threshold: float, cross: bool) -> Callable:
+    """Pairs between the blocks p and q of a video, or inside one, that size and parity leave."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ident, side, size, block = (table[c].to_numpy() for c in ("ident", "side", "size", "block"))
+        parity = [np.frombuffer(p.as_buffer(), _U) for p in table["parity"]]
+        p, q, at = table["p"][0].as_py(), table["q"][0].as_py(), np.arange(len(ident))
+        low, high = at[block == p], at[block == q]
+        if p == q:
+            lists = [(at[side == s], at[side > s]) for s in np.unique(side)] if cross else [(at, at)]
+        else:
+            lists = [(low[side[low] == s], high[side[high] != s]) for s in np.unique(side[low])] if cross else [(low, high)]
+        out = [_across(size, parity, *x, threshold) for x in lists]
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else (at[:0], at[:0])
+        return pa.table({"a": ident[i], "b": ident[j]})
 
     return run
 
@@ -232,23 +306,24 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
-def _spread(hot: DataFrame, threshold: float, errors: int, cross: bool) -> DataFrame:
-    """Copies and near pairs in videos too large for one task, found by joining chunk keys."""
+def _blocks() -> Column:
+    """Blocks of a video of ``n`` rows."""
+    return F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / LOCAL)))
+
+
+def _spread(hot: DataFrame, threshold: float, cross: bool, tasks: int) -> DataFrame:
+    """Copies and near pairs in videos too large for one task, found by comparing their blocks pair by pair."""
     signed = cut(hot.withColumn("words", word_hashes(F.col("text"))).select("ident", "vk", "vk2", "side", "n", "words").mapInArrow(
-        _sign(errors), "ident long, vk long, vk2 long, side int, s1 long, s2 long, size long, p0 long, p1 long, p2 long, p3 long, keys array<long>"
+        _sign(threshold), "ident long, vk long, vk2 long, side int, n long, s1 long, s2 long, size long, parity binary"
     ))
     name = ["vk", "vk2", "side", "s1", "s2", "size"]
     classes = cut(signed.groupBy(*name).agg(F.min("ident").alias("rep"), F.count(F.lit(1)).alias("copies")))
     copies = signed.select("ident", *name).join(classes.where("copies > 1"), name).where("ident <> rep").select(F.lit(0).alias("kind"), F.col("rep").alias("row_id_a"), F.col("ident").alias("row_id_b"))
-    reps = signed.join(classes.select(F.col("rep").alias("ident")), "ident")
-    keyed = reps.select(F.explode("keys").alias("key"), "ident", "vk", "vk2", "side", "size", "p0", "p1", "p2", "p3").withColumn("key", F.xxhash64("key", "vk", "vk2"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    far = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(4)), F.lit(0))
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.ident") < F.col("b.ident")) & (F.col("a.vk") == F.col("b.vk")) & (F.col("a.vk2") == F.col("b.vk2"))
-    if cross:
-        same &= F.col("a.side") != F.col("b.side")
-    same &= far <= (F.col("a.size") + F.col("b.size")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9
-    pairs = cut(a.join(b, same).select(F.col("a.ident").alias("a"), F.col("b.ident").alias("b")).distinct())
+    reps = signed.where("size > 0").join(classes.select(F.col("rep").alias("ident"), *name[:3]), ["ident", *name[:3]]).withColumn("blocks", _blocks())
+    dealt = reps.withColumn("block", F.pmod(F.xxhash64("ident"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("vk", "vk2", F.least("block", "k").alias("p"), F.greatest("block", "k").alias("q"), "block", "ident", "side", "size", "parity")
+    key = ["vk", "vk2", "p", "q"]
+    pairs = cut(cells.repartition(tasks, *key).groupBy(*key).applyInArrow(_cell(threshold, cross), "a long, b long").where("a <> b").distinct())
     wanted = cut(pairs.select(F.col("a").alias("ident")).unionByName(pairs.select(F.col("b").alias("ident"))).distinct())
     words = attach_small(hot.select("ident", "text"), wanted, ["ident"], "inner", limit=1_000_000).select("ident", word_hashes(F.col("text")).alias("words"))
     joined = pairs.join(words.select(F.col("ident").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("ident").alias("b"), F.col("words").alias("words_b")), "b")
@@ -264,18 +339,19 @@ def near_links(rows: DataFrame, threshold: float = 0.75, errors: int = 1, cross:
     """``kind, row_id_a, row_id_b`` over ``rows`` (``ident, video, side, text``): kind 0 binds a copy b to the representative a of
     its class of equal bags, kind 1 is a pair of representatives (the smaller first) whose similarity is ``threshold`` or more.
 
+    No pair is left out. ``errors`` is of the former minwise index and changes nothing.
     With ``cross`` a class is of one ``side`` and only pairs of different sides count; else ``side`` isn't looked at. Rows with a null video or text have no links;
     two messages without words are equal. Repeated rows are copies. Whole texts are compared.
     """
     rows = rows.where("video is not null and text is not null and ident is not null").select("ident", "video", (F.col("side").cast("int") if cross else F.lit(0)).alias("side"), "text")
     keyed = rows.withColumns({"vk": F.xxhash64("video"), "vk2": F.xxhash64(F.lit(1), F.col("video"))})
     sizes = cut(keyed.groupBy("vk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local))
-    n_hot = sizes.count()
+    n_hot, n_cells = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(_blocks() * (_blocks() + 1) / 2), F.lit(0))).first()
     tagged = attach_small(keyed, sizes, ["vk"], rows=n_hot)
     small = tagged.where("n is null").select("ident", "vk", "vk2", "side", "text").repartition("vk").sortWithinPartitions("vk", "ident")
-    links = small.select("ident", "vk", "vk2", "side", word_hashes(F.col("text")).alias("words")).mapInArrow(_search_videos(threshold, errors, cross), LINKS)
+    links = small.select("ident", "vk", "vk2", "side", word_hashes(F.col("text")).alias("words")).mapInArrow(_search_videos(threshold, cross), LINKS)
     if n_hot:
-        links = links.unionByName(_spread(tagged.where("n is not null"), threshold, 0, cross))
+        links = links.unionByName(_spread(tagged.where("n is not null"), threshold, cross, min(int(n_cells) + 1, MOST_TASKS)))
     return links
 
 

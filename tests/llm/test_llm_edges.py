@@ -229,6 +229,31 @@ def test_near_pairs_against_brute_force(spark, cross, local):
     assert len(got & want) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("cross", [False, True])
+@pytest.mark.parametrize("local", [100_000, 4096, 30])
+def test_no_pair_at_the_limit_is_missed(spark, cross, local):
+    rng, rows = random.Random(4), []
+    for k in range(2500):  # 36 of 48 words in common
+        words = [f"w{x}" for x in rng.sample(range(3000), 48)]
+        rows += [(2 * k, "hot", 1, " ".join(words[:42])), (2 * k + 1, "hot", 2, " ".join(words[6:]))]
+    df = spark.createDataFrame(rows, "ident long, video string, side int, text string").repartition(5)
+    links = N.near_links(df, errors=0 if cross else 1, cross=cross, local=local)
+    assert {(r["row_id_a"], r["row_id_b"]) for r in links.collect()} == {(2 * k, 2 * k + 1) for k in range(2500)}
+
+
+def test_near_bags_of_all_sizes(spark):
+    rng, rows = random.Random(5), []
+    for k, n in enumerate([1, 2, 3, 4, 7, 8, 40, 84, 85, 112, 168, 169, 400, 1000, 5000] * 6):
+        words = [f"w{x}" for x in rng.sample(range(60_000), n)]
+        common = -(-3 * n // 4)
+        near, far = words[:common], words[: common - 1] + [f"x{x}" for x in range(n // 50)]
+        rows += [(3 * k + i, "v", 1 + i % 2, " ".join(w)) for i, w in enumerate((words, near, far))]
+    want = {cross: brute(rows, cross) for cross in (False, True)}
+    df = spark.createDataFrame(rows, "ident long, video string, side int, text string")
+    for cross, local in [(False, 4096), (True, 4096), (False, 30), (True, 30)]:
+        assert {tuple(r) for r in N.expand(N.near_links(df, cross=cross, local=local).cache(), cross).collect()} == want[cross]
+
+
 def test_messages_on_odd_input(spark):
     rows = [(1, "v", 0, ""), (2, "v", 0, "!!"), (3, "v", 0, None), (4, None, 0, "a b"), (5, None, 0, "a b"), (6, "w", 0, "one two"), (6, "w", 0, "one two"), (7, "w", 0, "ONE, two!"), (8, "w", 0, "x " * 50_000), (9, "w", 0, "x " * 50_001)]
     df = spark.createDataFrame(rows, "ident long, video string, side int, text string").withColumns({"vk": F.lit(1), "n": F.lit(2)})
