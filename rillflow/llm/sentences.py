@@ -2,8 +2,10 @@
 
 A text is cut at its line breaks; within a line every mark that may end a sentence is a node of a terminator lattice, and what
 stands on both sides (abbreviations, numbers, quotations and brackets, letter case) decides whether it does. Where a script has no
-spaces, the words beside an uncertain gap come from the best path through a lattice of dictionary words, and their classes, final
-particles before it and opening or continuing words after it, decide. A line's label, bullet or number never ends a sentence.
+spaces, the words beside an uncertain gap come from the best path through a lattice of dictionary words. After dots, a final particle
+before the gap ends the sentence and else a continuing word after it carries it on; after a quotation only the word that follows
+decides, as a quoted sentence has its own particle. In Thai, a polite or asking particle ends a sentence even before a number. A line's
+label, bullet or number never ends a sentence.
 """
 
 from __future__ import annotations
@@ -41,11 +43,21 @@ CONTINUING = frozenset(
     "と という といった って との とは も の を に が は で へ や から まで など と書かれた と言い と言って と叫び と呼ばれる".split()
 )
 OPENERS = frozenset(
-    "与此同时 的确 这时 那么 这里 那里 这些 那些 和平 为了 为什么 是否 等到 随后 然后 接着 最后 画面中 大约 但是 不过 因此 所以 "
-    "とても とりあえず ところが ときどき とうとう もう もし もっと もちろん のち がんばれ はい はじめに ではなく でも できれば やがて やはり からだ へえ".split()
+    "与此同时 的确 的士 这时 那么 这里 那里 这些 那些 和平 为了 为什么 是否 等到 随后 然后 接着 最后 画面中 大约 但是 不过 因此 所以 "
+    "地球 地上 地面 地铁 地图 地板 地方 地下 地点 地震 地区 得到 得知 得分 得意 等待 等候 等级 这是 这种 这位 这次 这天 这边 这部 这座 这名 这张 这场 这么 这群 "
+    "那是 那种 那位 那次 那天 那边 那时 那年 那名 那座 那只 这只 与其 与会者 和谐 和尚 和气 或许 是的 是啊 为何 为此 作者 作业 作品 作家 字母 字幕 字典 "
+    "とても とりあえず ところが ときどき とうとう もう もし もっと もちろん のち がんばれ はい はじめに ではなく でも できれば やがて やはり からだ へえ "
+    "とにかく とりわけ ところで ともかく ともだち とっさに とうぜん とくに とつぜん とんでもない とはいえ もっとも もうすぐ もしも もしかすると もしかして ものすごく もともと "
+    "のんびり のろのろ のちほど にわとり にわか にこにこ にっこり にぎやか にんじん がっかり がやがや がんばって がんばろう はやく はやい はじめて はるか はっきり はたして "
+    "できるだけ できる できた でんしゃ でぐち でこぼこ へとへと やっと やっぱり やさしい やすい やすみ からす からっぽ".split()
 )
-FINAL = frozenset("了 吗 呢 吧 啊 呀 です ます でした ました ません だ よ ね か る た い す ครับ ค่ะ คะ นะ ไหม หรือไม่ แล้ว".split())
-_LONGEST = max(map(len, CONTINUING | OPENERS | FINAL))
+FINAL = frozenset(
+    "了 吗 呢 吧 啊 呀 嘛 啦 です ます でした ました ません でしょう ましょう ください なさい だろう だ よ ね か る た い す わ ぞ ครับ ค่ะ คะ นะ ไหม หรือไม่".split()
+)
+#: Words that end in a final particle without being one.
+_OTHER = frozenset("ชนะ สถานะ ภาชนะ".split())
+_WORDS = CONTINUING | OPENERS | FINAL | _OTHER
+_LONGEST = max(map(len, _WORDS))
 
 _BREAK = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _LABEL = re.compile(
@@ -63,21 +75,34 @@ _SPEECH = ":：,，،、፦"
 _NUMBER = re.compile(r"[-+]?\d[\d.,٫]*|[٠-٩۰-۹०-९][٠-٩۰-۹०-९.,٫]*")
 
 
-def first_word(text: str, at: int, end: int) -> str:
-    """The first word at ``at`` on the best path through the words of the dictionary: fewest letters left over, then fewest words."""
-    size = min(end - at, 2 * _LONGEST)
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(1e9, 0, 0)] * size  # cost, words, end of the first word
+def _best_path(text: str) -> list[str]:
+    """The words on the best path through the words of the dictionary: fewest letters left over, then fewest words."""
+    size = len(text)
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(1e9, 0, 0)] * size  # cost, words, length of the last word
     for i in range(size):
-        cost, words, head = best[i]
+        cost, words, _ = best[i]
         for n in range(1, min(_LONGEST, size - i) + 1):
-            word = text[at + i : at + i + n]
-            known = word in CONTINUING or word in OPENERS or word in FINAL
+            known = text[i : i + n] in _WORDS
             if n > 1 and not known:
                 continue
-            step = (cost + (0.0 if known else 1.0), words + 1, head or n)
+            step = (cost + (0.0 if known else 1.0), words + 1, n)
             if step[:2] < best[i + n][:2]:
                 best[i + n] = step
-    return text[at : at + best[size][2]]
+    path = []
+    while size:
+        path.append(text[size - best[size][2] : size])
+        size -= best[size][2]
+    return path[::-1]
+
+
+def first_word(text: str, at: int, end: int) -> str:
+    """The first word at ``at``."""
+    return (_best_path(text[at : min(end, at + 2 * _LONGEST)]) or [""])[0]
+
+
+def last_word(text: str, start: int, at: int) -> str:
+    """The last word before ``at`` of a text that begins at ``start``."""
+    return (_best_path(text[max(start, at - 2 * _LONGEST) : at]) or [""])[-1]
 
 
 def _spaceless(c: str) -> bool:
@@ -157,17 +182,19 @@ class _Line:
         for a, b, mark in sorted(gaps):
             if a < done:
                 continue
-            stop = self._mark(a, b, sentence) if mark else self._thai(a, b)
+            stop = self._mark(a, b, sentence) if mark else self._thai(a, b, sentence)
             if stop and stop > sentence and any(c.isalnum() for c in text[sentence:stop]):
                 yield stop
                 done = sentence = stop
                 while sentence < end and text[sentence].isspace():
                     sentence += 1
 
-    def _thai(self, a: int, b: int) -> int | None:
+    def _thai(self, a: int, b: int, sentence: int) -> int | None:
         text, after = self.text, self.text[b]
         if self.aside(a) or after in _CLOSERS + _OPENING and after not in "([（¿¡":
             return None
+        if last_word(text, sentence, a) in FINAL:
+            return a
         if number := _NUMBER.match(text, b, self.end):
             i = number.end()
             while i < self.end and text[i].isspace():
@@ -214,7 +241,7 @@ class _Line:
             if first.isdigit() and not re.search(r"\s", text[sentence:a].strip()):
                 return None  # one word and dots before a number: a pause
             if _spaceless(first) and not spaced and a and _spaceless(text[a - 1]):
-                return None if first_word(text, n, end) in CONTINUING and text[max(sentence, a - 1) : a] not in FINAL else stop
+                return None if first_word(text, n, end) in CONTINUING and last_word(text, sentence, a) not in FINAL else stop
             return stop if spaced or not first.isascii() or first.isupper() else None
         if lower:
             return None

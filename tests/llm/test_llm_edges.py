@@ -393,6 +393,16 @@ def test_sentence_cases(marked):
     assert sentence_ends(text) == ends, [text[a:b] for a, b in zip([0, *sentence_ends(text)], sentence_ends(text))]
 
 
+@pytest.mark.parametrize("marked", [
+    "まだ見ていません……|と彼は言った。|", "もう行きましょう……|とにかく急ぐ。|", "猫が……の上にいる。|", "「はい……と答えた。」|",
+    "她说：“快走吧！”|地球在转动。|", "她说：“快走吧！”|或许下雨了。|", "“快走吧！”的声音传来。|", "「早く来て。」|とにかく急ぐ。|", "「早く来て。」|にわとりが鳴く。|", "「早く来て。」と呼ぶ。|",
+    "ขอบคุณครับ| 3 คนเดินไป|", "ไปไหมคะ| 2 คนตอบ|", "ทีมชนะ 3 ครั้ง|", "ไปแล้ว 3 ครั้ง|",
+])
+def test_particles_and_words_beside_gaps(marked):
+    text, ends = cut_at(marked)
+    assert sentence_ends(text) == ends, [text[a:b] for a, b in zip([0, *sentence_ends(text)], sentence_ends(text))]
+
+
 def test_sentences_on_odd_input(spark):
     assert sentence_ends(None) == sentence_ends("") == sentence_ends(" \n\ufeff\t") == sentence_ends("...\n!!") == []
     assert sentence_ends("1.\nThe end.") == [11] and sentence_ends("no mark") == [7]
