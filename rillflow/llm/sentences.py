@@ -63,9 +63,24 @@ _BREAK = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _LABEL = re.compile(
     r"[\s\ufeff\u200b]*(?:(?:\[[^\]]{0,120}\]|[-*•·–—▪◦‣●○■□►]+(?=\s)|\(?\d{1,3}[.)、．）](?!\d)|\(?[^\W\d_][.)](?=\s)|#{1,6}(?=\s)|>+(?=\s)|[①-⑳])[\s\ufeff]*)*"
 )
-_THAI = "ก-ฺเ-๎"
+#: Thai and Lao, whose sentences end at spaces.
+_THAI = "ก-ฺเ-๎\u0e81-\u0ebd\u0ec0-\u0ece\u0edc-\u0edf"
+#: Other scripts without spaces between words: Tibetan, Burmese, Khmer, Tai, Balinese, Javanese.
+_SOUTHEAST = re.compile("[\u0e81-\u0ebd\u0ec0-\u0ece\u0edc-\u0edf\u0f00-\u0f0c\u0f40-\u0fbc\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u17d7\u17dc-\u17e9\u1950-\u19df\u1a20-\u1a99\u1b00-\u1b4c\ua980-\ua9c0\ua9cf-\ua9fe\uaa60-\uaadf]")
+#: Unicode's Sentence_Terminal without ASCII, and without U+104A, which is a comma in Burmese.
+_TERMINAL = (
+    "\u0589\u061d-\u061f\u06d4\u0700-\u0702\u07f9\u0837\u0839\u083d\u083e\u0964\u0965\u104b\u1362\u1367\u1368\u166e\u1735\u1736"
+    "\u17d4\u17d5\u1803\u1809\u1944\u1945\u1aa8-\u1aab\u1b4e\u1b4f\u1b5a\u1b5b\u1b5e\u1b5f\u1b7d-\u1b7f\u1c3b\u1c3c\u1c7e\u1c7f\u2024"
+    "\u203c\u203d\u2047-\u2049\u2cf9-\u2cfb\u2e2e\u2e3c\u2e53\u2e54\u2e60\u2e61\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877"
+    "\ua8ce\ua8cf\ua92f\ua9c8\ua9c9\uaa5d-\uaa5f\uaaf0\uaaf1\uabeb\ufe12\ufe15\ufe16\ufe52\ufe56\ufe57\uff01\uff0e\uff1f\uff61"
+    "\U00010a56\U00010a57\U00010f55-\U00010f59\U00010f86-\U00010f89\U00011047\U00011048\U000110be-\U000110c1\U00011141-\U00011143"
+    "\U000111c5\U000111c6\U000111cd\U000111de\U000111df\U00011238\U00011239\U0001123b\U0001123c\U000112a9\U000113d4\U000113d5"
+    "\U0001144b\U0001144c\U000115c2\U000115c3\U000115c9-\U000115d7\U00011641\U00011642\U0001173c-\U0001173e\U00011944\U00011946"
+    "\U00011a42\U00011a43\U00011a9b\U00011a9c\U00011c41\U00011c42\U00011ef7\U00011ef8\U00011f43\U00011f44\U00016a6e\U00016a6f\U00016af5"
+    "\U00016b37\U00016b38\U00016b44\U00016d6e\U00016d6f\U00016e98\U0001bc9f\U0001da88"
+)
 _GREEK = "Ͱ-Ͽἀ-῿"
-_MARKS = re.compile(rf"(?:[.!?…。！？｡．।॥۔؟։።፧፨‼⁇⁈⁉‽\u037e]|(?<=[{_GREEK}]);)+")
+_MARKS = re.compile(rf"[\u0f0d\u0f0e](?: ?[\u0f0d\u0f0e])*|(?:[.!?…\u037e{_TERMINAL}]|(?<=[{_GREEK}]);)+")
 _THAI_GAP = re.compile(rf"(?<=[{_THAI}])[ \t\xa0\u200b\u3000]+(?=\S)")
 _PAIRS = {"“": "”", "„": "“”", "”": "“", "«": "»", "»": "«", "‹": "›", '"': '"', "'": "'", "‘": "’", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】", "{": "}"}
 _PAIRED = re.compile(r"[“„”«»‹›\"'‘’「」『』《》〈〉()（）\[\]【】{}]")
@@ -106,7 +121,7 @@ def last_word(text: str, start: int, at: int) -> str:
 
 
 def _spaceless(c: str) -> bool:
-    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0003ffff" or "가" <= c <= "힣"
+    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0003ffff" or "가" <= c <= "힣" or bool(_SOUTHEAST.match(c))
 
 
 def _asides(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -233,7 +248,7 @@ class _Line:
         lower = first.islower() and not _mixed_case(text, head, end)
         if marks == ".":
             return stop if self._dot(a, n, spaced, first, lower, stop > b, sentence) else None
-        if marks == "．":
+        if marks in ("．", "․", "﹒"):
             return None if a and text[a - 1].isdigit() and nxt.isdigit() and not spaced else stop
         if "…" in marks or ".." in marks:
             if lower:

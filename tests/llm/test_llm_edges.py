@@ -396,6 +396,8 @@ def test_sentence_cases(marked):
 @pytest.mark.parametrize("marked", [
     "まだ見ていません……|と彼は言った。|", "もう行きましょう……|とにかく急ぐ。|", "猫が……の上にいる。|", "「はい……と答えた。」|",
     "她说：“快走吧！”|地球在转动。|", "她说：“快走吧！”|或许下雨了。|", "“快走吧！”的声音传来。|", "「早く来て。」|とにかく急ぐ。|", "「早く来て。」|にわとりが鳴く。|", "「早く来て。」と呼ぶ。|",
+    "ឆ្មាដេក។| ឆ្កែរត់។|", "ឆ្មាដេក ហើយឆ្កែរត់។|ក្មេងយំ។|", "ကြောင်အိပ်သည်။| ခွေး၊ ငှက်ပြေးသည်။|ကလေးငိုသည်။|", "བཀྲ་ཤིས། །|བདེ་ལེགས།| ཁྱི་རྒྱུག།|",
+    "ແມວນອນ| ໝາແລ່ນ 3 ຕົວ| ເດັກໄຫ້|", "ܫܠܡܐ܀| ܟܬܒܐ܂|", "ᠮᠣᠷᠢ᠃| ᠨᠣᠬᠠᠢ᠃|", "ꦏꦸꦕꦶꦁ꧉| ꦲꦱꦸ꧉|", "Value 3․5 holds.| Next.|",
     "ขอบคุณครับ| 3 คนเดินไป|", "ไปไหมคะ| 2 คนตอบ|", "ทีมชนะ 3 ครั้ง|", "ไปแล้ว 3 ครั้ง|",
 ])
 def test_particles_and_words_beside_gaps(marked):
