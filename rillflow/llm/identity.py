@@ -16,8 +16,6 @@ from rillflow.scale import attach_small, cut
 
 #: SHA-1 of no bytes: the hash of a failed copy.
 EMPTY_SHA1 = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
-#: Folders of a place that may belong to the id itself.
-DEPTH = 4
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -59,7 +57,7 @@ def resolve_places(names: DataFrame, known: DataFrame) -> DataFrame:
     """
     pieces = F.split("name", "/")
     size = F.size(pieces)
-    tails = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(DEPTH), size)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(pieces, size - k + 1, k), "/").alias("tail")))).alias("t")).select("name", "t.k", "t.tail")
+    tails = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), size), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(pieces, size - k + 1, k), "/").alias("tail")))).alias("t")).select("name", "t.k", "t.tail")
     hits = tails.join(known.withColumnRenamed("name", "tail"), "tail").groupBy("name").agg(F.max_by("tail", F.struct(-F.col("tier"), "k")).alias("hit"))
     plain = F.regexp_replace("name", r"^.*/(?:videos|proxy_[^/]+)/", "")
     fallback = F.when(plain.startswith("/"), F.element_at(pieces, -1)).otherwise(plain)
@@ -90,9 +88,11 @@ def find_videos(names: DataFrame, files: DataFrame) -> Videos:
     stored = cut(names.select("video_id").distinct().select(spelled(F.col("video_id")).alias("name")).where("name is not null").distinct())
     filed = cut(files.select("video_id", F.lower(F.trim("content_sha1")).alias("sha"), "n_bytes").distinct().select(spelled(F.col("video_id")).alias("name"), "sha", "n_bytes").where("name is not null"))
     has_folder = F.col("name").contains("/")
+    # a place is no id, or it would be its own longest tail
+    rooted, below_videos = F.col("name").startswith("/") | F.col("name").rlike("^[a-z]:/"), F.col("name").rlike("/(?:videos|proxy_[^/]+)/")
     known = (
-        filed.select("name", F.lit(0).alias("tier"))
-        .unionByName(stored.where(~F.col("name").startswith("/") & ~F.col("name").rlike("^[a-z]:/")).select("name", F.lit(1).alias("tier")))
+        filed.where(~rooted).select("name", F.lit(0).alias("tier"))
+        .unionByName(stored.where(~rooted & ~below_videos).select("name", F.lit(1).alias("tier")))
         .groupBy("name").agg(F.min("tier").alias("tier"))
     )
     places = cut(resolve_places(stored.unionByName(filed.select("name")).where(has_folder).distinct(), known).where("canon <> name"))

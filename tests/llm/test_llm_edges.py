@@ -128,6 +128,14 @@ def test_video_names(spark):
     assert empty.attach(names, F.col("video_id")).where("video_id = 'twin'").first()["video"] == "twin"
 
 
+def test_ids_of_many_folders(spark):
+    files = spark.createDataFrame([("a/b/c/d/e", 5, "aa"), ("/mnt/s/t/u/v/videos/deep_filed", 6, "bb")], "video_id string, n_bytes long, content_sha1 string")
+    want = {"a/b/c/d/e": "a/b/c/d/e", "/mnt/disk/A/b/c/d/e.mp4": "a/b/c/d/e", "s3://bucket/x/y/a/b/c/d/e.webm": "a/b/c/d/e", "1/2/3/4/5/6/7": "1/2/3/4/5/6/7", "/root/1/2/3/4/5/6/7.mp4": "1/2/3/4/5/6/7",
+            "deep_filed": "deep_filed", "/mnt/s/t/u/v/videos/deep_filed.mp4": "deep_filed", "p/q/r/s/videos/lone": "lone", "lone": "lone", "/p/q/r/s/t/lone": "lone"}
+    names = spark.createDataFrame([(n,) for n in want], "video_id string")
+    assert {r["video_id"]: r["video"] for r in find_videos(names, files).attach(names, F.col("video_id")).collect()} == want
+
+
 def test_spelling_is_an_expression(spark):
     df = spark.createDataFrame([("a+b%20c.mp4",), ("%zz",)], "v string")
     assert [r[0] for r in df.select(spelled(F.col("v"))).collect()] == ["a+b c", "%zz"]
