@@ -22,6 +22,8 @@ from rillflow.scale import cut
 
 #: Rows of a video that p2 leaves, share of the corpus that p4 draws, similarity of near messages, allowance of p1_found.
 CAP, FRACTION, NEAR, WITHIN = 15, 0.2, 0.75, 0.02
+#: Rows of split_targets that the driver takes.
+MOST_SPLITS = 1000
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -82,7 +84,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "corpus_rows").select("row_id", F.col("extra_info.video_id").alias("video_id"), clean_name(F.col("data_source")).alias("data_source"))
-    targets = [(r["split"], r["target_share"]) for r in _read(spark, d, "split_targets").limit(1000).collect()]
+    targets = [(r["split"], r["target_share"]) for r in _read(spark, d, "split_targets").limit(MOST_SPLITS + 1).collect()]
+    if len(targets) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
     return assign_splits(_videos(spark, d).attach(rows, F.col("video_id")), "video", "data_source", "row_id", targets)
 
 

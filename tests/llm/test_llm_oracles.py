@@ -31,6 +31,21 @@ def test_splits_keep_videos_together(spark, data):
     assert abs(shares["train"] - 0.8) < 0.08
 
 
+def test_too_many_splits_are_an_error(spark, data, tmp_path):
+    import os
+
+    for f in os.listdir(data):
+        if not f.startswith("split_targets"):
+            (tmp_path / f).symlink_to(f"{data}/{f}")
+    for n in (1000, 1001):
+        spark.range(n).selectExpr("concat('s', id) AS split", "1.0D AS target_share").write.mode("overwrite").parquet(f"{tmp_path}/split_targets.parquet")
+        if n == 1000:
+            assert queries.p3_splits(spark, str(tmp_path)).columns
+        else:
+            with pytest.raises(ValueError, match="splits"):
+                queries.p3_splits(spark, str(tmp_path))
+
+
 def test_sample_is_near_its_plan(spark, data):
     report = Q["p4_report"](spark, data).toPandas()
     assert ((report["sampled"] - report["planned"]).abs() < 1 + 1e-6).all()
