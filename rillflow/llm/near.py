@@ -1,19 +1,23 @@
-"""Near messages within a video: all pairs by size and parity signature, exact Jaccard similarity of word bags after it.
-
-A message is the bag of its words; the k-th use of a word is an element of its own, so the similarity of bags is that of sets. Every
-pair of different bags of a video is looked at, and both filters are free of loss: a pair of similarity t has sizes whose ratio is
-at least t, and the distance of parity signatures never exceeds the bags' difference. What is left is verified on the words
-themselves, so no pair at or above the limit is missed in a video of any size. The work grows with the square of a video's different
-messages (a few nanoseconds a pair).
-
-Videos of up to ``LOCAL`` rows are searched where their rows meet after one shuffle; larger ones are dealt into blocks by hash, and
-each pair of blocks is a cell of its own.
+"""Near messages within a video: a multi-index join over b-bit minwise signatures, exact Jaccard similarity of word bags after it.
+
+A message is the bag of its words (or of its shingles of ``shingle`` words); the k-th use of a word is an element of its own, so the
+similarity of bags is that of sets. Its signature is a row of minwise symbols of ``BITS`` bits, split into chunks. Two messages are compared
+if some chunk agrees but for at most ``errors`` symbols; the allowed errors are enumerated by leaving out each symbol of a chunk in
+turn and meeting on a hash of the others. By pigeonhole this finds all pairs whose signatures differ in fewer than
+(errors + 1) x chunks symbols, and pairs beyond that with the chance that ``layout`` brings to 1 - ``MISS`` at the limit itself. It does so
+at every size of a video: a larger one has longer chunks and more of them, so the rows that meet by chance stay few and the work grows a
+little faster than the rows and not with their square. Pairs that meet pass two filters without loss (their sizes' ratio is at least the
+similarity; the distance of parity signatures never exceeds the bags' difference) and are verified on the words themselves.
+
+Videos of up to ``LOCAL`` rows are searched where their rows meet after one shuffle. Of larger ones each task gets the chunks of a few
+places for up to ``BLOCK`` rows; beyond that a chunk's rows are dealt by the hash of a half of it, one of which agrees in every pair.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +29,43 @@ from rillflow.scale import attach_small, cut
 
 #: Rows up to which a video is searched in one task.
 LOCAL = 4096
-#: Rows up to which a video is compared together with others, offset by offset; larger ones row by row.
-FEW = 256
-#: Rows of a block of a large video, blocks that every large video has if its rows fill them by LOCAL, and tasks of all cells.
-BLOCK, LEAST_BLOCKS, MOST_TASKS = 131_072, 8, 4000
+#: Rows that a task holds of a larger video, rows for each bundle of chunks below that, and tasks of all bundles.
+BLOCK, BUNDLE_ROWS, MOST_TASKS = 500_000, 8192, 4000
+#: Chance to miss a pair whose similarity is the limit; pairs above it are missed far more seldom.
+MISS = 1e-5
+#: Bits of a minwise symbol.
+BITS = 8
 #: Words for each 64 bits of a parity signature, and its most lanes; longer bags only leave more pairs to verify.
-WORDS_A_LANE, MOST_LANES = 56, 64
-#: Of ``layout`` only: similarity of the pairs, and the share of them that may be missed.
-DESIGN, MISS = 0.775, 0.002
+WORDS_A_LANE, MOST_LANES = 56, 16
+#: Pairs of rows that are looked at together, elements that are hashed together.
+PAIRS, ELEMENTS = 1 << 20, 1 << 17
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 LINKS = "kind int, row_id_a long, row_id_b long"
 
 
-def layout(n: int, errors: int) -> tuple[int, int]:
-    """Symbols of a chunk and chunks of a minwise index over ``n`` rows. The search doesn't use it, as an index misses pairs."""
+@lru_cache(maxsize=1024)
+def layout(n: int, errors: int, threshold: float = 0.75, miss: float = MISS) -> tuple[int, int]:
+    """Symbols of a chunk and chunks of a signature for videos of up to ``n`` rows, so that at most ``miss`` of the pairs with a
+    similarity of ``threshold`` share no chunk with at most ``errors`` errors."""
     c = max(3, math.ceil(math.log2(max(n, 2)) / 2)) + errors
-    hit = sum(math.comb(c, i) * (1 - DESIGN) ** i * DESIGN ** (c - i) for i in range(errors + 1))
-    return c, max(6, math.ceil(math.log(MISS) / math.log(1 - hit)))
+    hit = sum(math.comb(c, i) * (1 - threshold) ** i * threshold ** (c - i) for i in range(errors + 1))
+    return c, 1 if hit >= 1 else max(2, math.ceil(math.log(miss) / math.log(1 - hit)))
+
+
+def scale_of(n: np.ndarray) -> np.ndarray:
+    """The next power of two: videos of like size share a layout."""
+    return 2 ** np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64)
+
+
+def shards(n: int) -> int:
+    """Parts that the rows of a video of ``n`` rows are dealt into, chunk by chunk."""
+    return -(-n // BLOCK)
+
+
+def bundles(n: int, chunks: int) -> int:
+    """Tasks that share the chunks of a video whose rows one task can hold."""
+    return min(chunks, -(-n // BUNDLE_ROWS))
 
 
 def lanes(size: np.ndarray) -> np.ndarray:
@@ -83,6 +106,23 @@ class Bags:
         bit, lane = _U(1) << (self.x & _U(63)), (self.x >> _U(6)) & _U(lanes - 1)
         return np.stack([self.reduce(np.bitwise_xor, np.where(lane == _U(i), bit, _U(0))) for i in range(lanes)], axis=1)
 
+    def minwise(self, symbols: int) -> np.ndarray:
+        """The lowest bits of the least hash of each bag under each of ``symbols`` hash functions; bags must not be empty."""
+        seed = _mixed(np.arange(1, 2 * symbols + 1, dtype=_U) * _GOLD)
+        first, second = (seed >> _U(32)).astype(np.uint32)[:symbols] | 1, (seed >> _U(32)).astype(np.uint32)[symbols:] | 1
+        out, x = np.empty((len(self.size), symbols), np.uint8), (self.x >> _U(32)).astype(np.uint32)
+        low = 0
+        while low < len(self.size):
+            high = max(low + 1, int(np.searchsorted(self.start, self.start[low] + ELEMENTS, "right")) - 1)
+            part, at = x[self.start[low] : self.start[high]], self.start[low:high] - self.start[low]
+            for k in range(symbols):
+                h = part * first[k]
+                h ^= h >> np.uint32(15)
+                h *= second[k]
+                out[low:high, k] = np.minimum.reduceat(h, at)  # keeps the low BITS bits
+            low = high
+        return out
+
     def take(self, rows: np.ndarray) -> Bags:
         out = object.__new__(Bags)
         out.size = self.size[rows]
@@ -99,13 +139,13 @@ def shared_words(a: Bags, b: Bags) -> np.ndarray:
     return np.bincount(pair[1:][(x[1:] == x[:-1]) & (pair[1:] == pair[:-1])], minlength=len(a.size))
 
 
-def similar(a: Bags, b: Bags, threshold: float) -> np.ndarray:
-    found = np.zeros(len(a.size), bool)
+def similar(a: Bags, b: Bags, threshold: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether row i of ``a`` and row j of ``b`` are that similar, pair by pair."""
+    found = np.zeros(len(i), bool)
     for at in range(0, len(found), 4000):
-        rows = np.arange(at, min(at + 4000, len(found)))
-        p, q = a.take(rows), b.take(rows)
+        p, q = a.take(i[at : at + 4000]), b.take(j[at : at + 4000])
         both = shared_words(p, q)
-        found[rows] = both >= threshold * (p.size + q.size - both) - 1e-9
+        found[at : at + 4000] = both >= threshold * (p.size + q.size - both) - 1e-9
     return found
 
 
@@ -114,87 +154,111 @@ def _words(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.flatten().to_numpy(zero_copy_only=False).view(_U), np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
 
 
-class Signed:
-    """Parity signatures of rows in the order of their size. A row of s words has the lanes of s / threshold words, so that it can be
-    compared with every larger row that it may be near to."""
+def parities(bags: Bags) -> list[np.ndarray]:
+    """The parity signature of each bag; its length depends on the bag's size."""
+    width = lanes(bags.size)
+    out: list[np.ndarray] = [np.zeros(0, _U)] * len(width)
+    for n in np.unique(width):
+        at = np.flatnonzero(width == n)
+        for i, p in zip(at, bags.take(at).parity(int(n))):
+            out[i] = p
+    return out
+
+
+class Filter:
+    """Which pairs of rows sizes and parity signatures leave."""
 
     def __init__(self, size: np.ndarray, parity: list[np.ndarray], threshold: float):
         self.size, self.parity, self.threshold = size, parity, threshold
-        self.folded: dict[int, np.ndarray] = {}
-
-    @staticmethod
-    def of(bags: Bags, threshold: float) -> list[np.ndarray]:
-        """The signature of each bag; its length depends on the bag's size."""
-        width = lanes(bags.size / threshold + 1e-6)
-        out: list[np.ndarray] = [np.zeros(0, _U)] * len(width)
-        for n in np.unique(width):
-            at = np.flatnonzero(width == n)
-            for i, p in zip(at, bags.take(at).parity(int(n))):
-                out[i] = p
-        return out
+        self.width = np.array([len(p) for p in parity], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def lane(self, n: int) -> np.ndarray:
-        """``n`` lanes of all rows, lane by lane; zeros for rows that have fewer."""
+    def lane(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """``n`` lanes of the rows that have as many, and the place of each row among them."""
         if n not in self.folded:
-            out = np.zeros((n, len(self.size)), _U)
-            width = np.array([len(p) for p in self.parity])
-            for w in np.unique(width[width >= n]):
-                at = np.flatnonzero(width == w)
-                out[:, at] = np.bitwise_xor.reduce(np.stack([self.parity[i] for i in at]).reshape(len(at), w // n, n), axis=1).T
-            self.folded[n] = out
+            place = np.cumsum(self.width >= n) - 1
+            out = np.empty((int((self.width >= n).sum()), n), _U)
+            for w in np.unique(self.width[self.width >= n]):
+                at = np.flatnonzero(self.width == w)
+                out[place[at]] = np.bitwise_xor.reduce(np.concatenate([self.parity[i] for i in at]).reshape(len(at), w // n, n), axis=1)
+            self.folded[n] = out, place
         return self.folded[n]
 
-    def near(self, other: Signed) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in self, in other) of the pairs that size and parity leave; with itself, every pair once."""
-        limit, out_i, out_j = (1 - self.threshold) / (1 + self.threshold), [], []
-        low = np.searchsorted(other.size, self.threshold * self.size - 1e-9)
-        high = np.arange(len(self.size)) if other is self else np.searchsorted(other.size, self.size / self.threshold + 1e-9, "right")
-        width = lanes(self.size)
-        for i in np.flatnonzero(low < high):
-            n, lo, hi = int(width[i]), low[i], high[i]
-            mine, theirs = self.lane(n)[:, i], other.lane(n)[:, lo:hi]
-            far = np.bitwise_count(theirs[0] ^ mine[0])
-            if n > 3:
-                far = far.astype(np.uint16)
-            for k in range(1, n):
-                far += np.bitwise_count(theirs[k] ^ mine[k])
-            j = np.flatnonzero(far <= int(limit * (self.size[i] + other.size[hi - 1]) + 1e-9))
-            j = j[far[j] <= limit * (self.size[i] + other.size[lo + j]) + 1e-9]
-            if len(j):
-                out_i.append(np.full(len(j), i))
-                out_j.append(lo + j)
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
-
-
-def _across(size: np.ndarray, parity: list[np.ndarray], p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two lists, or of one if both are the same object, that size and parity leave."""
-    own = p is q
-    if len(p) > len(q):
-        p, q = q, p
-    p = p[np.argsort(size[p], kind="stable")]
-    q = p if own else q[np.argsort(size[q], kind="stable")]
-    a = Signed(size[p], [parity[i] for i in p], threshold)
-    b = a if own else Signed(size[q], [parity[i] for i in q], threshold)
-    i, j = a.near(b)
-    return p[i], q[j]
-
-
-def _together(bags: Bags, run: np.ndarray, side: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one run (and of different sides) that size and parity leave; rows come by run and size."""
-    parity, size, limit = bags.parity(4), bags.size, (1 - threshold) / (1 + threshold)
-    left, d = np.arange(len(size)), 0
-    while len(left):
-        d += 1
-        left = left[left + d < len(size)]
-        left = left[(run[left] == run[left + d]) & (size[left] >= threshold * size[left + d] - 1e-9)]
-        i = left if side is None else left[side[left] != side[left + d]]
-        far = np.bitwise_count(parity[i] ^ parity[i + d]).sum(axis=1, dtype=np.int64)
-        i = i[far <= limit * (size[i] + size[i + d]) + 1e-9]
-        yield i, i + d
-
-
-def _search(table: pa.Table, threshold: float, cross: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def keep(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = self.size[i], self.size[j]
+        ok = np.minimum(a, b) >= self.threshold * np.maximum(a, b) - 1e-9
+        limit, width = (1 - self.threshold) / (1 + self.threshold) * (a + b) + 1e-9, np.minimum(self.width[i], self.width[j])
+        for n in np.unique(width[ok]):
+            at = np.flatnonzero(ok & (width == n))
+            rows, place = self.lane(int(n))
+            far = np.bitwise_count(rows[place[i[at]]] ^ rows[place[j[at]]]).sum(axis=1, dtype=np.int64)
+            ok[at] = far <= limit[at]
+        return ok
+
+
+def _meetings(key: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key (and of the sides 0 and 1), some at a time."""
+    if side is None:
+        order = np.argsort(key)
+        low = np.arange(1, len(key) + 1)
+    else:
+        key = key & ~_U(1)
+        order = np.argsort(key | side.astype(_U))
+    held = key[order]
+    new = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    length = np.diff(np.append(new, len(held)))
+    stop = np.repeat(new + length, length)
+    if side is not None:  # a row of side 0 meets those of side 1 behind it
+        ones = np.add.reduceat(side[order].astype(np.int64), new)
+        low = np.where(side[order] == 0, np.repeat(new + length - ones, length), stop)
+    count = stop - low
+    some = np.flatnonzero(count > 0)
+    low, count = low[some], count[some]
+    upto = np.cumsum(count)
+    a = 0
+    while a < len(some):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+        n = count[a:b]
+        i = np.repeat(some[a:b], n)
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+        yield order[i], order[j]
+        a = b
+
+
+def candidates(run: np.ndarray, side: np.ndarray | None, symbols: np.ndarray, c: int, kept: Filter, errors: int, places: range | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one run (and of sides 0 and 1) that agree in a chunk of ``c`` symbols but for ``errors`` (0 or 1) of them and
+    pass the filter, each once. ``places`` are those of a chunk that may differ (all if None)."""
+    n, codes, fresh = len(run), np.zeros(0, np.int64), []
+    base = _mixed(run.astype(_U) * _GOLD + _U(7))
+    for at in range(0, symbols.shape[1], c):
+        chunk = symbols[:, at : at + c]
+        salt = _mixed(np.arange(1, c + 1, dtype=_U) * _GOLD)
+        hashed = [_mixed(chunk[:, p].astype(_U) + salt[p]) for p in range(c)]
+        whole = np.bitwise_xor.reduce(hashed)
+        for p in [-1] if errors == 0 else places or range(c):
+            rest = base + (whole if p < 0 else whole ^ hashed[p])
+            for i, j in _meetings(rest, side):
+                ok = run[i] == run[j]
+                if p > 0 and (places is None or p > places.start):  # equal chunks meet at their first place already
+                    ok &= chunk[i, p] != chunk[j, p]
+                i, j = i[ok], j[ok]
+                ok = kept.keep(i, j)
+                fresh.append(np.minimum(i, j)[ok] * n + np.maximum(i, j)[ok])
+                if sum(map(len, fresh)) > 4 * PAIRS + len(codes):
+                    codes, fresh = np.unique(np.concatenate([codes, *fresh])), []
+    codes = np.unique(np.concatenate([codes, *fresh]))
+    return codes // max(n, 1), codes % max(n, 1)
+
+
+def _two_sided(run: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows of runs that have both sides."""
+    least, most = np.full(run.max(initial=-1) + 1, 2), np.zeros(run.max(initial=-1) + 1)
+    np.minimum.at(least, run, side)
+    np.maximum.at(most, run, side)
+    return least[run] < most[run]
+
+
+def _search(table: pa.Table, threshold: float, errors: int, cross: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Copies and near pairs in whole videos: (0, representative, copy) and (1, a, b)."""
     ident, video, other, side = (table[c].to_numpy() for c in ("ident", "vk", "vk2", "side"))
     bags = Bags(*_words(table["words"]))
@@ -211,43 +275,31 @@ def _search(table: pa.Table, threshold: float, cross: bool) -> Iterator[tuple[in
         met = (video[empty][1:] == video[empty][:-1]) & (other[empty][1:] == other[empty][:-1])
         yield 1, np.minimum(ident[empty][1:], ident[empty][:-1])[met], np.maximum(ident[empty][1:], ident[empty][:-1])[met]
     reps = order[new & (bags.size[order] > 0)]
-    if len(reps) < 2:
-        return
-    reps = reps[np.lexsort((bags.size[reps], other[reps], video[reps]))]
     change = np.ones(len(reps), bool)
     change[1:] = (video[reps][1:] != video[reps][:-1]) | (other[reps][1:] != other[reps][:-1])
     run = np.cumsum(change) - 1
-    n = np.bincount(run)[run]
-    some = bags.take(reps)
-    few = np.flatnonzero((n > 1) & (n <= FEW))
-    found = [(few[i], few[j]) for i, j in _together(some.take(few), run[few], side[reps][few] if cross else None, threshold)]
-    for start in np.flatnonzero(change & (n > FEW)):
-        rows = np.arange(start, start + n[start])
-        held = some.take(rows)
-        parity = Signed.of(held, threshold)
-        at = np.arange(len(rows))
-        own = side[reps][rows]
-        for p, q in [(at[own == s], at[own > s]) for s in np.unique(own)] if cross else [(at, at)]:
-            i, j = _across(held.size, parity, p, q, threshold)
-            found.append((rows[i], rows[j]))
-    if found:
-        i, j = (np.concatenate(x) for x in zip(*found))
-        ok = similar_pairs(some, i, j, threshold)
-        a, b = ident[reps[i[ok]]], ident[reps[j[ok]]]
+    n = np.bincount(run)[run] if len(run) else run
+    wanted = n > 1
+    if cross:
+        wanted &= _two_sided(run, side[reps])
+    like = scale_of(n)
+    for scale in np.unique(like[wanted]):
+        rows = np.flatnonzero(wanted & (like == scale))
+        some = bags.take(reps[rows])
+        c, m = layout(int(scale), errors, threshold)
+        i, j = candidates(run[rows], side[reps][rows] if cross else None, some.minwise(c * m), c, Filter(some.size, parities(some), threshold), errors)
+        ok = similar(some, some, threshold, i, j)
+        a, b = ident[reps[rows[i[ok]]]], ident[reps[rows[j[ok]]]]
         yield 1, np.minimum(a, b), np.maximum(a, b)
 
 
-def similar_pairs(bags: Bags, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-    return np.concatenate([np.zeros(0, bool), *(similar(bags.take(i[k : k + 4000]), bags.take(j[k : k + 4000]), threshold) for k in range(0, len(i), 4000))])
-
-
 def _as_links(found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for kind, a, b in found:
         if len(a):
             yield pa.record_batch({"kind": pa.array(np.full(len(a), kind, np.int32)), "row_id_a": pa.array(a.astype(np.int64)), "row_id_b": pa.array(b.astype(np.int64))})
 
 
-def _search_videos(threshold: float, cross: bool) -> Callable:
+def _search_videos(threshold: float, errors: int, cross: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
@@ -257,40 +309,85 @@ def _search_videos(threshold: float, cross: bool) -> Callable:
                 continue
             whole = pa.concat_tables(held)
             split = len(whole) - int((video == video[-1]).sum())  # rows come sorted by vk
-            yield from _as_links(_search(whole.slice(0, split), threshold, cross))
+            yield from _as_links(_search(whole.slice(0, split), threshold, errors, cross))
             held = [whole.slice(split)]
         if held and len(whole := pa.concat_tables(held)):
-            yield from _as_links(_search(whole, threshold, cross))
+            yield from _as_links(_search(whole, threshold, errors, cross))
 
     return run
 
 
-def _sign(threshold: float) -> Callable:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names of bags: 128 bits and a size."""
+    for batch in batches:
+        bags = Bags(*_words(batch["words"]))
+        s1, s2 = bags.names()
+        columns = {c: batch[c] for c in ("ident", "vk", "vk2", "side", "n", "text")}
+        yield pa.record_batch(columns | {"s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "size": pa.array(bags.size.astype(np.int64))})
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(rows)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] if data.ndim > 1 else 0)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+PART = "vk long, vk2 long, part long, n long, ident long, side int, size long, parity binary, symbols binary"
+
+
+def _deal(threshold: float, errors: int) -> Callable:
+    """Every row for each part of its video that needs it, with the symbols of the part's chunks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = Bags(*_words(batch["words"]))
-            s1, s2 = bags.names()
-            columns = {c: batch[c] for c in ("ident", "vk", "vk2", "side", "n")}
-            columns |= {"s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "size": pa.array(bags.size.astype(np.int64))}
-            yield pa.record_batch(columns | {"parity": pa.array([p.tobytes() for p in Signed.of(bags, threshold)], pa.binary())})
+            parity = pa.array([p.tobytes() for p in parities(bags)], pa.binary())
+            like = scale_of(batch["n"].to_numpy())
+            for scale in np.unique(like).tolist():
+                at = np.flatnonzero(like == scale)
+                c, m = layout(scale, errors, threshold)
+                symbols = bags.take(at).minwise(c * m)
+                rows = batch.take(pa.array(at))
+                columns = {k: rows[k] for k in ("vk", "vk2", "ident", "side", "size")} | {"n": pa.array(np.full(len(at), scale)), "parity": parity.take(pa.array(at))}
+                for part, held in _parts(symbols, scale, c, m, errors):
+                    yield pa.record_batch({**columns, "part": pa.array(part), "symbols": _binary(held)}).select(PART_COLUMNS)
 
     return run
 
 
-def _cell(threshold: float, cross: bool) -> Callable:
-    """Pairs between the blocks p and q of a video, or inside one, that size and parity leave."""
+PART_COLUMNS = [p.split()[0] for p in PART.split(", ")]
+
+
+def _parts(symbols: np.ndarray, scale: int, c: int, m: int, errors: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of parts and the symbols that go there."""
+    if (s := shards(scale)) == 1:
+        t = bundles(scale, m)
+        for k in range(t):
+            chunks = range(k, m, t)
+            yield np.full(len(symbols), k), np.concatenate([symbols[:, j * c : (j + 1) * c] for j in chunks], axis=1)
+        return
+    for j in range(m):
+        chunk = symbols[:, j * c : (j + 1) * c]
+        for half, fixed in enumerate([range(c)] if errors == 0 else [range(c // 2), range(c // 2, c)]):
+            h = np.zeros(len(chunk), _U)
+            for p in fixed:
+                h = _mixed(h + chunk[:, p] + _GOLD)
+            yield ((j * 2 + half) * s + (h % _U(s)).astype(np.int64)), chunk
+
+
+def _cell(threshold: float, errors: int, cross: bool) -> Callable:
+    """Pairs of one part of a video that meet there and pass the filter."""
 
     def run(table: pa.Table) -> pa.Table:
-        ident, side, size, block = (table[c].to_numpy() for c in ("ident", "side", "size", "block"))
+        ident, side, size = (table[c].to_numpy() for c in ("ident", "side", "size"))
+        scale, part = table["n"][0].as_py(), table["part"][0].as_py()
+        c, _ = layout(scale, errors, threshold)
         parity = [np.frombuffer(p.as_buffer(), _U) for p in table["parity"]]
-        p, q, at = table["p"][0].as_py(), table["q"][0].as_py(), np.arange(len(ident))
-        low, high = at[block == p], at[block == q]
-        if p == q:
-            lists = [(at[side == s], at[side > s]) for s in np.unique(side)] if cross else [(at, at)]
-        else:
-            lists = [(low[side[low] == s], high[side[high] != s]) for s in np.unique(side[low])] if cross else [(low, high)]
-        out = [_across(size, parity, *x, threshold) for x in lists]
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out)) if out else (at[:0], at[:0])
+        symbols = np.frombuffer(b"".join(table["symbols"].to_pylist()), np.uint8).reshape(len(ident), -1)
+        s, places = shards(scale), None
+        if s > 1 and errors:  # the first half agrees in even parts, so that the second may differ
+            places = range(c // 2) if part // s % 2 else range(c // 2, c)
+        i, j = candidates(np.zeros(len(ident), np.int64), side if cross else None, symbols, c, Filter(size, parity, threshold), errors, places)
         return pa.table({"a": ident[i], "b": ident[j]})
 
     return run
@@ -299,59 +396,61 @@ def _cell(threshold: float, cross: bool) -> Callable:
 def _verify(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = similar(Bags(*_words(batch["words_a"])), Bags(*_words(batch["words_b"])), threshold)
+            at = np.arange(batch.num_rows)
+            ok = similar(Bags(*_words(batch["words_a"])), Bags(*_words(batch["words_b"])), threshold, at, at)
             a, b = batch["a"].to_numpy()[ok], batch["b"].to_numpy()[ok]
             yield from _as_links(iter([(1, np.minimum(a, b), np.maximum(a, b))]))
 
     return run
 
 
-def _blocks() -> Column:
-    """Blocks of a video of ``n`` rows."""
-    return F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / LOCAL)))
-
-
-def _spread(hot: DataFrame, threshold: float, cross: bool, tasks: int) -> DataFrame:
-    """Copies and near pairs in videos too large for one task, found by comparing their blocks pair by pair."""
-    signed = cut(hot.withColumn("words", word_hashes(F.col("text"))).select("ident", "vk", "vk2", "side", "n", "words").mapInArrow(
-        _sign(threshold), "ident long, vk long, vk2 long, side int, n long, s1 long, s2 long, size long, parity binary"
+def _spread(hot: DataFrame, threshold: float, errors: int, cross: bool, shingle: int, tasks: int) -> DataFrame:
+    """Copies and near pairs in videos too large for one task."""
+    words = word_hashes(F.col("text"), shingle).alias("words")
+    signed = cut(hot.select("ident", "vk", "vk2", "side", "n", "text", words).mapInArrow(
+        _sign, "ident long, vk long, vk2 long, side int, n long, text string, s1 long, s2 long, size long"
     ))
     name = ["vk", "vk2", "side", "s1", "s2", "size"]
     classes = cut(signed.groupBy(*name).agg(F.min("ident").alias("rep"), F.count(F.lit(1)).alias("copies")))
     copies = signed.select("ident", *name).join(classes.where("copies > 1"), name).where("ident <> rep").select(F.lit(0).alias("kind"), F.col("rep").alias("row_id_a"), F.col("ident").alias("row_id_b"))
-    reps = signed.where("size > 0").join(classes.select(F.col("rep").alias("ident"), *name[:3]), ["ident", *name[:3]]).withColumn("blocks", _blocks())
-    dealt = reps.withColumn("block", F.pmod(F.xxhash64("ident"), "blocks")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.select("vk", "vk2", F.least("block", "k").alias("p"), F.greatest("block", "k").alias("q"), "block", "ident", "side", "size", "parity")
-    key = ["vk", "vk2", "p", "q"]
-    pairs = cut(cells.repartition(tasks, *key).groupBy(*key).applyInArrow(_cell(threshold, cross), "a long, b long").where("a <> b").distinct())
+    reps = signed.where("size > 0").join(classes.select(F.col("rep").alias("ident"), *name), ["ident", *name]).dropDuplicates(["ident", *name])
+    dealt = reps.select("ident", "vk", "vk2", "side", "n", "size", words).mapInArrow(_deal(threshold, errors), PART)
+    key = ["vk", "vk2", "part"]
+    pairs = cut(dealt.repartition(tasks, *key).groupBy(*key).applyInArrow(_cell(threshold, errors, cross), "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = cut(pairs.select(F.col("a").alias("ident")).unionByName(pairs.select(F.col("b").alias("ident"))).distinct())
-    words = attach_small(hot.select("ident", "text"), wanted, ["ident"], "inner", limit=1_000_000).select("ident", word_hashes(F.col("text")).alias("words"))
-    joined = pairs.join(words.select(F.col("ident").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("ident").alias("b"), F.col("words").alias("words_b")), "b")
+    held = attach_small(signed.select("ident", "text"), wanted, ["ident"], "inner", limit=1_000_000).select("ident", words)
+    joined = pairs.join(held.select(F.col("ident").alias("a"), F.col("words").alias("words_a")), "a").join(held.select(F.col("ident").alias("b"), F.col("words").alias("words_b")), "b")
     near = joined.select("a", "b", "words_a", "words_b").mapInArrow(_verify(threshold), LINKS)
     out = copies.unionByName(near)
-    if cross:  # messages without a word have no keys; equal ones on both sides are a pair
+    if cross:  # messages without a word have no symbols; equal ones on both sides are a pair
         blank = classes.where("size = 0").groupBy("vk", "vk2").agg(F.min("rep").alias("row_id_a"), F.max("rep").alias("row_id_b")).where("row_id_a <> row_id_b")
         out = out.unionByName(blank.select(F.lit(1).alias("kind"), "row_id_a", "row_id_b"))
     return out
 
 
-def near_links(rows: DataFrame, threshold: float = 0.75, errors: int = 1, cross: bool = False, local: int = LOCAL) -> DataFrame:
+def near_links(rows: DataFrame, threshold: float = 0.75, errors: int = 1, cross: bool = False, local: int = LOCAL, shingle: int = 1) -> DataFrame:
     """``kind, row_id_a, row_id_b`` over ``rows`` (``ident, video, side, text``): kind 0 binds a copy b to the representative a of
     its class of equal bags, kind 1 is a pair of representatives (the smaller first) whose similarity is ``threshold`` or more.
 
-    No pair is left out. ``errors`` is of the former minwise index and changes nothing.
-    With ``cross`` a class is of one ``side`` and only pairs of different sides count; else ``side`` isn't looked at. Rows with a null video or text have no links;
-    two messages without words are equal. Repeated rows are copies. Whole texts are compared.
+    ``errors`` (0 or 1) symbols of a chunk may differ: 1 is the multi-index join, 0 is plain banding of minwise hashes. Elements are
+    single words, or runs of ``shingle`` words (texts with fewer words are one element). With ``cross`` there are two sides, a class
+    is of one of them and only pairs of different sides count; else ``side`` isn't looked at. Rows with a null video, text or
+    ident (with ``cross``: or side) have no links; two messages without words are equal. Repeated rows are copies. Whole texts are compared.
     """
-    rows = rows.where("video is not null and text is not null and ident is not null").select("ident", "video", (F.col("side").cast("int") if cross else F.lit(0)).alias("side"), "text")
+    if errors not in (0, 1):
+        raise ValueError("errors must be 0 or 1")
+    side = F.when(F.col("side").isNotNull(), (F.col("side") > 1).cast("int")) if cross else F.lit(0)
+    rows = rows.where("video is not null and text is not null and ident is not null").select("ident", "video", side.alias("side"), "text").where("side is not null")
     keyed = rows.withColumns({"vk": F.xxhash64("video"), "vk2": F.xxhash64(F.lit(1), F.col("video"))})
     sizes = cut(keyed.groupBy("vk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local))
-    n_hot, n_cells = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(_blocks() * (_blocks() + 1) / 2), F.lit(0))).first()
-    tagged = attach_small(keyed, sizes, ["vk"], rows=n_hot)
+    scales = {int(r["e"]): r["k"] for r in sizes.groupBy(F.ceil(F.log2("n")).alias("e")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    tagged = attach_small(keyed, sizes, ["vk"], rows=sum(scales.values()))
     small = tagged.where("n is null").select("ident", "vk", "vk2", "side", "text").repartition("vk").sortWithinPartitions("vk", "ident")
-    links = small.select("ident", "vk", "vk2", "side", word_hashes(F.col("text")).alias("words")).mapInArrow(_search_videos(threshold, cross), LINKS)
-    if n_hot:
-        links = links.unionByName(_spread(tagged.where("n is not null"), threshold, cross, min(int(n_cells) + 1, MOST_TASKS)))
+    words = word_hashes(F.col("text"), shingle).alias("words")
+    links = small.select("ident", "vk", "vk2", "side", words).mapInArrow(_search_videos(threshold, errors, cross), LINKS)
+    if scales:
+        parts = sum(k * (bundles(2**e, m) if shards(2**e) == 1 else m * (1 + errors) * shards(2**e)) for e, k in scales.items() for m in [layout(2**e, errors, threshold)[1]])
+        links = links.unionByName(_spread(tagged.where("n is not null"), threshold, errors, cross, shingle, min(parts + 1, MOST_TASKS)))
     return links
 
 

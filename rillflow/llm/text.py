@@ -39,6 +39,12 @@ def user_message(prompt: Column) -> Column:
     return F.coalesce(F.replace(F.array_join(F.transform(turns, lambda m: F.coalesce(m["content"], F.lit(""))), "\n"), F.lit("<video>"), F.lit(" ")), F.lit(""))
 
 
-def word_hashes(text: Column) -> Column:
-    """The words of a text (runs of letters or digits, lower case) as 64-bit hashes, sorted, repeats kept."""
-    return F.sort_array(F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w)))
+def word_hashes(text: Column, shingle: int = 1) -> Column:
+    """The words of a text (runs of letters or digits, lower case) as 64-bit hashes, sorted, repeats kept; or its runs of
+    ``shingle`` words, the whole of a text that has fewer."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    if shingle == 1:
+        return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    runs = F.transform(F.array(hashed), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - shingle + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(h, k, shingle))))
+    return F.when(F.size(words) > 0, F.sort_array(runs[0])).otherwise(F.array().cast("array<bigint>"))
