@@ -2,14 +2,17 @@
 
 A text is cut at its line breaks; within a line every mark that may end a sentence is a node of a terminator lattice, and what
 stands on both sides (abbreviations, numbers, quotations and brackets, letter case) decides whether it does. Where a script has no
-spaces, the words beside an uncertain gap come from the best path through a lattice of dictionary words. After dots, a final particle
-before the gap ends the sentence and else a continuing word after it carries it on; after a quotation only the word that follows
-decides, as a quoted sentence has its own particle. In Thai, a polite or asking particle ends a sentence even before a number. A line's
+spaces, the words beside an uncertain gap come from the cheapest path through a lattice of dictionary words: those that the corpus
+itself shows to be words (``boundary.learn``) and fixed function words. After dots, a final particle before the gap ends the sentence and
+else a continuing word after it carries it on; after a quotation only the word that follows decides, as a quoted sentence has its own
+particle. Where the corpus shows often enough how runs of characters stand to sure ends, that decides before the lists do. Abbreviations
+are the fixed ones and those that the corpus shows. In Thai, a polite or asking particle ends a sentence even before a number. A line's
 label, bullet or number never ends a sentence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.boundary import NO_MODEL, Model, learn
+
 # Abbreviations and words by what they do at a gap, in natural order.
 #: Never end a sentence: titles, and words that point at what follows.
 NEVER = frozenset(
@@ -57,7 +62,8 @@ FINAL = frozenset(
 #: Words that end in a final particle without being one.
 _OTHER = frozenset("ชนะ สถานะ ภาชนะ".split())
 _WORDS = CONTINUING | OPENERS | FINAL | _OTHER
-_LONGEST = max(map(len, _WORDS))
+#: Cost, in nats, of a function word and of a letter that belongs to no word.
+_FUNCTION, _UNKNOWN = 3.0, 14.0
 
 _BREAK = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _LABEL = re.compile(
@@ -90,34 +96,51 @@ _SPEECH = ":：,，،、፦"
 _NUMBER = re.compile(r"[-+]?\d[\d.,٫]*|[٠-٩۰-۹०-९][٠-٩۰-۹०-९.,٫]*")
 
 
-def _best_path(text: str) -> list[str]:
-    """The words on the best path through the words of the dictionary: fewest letters left over, then fewest words."""
-    size = len(text)
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(1e9, 0, 0)] * size  # cost, words, length of the last word
-    for i in range(size):
-        cost, words, _ = best[i]
-        for n in range(1, min(_LONGEST, size - i) + 1):
-            known = text[i : i + n] in _WORDS
-            if n > 1 and not known:
-                continue
-            step = (cost + (0.0 if known else 1.0), words + 1, n)
-            if step[:2] < best[i + n][:2]:
-                best[i + n] = step
-    path = []
-    while size:
-        path.append(text[size - best[size][2] : size])
-        size -= best[size][2]
-    return path[::-1]
+class Lexicon:
+    """The words of a lattice with their costs. A word of the corpus that begins with a continuing word is one only if it opens sentences."""
+
+    def __init__(self, model: Model = NO_MODEL):
+        self.model = model
+        self.cost = {w: c for w, c in model.words.items() if model.opens.get(w) or not any(w[:k] in CONTINUING for k in range(1, len(w)))}
+        self.cost |= dict.fromkeys(_WORDS, _FUNCTION)
+        self.longest = max(map(len, self.cost))
+
+    def path(self, text: str) -> list[str]:
+        """The words on the cheapest path through the lattice of ``text``; the fewest words of equal costs."""
+        size, cost = len(text), self.cost
+        best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(math.inf, 0, 0)] * size  # cost, words, length of the last word
+        for i in range(size):
+            now, words, _ = best[i]
+            for n in range(1, min(self.longest, size - i) + 1):
+                price = cost.get(text[i : i + n], _UNKNOWN if n == 1 else None)
+                if price is not None and (now + price, words + 1) < best[i + n][:2]:
+                    best[i + n] = (now + price, words + 1, n)
+        out = []
+        while size:
+            out.append(text[size - best[size][2] : size])
+            size -= best[size][2]
+        return out[::-1]
 
+    def first_word(self, text: str, at: int, end: int) -> str:
+        """The first word at ``at``."""
+        return (self.path(text[at : min(end, at + 2 * self.longest)]) or [""])[0]
 
-def first_word(text: str, at: int, end: int) -> str:
-    """The first word at ``at``."""
-    return (_best_path(text[at : min(end, at + 2 * _LONGEST)]) or [""])[0]
+    def last_word(self, text: str, start: int, at: int) -> str:
+        """The last word before ``at`` of a text that begins at ``start``."""
+        return (self.path(text[max(start, at - 2 * self.longest) : at]) or [""])[-1]
 
+    def continues(self, text: str, at: int, end: int) -> bool:
+        """Whether what stands at ``at`` carries a sentence on."""
+        known = self.model.opening(text, at, end)
+        return self.first_word(text, at, end) in CONTINUING if known is None else not known
 
-def last_word(text: str, start: int, at: int) -> str:
-    """The last word before ``at`` of a text that begins at ``start``."""
-    return (_best_path(text[max(start, at - 2 * _LONGEST) : at]) or [""])[-1]
+    def closes(self, text: str, start: int, at: int) -> bool:
+        """Whether what stands before ``at`` is final."""
+        known = self.model.closes(text, start, at)
+        return self.last_word(text, start, at) in FINAL if known is None else known
+
+
+PLAIN = Lexicon()
 
 
 def _spaceless(c: str) -> bool:
@@ -178,8 +201,8 @@ def _mixed_case(text: str, at: int, end: int) -> bool:
 
 
 class _Line:
-    def __init__(self, text: str, start: int, end: int):
-        self.text, self.end = text, end
+    def __init__(self, text: str, start: int, end: int, lexicon: Lexicon):
+        self.text, self.end, self.lexicon = text, end, lexicon
         self.begin = min(_LABEL.match(text, start, end).end(), end)
         self.asides = _asides(text, self.begin, end)
         self.opens = [a for a, _ in self.asides]
@@ -208,7 +231,7 @@ class _Line:
         text, after = self.text, self.text[b]
         if self.aside(a) or after in _CLOSERS + _OPENING and after not in "([（¿¡":
             return None
-        if last_word(text, sentence, a) in FINAL:
+        if self.lexicon.last_word(text, sentence, a) in FINAL:
             return a
         if number := _NUMBER.match(text, b, self.end):
             i = number.end()
@@ -256,7 +279,7 @@ class _Line:
             if first.isdigit() and not re.search(r"\s", text[sentence:a].strip()):
                 return None  # one word and dots before a number: a pause
             if _spaceless(first) and not spaced and a and _spaceless(text[a - 1]):
-                return None if first_word(text, n, end) in CONTINUING and last_word(text, sentence, a) not in FINAL else stop
+                return None if self.lexicon.continues(text, n, end) and not self.lexicon.closes(text, sentence, a) else stop
             return stop if spaced or not first.isascii() or first.isupper() else None
         if lower:
             return None
@@ -280,7 +303,7 @@ class _Line:
         if first.islower() and not _mixed_case(text, head, self.end):
             return False
         if _spaceless(first) and not spaced:
-            return first_word(text, n, self.end) not in CONTINUING and (opened or text[k] in _SPEECH) and not "가" <= first <= "힣"
+            return not self.lexicon.continues(text, n, self.end) and (opened or text[k] in _SPEECH) and not "가" <= first <= "힣"
         if opened or text[k] in _SPEECH:
             return True
         return first.isupper() or _mixed_case(text, head, self.end)
@@ -293,6 +316,7 @@ class _Line:
         if before in _CLOSERS or closed:
             return spaced and not lower or (not spaced and (first.isupper() or _spaceless(first)))
         word, at = _token(text, a, sentence)
+        word = re.split("['’]", word)[-1] or word  # d'env.
         if not spaced:
             if first.isdigit() or not first.isalpha():
                 return False
@@ -317,6 +341,8 @@ class _Line:
             return not lower
         if word in NEVER or pair in NEVER or lower:
             return False
+        if word in self.lexicon.model.never and word not in POINTING:
+            return False
         if word in POINTING:
             return first.isupper() and (len(word) > 1 or bool(_NUMBER.fullmatch(previous)))
         if len(word) == 1 and word.isalpha():
@@ -328,7 +354,7 @@ class _Line:
         return True
 
 
-def sentence_ends(text: str | None) -> list[int]:
+def sentence_ends(text: str | None, lexicon: Lexicon = PLAIN) -> list[int]:
     """Code points from the text's start through each sentence's last character; none for null and blank texts."""
     out: list[int] = []
     if not text:
@@ -340,7 +366,7 @@ def sentence_ends(text: str | None) -> list[int]:
         while end > at and (text[end - 1].isspace() or text[end - 1] in "\ufeff\u200b"):
             end -= 1
         if end > at and any(c.isalnum() for c in text[at:end]):
-            line = _Line(text, at, end)
+            line = _Line(text, at, end, lexicon)
             out.extend(line.ends())
             if line.begin < end:  # a label alone belongs to the line that follows
                 out.append(end)
@@ -355,20 +381,25 @@ def sentence_ends(text: str | None) -> list[int]:
     return out
 
 
-def sentences(df: DataFrame, ident: str, text: str) -> DataFrame:
+def sentences(df: DataFrame, ident: str, text: str, model: Model | None = None) -> DataFrame:
     """``ident, sentence_no, start_char, end_char, sentence`` for every sentence of every text of ``df``.
 
     ``end_char`` counts the code points from the text's start through the sentence's last character, ``start_char`` those before its
     first; blanks between sentences belong to none. Null, empty and blank texts have no rows; a text of punctuation alone has none;
-    repeated rows give their sentences each. Texts of any length are read whole, in the task that holds them; nothing is shuffled.
+    repeated rows give their sentences each. Texts of any length are read whole, in the task that holds them.
+
+    ``model`` is what ``boundary.learn`` found; if None it is learned from all texts of ``df`` first, which reads them once more and
+    shuffles counters only. ``NO_MODEL`` uses the fixed words alone.
     """
+    shared = df.sparkSession.sparkContext.broadcast(learn(df, text) if model is None else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(shared.value)
         for batch in batches:
             rows: list[tuple[int, int, int, int, str]] = []
             for r, t in enumerate(batch["_text"].to_pylist()):
                 begin = 0
-                for k, stop in enumerate(sentence_ends(t)):
+                for k, stop in enumerate(sentence_ends(t, lexicon)):
                     while begin < stop and (t[begin].isspace() or t[begin] in "\ufeff\u200b"):
                         begin += 1
                     rows.append((r, k, begin, stop, t[begin:stop]))

@@ -18,7 +18,8 @@ from rillflow.llm.identity import connected_components, find_videos  # noqa: E40
 from rillflow.llm.mix import balance, blend  # noqa: E402
 from rillflow.llm.pack import fill, pack, plan  # noqa: E402
 from rillflow.llm.sample import pivotal, plan_rates, sample_to_targets, tilt  # noqa: E402
-from rillflow.llm.sentences import first_word, sentence_ends, sentences  # noqa: E402
+from rillflow.llm.boundary import NO_MODEL, learn  # noqa: E402
+from rillflow.llm.sentences import PLAIN, Lexicon, sentence_ends, sentences  # noqa: E402
 from rillflow.llm.splits import assign_splits  # noqa: E402
 from rillflow.llm.text import spelled, user_message, word_hashes  # noqa: E402
 from rillflow.llm.tokens import VOCABULARY, with_tokens  # noqa: E402
@@ -484,5 +485,26 @@ def test_sentences_on_odd_input(spark):
 
 
 def test_lattice_prefers_whole_words():
+    first_word = PLAIN.first_word
     assert first_word("的牌子", 0, 3) == "的" and first_word("的确如此", 0, 4) == "的确"
     assert first_word("と書かれた", 0, 5) == "と書かれた" and first_word("とても", 0, 3) == "とても"
+
+
+def test_a_model_of_the_corpus(spark):
+    """Words, openers and abbreviations that no list holds."""
+    rng, texts = random.Random(2), []
+    nouns, verbs = ["地蔵", "少年", "料理", "黒猫"], ["走る", "歩く", "見る", "休む"]
+    for _ in range(400):
+        first, second = rng.choice(nouns), rng.choice(nouns)
+        texts.append(f"{first}が{second}を{rng.choice(verbs)}。{second}が{first}と{rng.choice(verbs)}。")
+        texts.append(f"The box of qty. {rng.choice(['Nine', 'Ten', 'four'])} stands by the {rng.choice(['wall', 'door'])}. It is left there with a note of {rng.choice(['wall', 'door'])} and glass.")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9000, None), (9001, "")], "id long, text string")
+    model = learn(df, "text")
+    assert {"地蔵", "少年"} <= set(model.words) and model.opens["少年が"] and "qty" in model.never and not {"wall", "door", "glass"} & model.never
+    lexicon = Lexicon(model)
+    assert lexicon.first_word("地蔵が走る", 0, 5) == "地蔵" and PLAIN.first_word("地蔵が走る", 0, 5) == "地"
+    text = "「早く見て。」地蔵が走る。See qty. Nine here."
+    assert sentence_ends(text, lexicon) == [7, 13, len(text)] and sentence_ends(text) == [13, 21, len(text)]
+    got = [r["end_char"] for r in sentences(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", model).collect()]
+    assert got == sentence_ends(text, lexicon)
+    assert learn(df.limit(0), "text") == NO_MODEL
