@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.scale import BROADCAST_ROWS, cut, salted_join
+from rillflow.scale import BROADCAST_ROWS, attach_small, cut, running, salted_join
 
 #: Quality bins between 0 and 1; one more below them holds unknown quality.
 BINS = 64
@@ -30,8 +30,8 @@ def cap_contributors(rows: DataFrame, contributor: str, quality: str, ident: str
     smallest value names the contributor in the report.
 
     Counts per contributor and quality bin are combined before they are shuffled; a window over a contributor's bins (not rows)
-    gives the bin in which its cap is reached. Rows in better bins stay, rows in worse ones go, and only rows in that bin are
-    ranked: spread over shards first, each shard keeping its best ``cap``, then those together. No task sees all of a contributor's rows.
+    gives the bin in which its cap is reached and so what it keeps and loses. Rows in better bins stay, rows in worse ones go, and only
+    rows in that bin are ranked, over ranges of quality that are counted first. No task sees all of a contributor's rows, whatever the cap.
     """
     if (cap is None) == (share is None):
         raise ValueError("give either cap or share")
@@ -46,17 +46,18 @@ def cap_contributors(rows: DataFrame, contributor: str, quality: str, ident: str
     histogram = keyed.where(F.col("__who").isNotNull()).groupBy("__who", "__bin").agg(F.count(F.lit(1)).alias("n"), names.alias("name"))
     better = F.coalesce(F.sum("n").over(Window.partitionBy("__who").orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     reached = histogram.withColumn("better", better)
-    report = reached.groupBy(F.col("__who").alias("contributor")).agg(F.min("name").alias("name"), F.sum("n").alias("total")).withColumn("kept", F.least("total", F.lit(cap))).withColumn("lost", F.col("total") - F.col("kept"))
     # of a contributor beyond its cap, the bin in which the cap is reached and the places left in it
-    over = cut(reached.where((F.col("better") <= cap) & (F.col("better") + F.col("n") > cap)).select("__who", F.col("__bin").alias("__cut"), (cap - F.col("better")).alias("__left")))
-    if over.count() <= BROADCAST_ROWS:
+    over = cut(reached.where((F.col("better") <= cap) & (F.col("better") + F.col("n") > cap)).select("__who", F.col("__bin").alias("__cut"), F.col("better").alias("__better"), (cap - F.col("better")).alias("__left")))
+    n_over = over.count()
+    totals = reached.groupBy("__who").agg(F.min("name").alias("name"), F.sum("n").alias("total"))
+    report = attach_small(totals, over, ["__who"], rows=n_over).select(F.col("__who").alias("contributor"), "name", "total", F.coalesce(F.col("__better") + F.col("__left"), "total").alias("kept")).withColumn("lost", F.col("total") - F.col("kept"))
+    over = over.drop("__better")
+    if n_over <= BROADCAST_ROWS:
         judged = keyed.join(F.broadcast(over), "__who", "left")
     else:
         judged = salted_join(keyed, over, ["__who"], F.col(ident))
     columns = [F.col(f"`{c}`") for c in rows.columns]
     sure = judged.where(F.col("__cut").isNull() | (F.col("__bin") > F.col("__cut"))).select(*columns)
-    order = [F.desc("__q"), F.col(ident)]
-    border = judged.where(F.col("__bin") == F.col("__cut")).withColumn("__shard", F.pmod(F.xxhash64(ident), F.lit(64)))
-    first = border.withColumn("__r", F.row_number().over(Window.partitionBy("__who", "__shard").orderBy(*order))).where(F.col("__r") <= cap)
-    second = first.withColumn("__r", F.row_number().over(Window.partitionBy("__who").orderBy(*order))).where((F.col("__r") <= cap) & (F.col("__r") <= F.col("__left")))
-    return Capped(report, sure.unionByName(second.select(*columns)))
+    border = judged.where(F.col("__bin") == F.col("__cut")).withColumn("__worse", -F.col("__q"))
+    placed = running(border, ["__who"], ["__worse", ident], F.lit(1), "__r")
+    return Capped(report, sure.unionByName(placed.where(F.col("__r") < F.col("__left")).select(*columns)))

@@ -2,83 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from rillflow.scale import attach_small, cut
 
 #: Bins of one round.
 BINS = 512
-#: Targets up to which the per-source state of a round is held by the driver (a few hundred bytes each).
-MAX_TARGETS = 200_000
-
-_STATE = T.StructType([
-    T.StructField("source", T.StringType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
-])
 
 
 def score_cutoffs(rows: DataFrame, source: Column, score: Column, targets: DataFrame, bins: int = BINS) -> DataFrame:
-    """Per row of ``targets`` (``source, target``): ``source, target, cutoff, known, kept, share``.
+    """Per source of ``targets`` (``source, target``): ``source, target, cutoff, known, kept, share``.
 
     A cutoff keeps the rows of its source whose score is at or below it; of all cutoffs, keeping none (null cutoff) and all
     included, the one whose share of the source's scored rows is nearest to the target is returned, the smaller at a tie.
     Rows with a null source or a null, NaN or infinite score count nowhere. A source without scored rows has null cutoff and share and 0
-    rows; a null or NaN target likewise keeps its counts with null cutoff and share. Targets beyond 0 and 1 mean 0 and 1.
+    rows; a null or NaN target likewise keeps its counts with null cutoff and share. Targets beyond 0 and 1 mean 0 and 1; null
+    sources of ``targets`` are left out, and of repeated ones the largest target counts.
 
     Each round counts every open source's scores into equal bins between the least and greatest score still in question and zooms
     into the bin that holds the target rank, until that bin has one value. Only counters move (sources x bins, combined before
-    they are shuffled), so a source that holds most rows costs no more than others. One value's ties are one bin by nature.
+    they are shuffled), so a source that holds most rows costs no more than others; the state of a round is a table of one row per
+    source, of which the driver sees the number. One value's ties are one bin by nature.
     """
-    spark = rows.sparkSession
-    wanted = {r["source"]: r["target"] for r in targets.select("source", F.col("target").cast("double").alias("target")).where("source is not null").limit(MAX_TARGETS + 1).collect()}
-    if len(wanted) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    out = T.StructType([
-        T.StructField("source", T.StringType()), T.StructField("target", T.DoubleType()), T.StructField("cutoff", T.DoubleType()),
-        T.StructField("known", T.LongType()), T.StructField("kept", T.LongType()), T.StructField("share", T.DoubleType()),
-    ])
-    if not wanted:
-        return spark.createDataFrame([], out)
+    target = F.col("target").cast("double")
+    wanted = cut(targets.select("source", F.when(~F.isnan(target), target).alias("goal"), target.alias("target")).where("source is not null").groupBy("source").agg(F.max("goal").alias("goal"), F.max("target").alias("target")))
+    n_wanted = wanted.count()
     scored = rows.select(source.alias("source"), score.cast("double").alias("score")).where(F.col("source").isNotNull() & (F.abs("score") < float("inf")))
-    names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    scored = scored.join(F.broadcast(names), "source")  # at most MAX_TARGETS names
-    total = {r["source"]: r for r in scored.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect()}
-    result: dict[str, tuple] = {}
-    # per open source: the range still in question, the rows below it, the greatest score below it; inside: the rows in it
-    state: dict[str, tuple[float, float, int, float | None]] = {}
-    inside: dict[str, int] = {}
-    for s, target in wanted.items():
-        row = total.get(s)
-        if row is None or target is None or target != target:
-            result[s] = (s, target, None, row["n"] if row else 0, 0, None)
-        else:
-            state[s] = (row["lo"], row["hi"], 0, None)
-            inside[s] = row["n"]
-
-    def settle(s: str, value: float, upto: int, below: int, previous: float | None) -> None:
-        n, target = total[s]["n"], min(1.0, max(0.0, wanted[s]))
-        cutoff, kept = (value, upto) if abs(upto / n - target) < abs(below / n - target) - 1e-12 else (previous, below)
-        result[s] = (s, wanted[s], cutoff, n, kept, kept / n)
-
-    while state:
-        for s in [s for s, (lo, hi, _, _) in state.items() if lo == hi]:
-            lo, _, below, previous = state.pop(s)
-            settle(s, lo, below + inside[s], below, previous)
-        if not state:
-            break
-        opened = spark.createDataFrame([(s, lo, hi) for s, (lo, hi, _, _) in state.items()], _STATE)
+    totals = attach_small(scored, wanted.select("source", "goal"), ["source"], "inner", rows=n_wanted).groupBy("source").agg(F.count(F.lit(1)).alias("known"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+    # below: the rows under the range still in question; previous: the greatest score among them; inside: the rows in the range
+    rank = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("goal"))) * F.col("known")
+    start = wanted.join(totals, "source", "left").withColumns({"rank": rank, "below": F.lit(0).cast("long"), "previous": F.lit(None).cast("double"), "inside": F.col("known")})
+    state = cut(start)
+    held = ["source", "lo", "hi", "rank", "below", "previous"]
+    while n_open := state.where("lo < hi and rank is not null").count():
+        opened = state.where("lo < hi and rank is not null")
         half = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1e300, 0.5).otherwise(1.0)  # so that no difference overflows
         place = F.least(F.lit(bins - 1), F.floor((F.col("score") * half - F.col("lo") * half) / (F.col("hi") * half - F.col("lo") * half) * bins).cast("int"))
-        counts: dict[str, list] = {}
-        histogram = scored.join(F.broadcast(opened), "source").where("score between lo and hi").groupBy("source", place.alias("bin"))
-        for r in histogram.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect():
-            counts.setdefault(r["source"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
-        for s, found in counts.items():
-            _, _, below, previous = state[s]
-            rank = min(1.0, max(0.0, wanted[s])) * total[s]["n"]
-            found.sort()
-            for i, (_, n, lo, hi) in enumerate(found):
-                if below + n >= rank - 1e-9 or i == len(found) - 1:
-                    state[s], inside[s] = (lo, hi, below, previous), n
-                    break
-                below, previous = below + n, hi
-    return spark.createDataFrame([result[s] for s in wanted], out)
+        histogram = attach_small(scored, opened.select(*held), ["source"], "inner", rows=n_open).where("score between lo and hi").groupBy("source", place.alias("bin"))
+        counted = histogram.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
+        ordered = Window.partitionBy("source").orderBy("bin")  # at most ``bins`` rows
+        summed = attach_small(counted, opened.select(*held), ["source"], "inner", rows=n_open).withColumns({
+            "under": F.col("below") + F.sum("n").over(ordered) - F.col("n"), "last": F.lead("bin").over(ordered).isNull(), "before": F.coalesce(F.lag("most").over(ordered), "previous"),
+        })
+        hit = summed.where((F.col("under") + F.col("n") >= F.col("rank") - 1e-9) | F.col("last")).groupBy("source").agg(F.min_by(F.struct("least", "most", "under", "before", "n"), "bin").alias("z")).select("source", "z.*")
+        zoomed = attach_small(state, hit, ["source"], rows=n_open)
+        news = {"lo": "least", "hi": "most", "below": "under", "previous": "before", "inside": "n"}
+        fresh = F.col("n").isNotNull()
+        state = cut(zoomed.withColumns({a: F.when(fresh, F.col(b)).otherwise(F.col(a)) for a, b in news.items()}).select(*state.columns))
+    upto, share = F.col("below") + F.col("inside"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("goal")))
+    nearer = F.abs(upto / F.col("known") - share) < F.abs(F.col("below") / F.col("known") - share) - 1e-12
+    kept = F.when(F.col("rank").isNull(), F.lit(0)).when(nearer, upto).otherwise(F.col("below"))
+    cutoff = F.when(F.col("rank").isNotNull(), F.when(nearer, F.col("lo")).otherwise(F.col("previous")))
+    settled = state.select("source", "target", cutoff.alias("cutoff"), F.coalesce("known", F.lit(0)).alias("known"), kept.cast("long").alias("kept"), "rank")
+    return settled.withColumn("share", F.when(F.col("rank").isNotNull(), F.col("kept") / F.col("known"))).drop("rank")

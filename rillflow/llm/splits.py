@@ -13,17 +13,17 @@ HEAVY = 0.001
 CELLS = 4096
 
 
-def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets: list[tuple[str, float]], seed: int = 42) -> DataFrame:
+def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets: list[tuple[str, float]], seed: int = 42, heavy: float = HEAVY) -> DataFrame:
     """``ident, group, source, assigned`` for every row; rows of one ``group`` have one split.
 
     ``group`` names a connected component. A null group is a group of the one row; a null source counts as a source of its own.
     ``targets`` are (split, share) with shares that are brought to a sum of 1; a share of 0 gets nothing but what must go somewhere.
     Repeated rows are assigned alike. No rows: no assignments.
 
-    A group's home is the source with most of its rows. Groups above ``HEAVY`` of all rows (at most 1000) are placed first, each
-    where it leaves the least squared excess overall and in its home. Every other group falls into a cell by the hash of its
-    name, and each home's cells are cut into ranges whose rows, counted beforehand, have the shares still wanted there. Only counts
-    move, apart from the rows' own projection.
+    A group's home is the source with most of its rows. Groups above the share ``heavy`` of all rows (at most 1 / ``heavy``) are placed
+    first, each where it leaves the least squared excess overall and in its home. Every other group falls into a cell by the hash of its
+    name, and each home's cells are cut into ranges whose rows, counted beforehand, have the shares still wanted there. With ``heavy`` = 1
+    ranges alone decide, and a split may be off by the largest group. Only counts move, apart from the rows' own projection.
     """
     whole = sum(s for _, s in targets)
     shares = [(k, s / whole) for k, s in targets]
@@ -33,7 +33,7 @@ def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets:
     sizes = light.groupBy(group, source).agg(F.count(F.lit(1)).alias("n"))
     groups = cut(sizes.groupBy(group).agg(F.sum("n").alias("n"), F.max_by(F.struct(F.col(source).alias("home")), F.struct("n", F.xxhash64(source))).alias("h")).select(group, "n", "h.home"))
     total = groups.agg(F.sum("n")).first()[0] or 0
-    large = groups.where(F.col("n") > max(1.0, HEAVY * total)).orderBy(F.desc("n"), group).collect()
+    large = groups.where(F.col("n") > max(1.0, heavy * total)).orderBy(F.desc("n"), group).collect()
     homes_of_large = {r["home"] for r in large}
     at_home = F.col("home").isin([h for h in homes_of_large if h is not None]) | (F.col("home").isNull() if None in homes_of_large else F.lit(False))
     by_home = {r["home"]: r["n"] for r in groups.where(at_home).groupBy("home").agg(F.sum("n").alias("n")).collect()} if large else {}
@@ -49,9 +49,9 @@ def assign_splits(rows: DataFrame, group: str, source: str, ident: str, targets:
             load[key] = load.get(key, 0) + r["n"]
     spark = rows.sparkSession
     schema = f"`{group}` string, _placed string"
-    heavy = spark.createDataFrame(placed, schema)
+    by_hand = spark.createDataFrame(placed, schema)
     cell = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(CELLS))
-    rest = groups.join(F.broadcast(heavy), group, "left").withColumn("_cell", cell)
+    rest = groups.join(F.broadcast(by_hand), group, "left").withColumn("_cell", cell)
     cells = rest.where("_placed is null").groupBy("home", "_cell").agg(F.sum("n").alias("n"))
     left = [(where[0], k, float(n)) for (where, k), n in load.items() if where is not None]
     used = spark.createDataFrame(left, "home string, split string, used double")

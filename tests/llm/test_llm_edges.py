@@ -85,6 +85,16 @@ def test_cap_on_odd_input(spark):
         capped(spark, rows)
 
 
+def test_cap_of_a_hot_contributor_with_ties(spark):
+    """Shares above all in one bin: the border is ranked over ranges."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 5 < 2, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 700)).alias("who"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.5 + (F.col("id") % 97) / 1e6).alias("q"))
+    got = cap_contributors(df, "who", "q", "id", share=0.3)
+    assert [tuple(r)[2:] for r in got.report.where("contributor = 'hot'").collect()] == [(8000, 6000, 2000)]
+    kept = {r["id"] for r in got.kept.where("who = 'hot'").collect()}
+    best = sorted((-(0.5 if i % 3 == 0 else 0.5 + (i % 97) / 1e6), i) for i in range(20_000) if i % 5 < 2)[:6000]
+    assert kept == {i for _, i in best}
+
+
 # 3
 
 
@@ -395,8 +405,26 @@ def test_pack_spreads_a_hot_length(spark):
 
 
 def test_balance_reaches_goals_or_limits():
-    rate = balance(np.array([100.0, 10.0, 0.0, 50.0]), np.array([250.0, 90.0, 5.0, 0.0]), np.array([4.0, 3.0, 2.0, 2.0]))
-    assert rate == pytest.approx([2.5, 3.0, 0.0, 0.0])
+    size, count = np.array([5, 50, 500]), np.array([40, 10, 3])
+    whole = float(size @ count)
+    for goal in (1.0, 0.01 * whole, 0.3 * whole, whole, 1.7 * whole, 2.9999 * whole):
+        for moments in (("tokens",), ("tokens", "records")):
+            rate = balance(size, count, goal, 3, moments)
+            assert count @ (size * rate) == pytest.approx(goal, rel=1e-8) and (rate <= 3 + 1e-12).all()
+    less, same = balance(size, count, 0.3 * whole, 3), balance(size, count, 0.3 * whole, 3, ("tokens", "records"))
+    assert less[0] > less[1] > less[2] and np.log(less) / size == pytest.approx([np.log(less[0]) / 5] * 3) and same == pytest.approx([0.3] * 3)
+    assert balance(size, count, 9 * whole, 3).tolist() == [3, 3, 3] and not balance(size, count, 0, 3).any() and not balance(size, count, 5, 0).any()
+
+
+def test_blend_passes_gaps_on(spark):
+    sizes = spark.createDataFrame([(i, "abc"[i % 3] if i < 300 else "few", 10 + i % 40) for i in range(330)], "id long, source string, n long")
+    targets = spark.createDataFrame([("few", 0.5, 2), ("a", 0.25, 9), ("b", 0.25, 2)], "source string, target_share double, max_repeats long")
+    for fill in (False, True):
+        report = {r["source"]: r for r in blend(sizes, "id", "source", "n", targets, fill_gaps=fill).report.collect()}
+        assert sum(r["actual_share"] for r in report.values()) == pytest.approx(1) and [s for s, r in report.items() if r["short"]] == ["few"]
+        total = sum(r["reached_share"] for r in report.values())
+        assert total == pytest.approx(1, abs=0.01) if fill else total < 0.75
+    assert abs(report["a"]["blended_tokens"] - report["b"]["blended_tokens"]) <= 50
 
 
 def test_blend_on_odd_input(spark):
