@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ from rillflow.llm.cutoff import score_cutoffs  # noqa: E402
 from rillflow.llm.identity import connected_components, find_videos  # noqa: E402
 from rillflow.llm.mix import balance, blend  # noqa: E402
 from rillflow.llm.pack import fill, pack, plan  # noqa: E402
-from rillflow.llm.sample import pivotal, plan_rates, sample_to_targets, tilt  # noqa: E402
+from rillflow.llm.sample import Members, pivotal, plan_goals, plan_rates, sample_to_targets, tilt  # noqa: E402
 from rillflow.llm.boundary import NO_MODEL, learn  # noqa: E402
 from rillflow.llm.sentences import PLAIN, Lexicon, sentence_ends, sentences  # noqa: E402
 from rillflow.llm.splits import assign_splits  # noqa: E402
@@ -168,18 +169,51 @@ def test_splits_balance_hot_groups(spark):
 # 4
 
 
+def members(moments):
+    cell, target = np.nonzero(np.array(moments))
+    return Members(cell, target)
+
+
 def test_tilting_meets_its_goals():
     count, goals = np.array([100.0, 50.0, 10.0]), np.array([20.0, 30.0, 4.0])
-    assert count * tilt(count, np.eye(3), goals, 0.2) == pytest.approx(goals)
+    assert count * tilt(count, members(np.eye(3)), goals, 0.2) == pytest.approx(goals)
     two = np.array([[1.0, 0], [1, 1], [0, 1]])
-    p = tilt(count, two, np.array([60.0, 30.0]), 0.2)
+    p = tilt(count, members(two), np.array([60.0, 30.0]), 0.2)
     assert two.T @ (count * p) == pytest.approx([60, 30])
 
 
+def test_tilting_of_very_many_targets():
+    rng = np.random.default_rng(3)
+    count = rng.integers(5, 500, 100_000).astype(float)
+    rows, columns = rng.integers(0, 300, 100_000), 300 + rng.integers(0, 400, 100_000)
+    margins = Members(np.tile(np.arange(100_000), 2), np.concatenate([rows, columns]))
+    goals = margins.over_cells(count * 0.2 * np.exp(rng.normal(0, 0.3, 300)[rows] + rng.normal(0, 0.3, 400)[columns - 300]), 700)
+    began = time.time()
+    assert margins.over_cells(count * tilt(count, margins, goals, 0.2), 700) == pytest.approx(goals, rel=1e-6)
+    each = Members(np.arange(100_000), np.arange(100_000))
+    assert count * tilt(count, each, count * 0.3, 0.2) == pytest.approx(count * 0.3)
+    assert time.time() - began < 60
+
+
 def test_rates_of_short_and_small_categories():
-    rate = plan_rates(np.array([1000.0, 5.0, 100.0, 0.0]), np.array([0.5, 0.3, 0.01, 0.19]), np.array([0.0, 0, 20, 5]), 200.0)
+    count, own = np.array([1000.0, 5.0, 100.0, 0.0]), members(np.eye(4))
+    goals = plan_goals(count, np.array([0.5, 0.3, 0.01, 0.19]), np.array([0.0, 0, 20, 5]), 200.0, np.zeros(4, int))
+    rate = plan_rates(count, own, goals, 0.2)
     assert rate[1] == 1 and rate[2] == pytest.approx(0.2) and rate[3] == 0
-    assert np.array([1000.0, 5.0, 100.0, 0.0]) @ rate == pytest.approx(200)
+    assert count @ rate == pytest.approx(200)
+    tight = plan_rates(np.array([10.0, 100.0, 100.0]), members([[1, 1], [1, 0], [0, 1]]), np.array([90.0, 50.0]), 0.3)  # the first would be drawn 1.3 times
+    assert (tight <= 1).all() and 10 * tight[0] + 100 * tight[1] == pytest.approx(90) and 10 * tight[0] + 100 * tight[2] == pytest.approx(50)
+
+
+def test_sample_of_margins(spark):
+    rows = [(f"r{i}", "xyz"[i % 3] if i % 50 else None, (i * i) % 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, band string, hops long")
+    targets = spark.createDataFrame([("x", None, 0.6, 0), ("y", None, 0.3, 0), ("z", None, 0.1, 0), (None, 0, 0.3, 0), (None, 1, 0.7, 0)], "band string, hops long, target_share double, min_rows long")
+    got = sample_to_targets(df, ["band", "hops"], "id", targets, 0.2)
+    report = {(r["band"], r["hops"]): r for r in got.report.collect()}
+    want = {("x", None): 360, ("y", None): 180, ("z", None): 60, (None, 0): 180, (None, 1): 420}
+    assert {k: round(r["planned"], 3) for k, r in report.items()} == want and all(abs(report[k]["sampled"] - n) <= 4 for k, n in want.items())
+    assert got.rows.count() == got.rows.distinct().count() == 600 and got.rows.schema == df.schema
 
 
 def test_pivotal_keeps_probabilities():
