@@ -427,6 +427,22 @@ def test_pack_on_odd_input(spark):
     assert pack(sizes.toDF("doc", "size"), "doc", "size", caps.limit(0)).count() == 0
 
 
+def test_pack_in_units_and_by_join(spark, monkeypatch):
+    from rillflow.llm import pack as P
+
+    monkeypatch.setattr(P, "UNITS", 64)
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 3)
+    sizes = spark.createDataFrame([(f"d{i}", 1 + (i * 37) % 450) for i in range(700)], "doc string, size long")
+    caps = spark.createDataFrame([("large", 1000), ("small", 60), ("odd", 129)], "pack_name string, capacity long")
+    got = pack(sizes, "doc", "size", caps).toPandas()
+    total = sum(1 + (i * 37) % 450 for i in range(700))
+    for name, capacity in (("large", 1000), ("small", 60), ("odd", 129)):
+        part = got[got["pack_name"] == name]
+        held = part.groupby("container_id")["size"].sum()
+        assert part["size"].sum() == total and held.max() <= capacity and (part.groupby("doc").size() == [-(-n // capacity) for n in part.groupby("doc")["size"].sum()]).all()
+        assert len(held) <= 1.08 * total / capacity + 1
+
+
 def test_pack_spreads_a_hot_length(spark):
     sizes = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 50 + 1).alias("n"))
     caps = spark.createDataFrame([("p", 64)], "pack_name string, capacity long")
