@@ -92,9 +92,17 @@ def last_number(c: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
-def boxed(c: Column) -> Column:
-    """What the last \\boxed{...} holds, with one level of inner braces; null without one. ``balanced_boxed`` takes any depth."""
-    found = F.regexp_extract_all(c, F.lit(r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"), F.lit(1))
+def braced(depth: int) -> str:
+    """Pattern of a text whose braces are balanced and at most ``depth`` deep."""
+    body = "[^{}]*"
+    for _ in range(depth):
+        body = rf"[^{{}}]*(?:\{{{body}\}}[^{{}}]*)*"
+    return body
+
+
+def boxed(c: Column, depth: int = 12) -> Column:
+    """What the last \\boxed{...} holds, with up to ``depth`` levels of inner braces; null without one. ``balanced_boxes`` takes any depth."""
+    found = F.regexp_extract_all(c, F.lit(rf"\\boxed\{{({braced(depth)})\}}"), F.lit(1))
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
@@ -167,7 +175,7 @@ def tool_calls(c: Column) -> Column:
 def choice_letter(c: Column) -> Column:
     """A multiple-choice letter A to Z in an answer: '(B)', 'B.', 'B)', 'answer is B', or the letter alone; null else."""
     t = F.trim(c)
-    tries = [F.regexp_extract(t, p, 1) for p in (r"(?i)answer\s*(?:is|:)?\s*\(?([A-Z])\b", r"^\(?([A-Z])\s*[).:]", r"\(([A-Z])\)", r"^([A-Za-z])$")]
+    tries = [F.regexp_extract(t, p, 1) for p in (r"(?i:answer\s*(?:is|:)?\s*)\(?([A-Z])\b(?!')", r"^\(?([A-Z])\s*[).:]", r"\(([A-Z])\)", r"^([A-Za-z])$")]
     return F.upper(F.coalesce(*[F.nullif(x, F.lit("")) for x in tries]))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,14 @@ def schema_faults(df: DataFrame, wanted: str | T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame(faults, "field string, fault string")
 
 
+def split_name(c: Column) -> Column:
+    """A split in lower case without outer spaces; validation is the older name of val."""
+    plain = F.lower(F.trim(c))
+    return F.when(plain == "validation", "val").otherwise(plain)
+
+
 def release_gates(rows: DataFrame) -> DataFrame:
-    r = rows.select(F.col("extra_info.video_id").alias("v"), "split", F.col("reward_model.ground_truth").alias("gt"), F.col("extra_info.answer").alias("a"), F.col("extra_info.reward_type").alias("t"), F.col("videos")[0]["max_frames"].alias("f"), F.length(F.array_join(F.transform("prompt", lambda m: m["content"]), "")).alias("n"))
+    r = rows.select(F.col("extra_info.video_id").alias("v"), split_name(F.col("split")).alias("split"), F.col("reward_model.ground_truth").alias("gt"), F.col("extra_info.answer").alias("a"), F.col("extra_info.reward_type").alias("t"), F.col("videos")[0]["max_frames"].alias("f"), F.length(F.array_join(F.transform("prompt", lambda m: m["content"]), "")).alias("n"))
     numeric = F.col("t") == "numeric"
     one = r.agg(F.count_if(numeric & ~F.coalesce("a", F.lit("")).rlike(r"^-?[0-9]+$")).alias("not_whole"), F.count_if(~F.col("a").eqNullSafe(F.col("gt"))).alias("answer_differs"), F.count_if(numeric & (F.col("f") != 140)).alias("frames"), F.max("n").cast("long").alias("longest_prompt"))
     both = r.where("v is not null").groupBy("v").agg(F.bool_or(F.col("split") == "train").alias("tr"), F.bool_or(F.col("split") == "val").alias("va"))

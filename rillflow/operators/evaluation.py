@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.scale import cut, running
+
 #: Resamples and seed of the bootstrap.
 RESAMPLES, SEED = 1000, 42
 
@@ -50,13 +52,19 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, position: str, n: int,
 
 def rollup(df: DataFrame, source: str, prompt: str, value: str, sizes: list[int]) -> DataFrame:
     """``source, metric, value``: per prompt mean and population deviation of its answers and expected best and worst of 2, 4, ...,
-    then the mean over the source's prompts."""
-    keys = [source, prompt]
-    base = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    parts = base
-    for n in sizes:
-        parts = parts.join(exact_best(df, keys, value, n).withColumnRenamed("best", f"best@{n}"), keys).join(exact_best(df, keys, value, n, worst=True).withColumnRenamed("best", f"worst@{n}"), keys)
-    names = ["mean", "std", *[f"{k}@{n}" for n in sizes for k in ("best", "worst")]]
+    then the mean over the source's prompts. Values are counted once; one order of a prompt's values serves all sizes, as the worst of
+    n draws has the chances of the best read from the other end."""
+    keys, c, k, n = [source, prompt], F.col("_c"), F.col("_k"), F.col("_n")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    each = Window.partitionBy(*keys)
+    upto = counted.withColumns({"_k": F.sum("_c").over(each.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(each)})
+    v = F.col(value).cast("double")
+    mean = F.sum(v * c) / F.sum("_c")
+    best = {f"best@{m}": F.sum(v * (F.pow(k / n, m) - F.pow((k - c) / n, m))) for m in sizes}
+    worst = {f"worst@{m}": F.sum(v * (F.pow((n - k + c) / n, m) - F.pow((n - k) / n, m))) for m in sizes}
+    centred = upto.withColumn("_mean", F.sum(v * c).over(each) / n)
+    parts = centred.groupBy(*keys).agg(mean.alias("mean"), F.sqrt(F.sum(c * F.pow(v - F.col("_mean"), 2)) / F.sum("_c")).alias("std"), *[a.alias(m) for m, a in (best | worst).items()])
+    names = ["mean", "std", *[f"{w}@{m}" for m in sizes for w in ("best", "worst")]]
     means = parts.groupBy(source).agg(*[F.avg(f"`{m}`").alias(m) for m in names])
     return means.select(source, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("value")) for m in names])).alias("m")).select(source, "m.*")
 
@@ -66,14 +74,17 @@ def core_label(variable: Column, metric: Column) -> Column:
     return F.when((variable == "acc") & metric.rlike("^(mean|maj|best)"), "core").otherwise("aux")
 
 
-def reducer_of(name: Column) -> Column:
-    """How a metric is reduced, by the last part of its name: max, min, or the mean. Whole words count, so 'minibatch' is a mean."""
+def reducer_of(name: Column, whole_words: bool = False) -> Column:
+    """How a metric is reduced, by its name: max, min, or the mean. Any part of the name counts, so 'minibatch' is a minimum; with
+    ``whole_words`` only words of its last part do."""
+    if not whole_words:
+        return F.when(name.contains("max"), "max").when(name.contains("min"), "min").otherwise("mean")
     last = F.element_at(F.split(name, "/"), -1)
     return F.when(last.rlike(r"(^|[_-])max($|[_-])"), "max").when(last.rlike(r"(^|[_-])min($|[_-])"), "min").otherwise("mean")
 
 
-def reduce_metrics(df: DataFrame, name: str, value: str) -> DataFrame:
-    v, how = F.col(value), reducer_of(F.col(name))
+def reduce_metrics(df: DataFrame, name: str, value: str, whole_words: bool = False) -> DataFrame:
+    v, how = F.col(value), reducer_of(F.col(name), whole_words)
     return df.groupBy(name).agg(F.max(v).alias("_max"), F.min(v).alias("_min"), F.avg(v).alias("_mean")).select(name, F.when(how == "max", F.col("_max")).when(how == "min", F.col("_min")).otherwise(F.col("_mean")).alias("reduced"))
 
 
@@ -91,11 +102,27 @@ def aggregate_steps(df: DataFrame, name: str, value: str, step: str, weight: str
     return each.select(name, how.alias("rule"), pick.alias("value"))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact tp50, tp95 and tp99 (interpolated), mean, least and greatest; equal values are counted before they are sorted."""
+def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float] | None = None) -> DataFrame:
+    """Exact tp50, tp95 and tp99 (interpolated; or ``points``), mean, least and greatest of each key's values that aren't null.
+
+    Equal values are counted before they are sorted, and ranks come from sums over ranges of values, so neither a hot key nor the
+    whole table (no ``keys``) is sorted in one task.
+    """
+    points = points or {"tp50": 0.5, "tp95": 0.95, "tp99": 0.99}
+    c, v = F.col("_c"), F.col(value).cast("double")
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    p = counted.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("_c")).alias("_p"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest"))
-    return p.select(*keys, F.col("_p")[0].alias("tp50"), F.col("_p")[1].alias("tp95"), F.col("_p")[2].alias("tp99"), "mean", "least", "greatest")
+    spans = running(counted, keys, [value], c, "_from")
+    totals = cut(spans.groupBy(*keys).agg(F.sum("_c").alias("_n"), (F.sum(v * c) / F.sum("_c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("greatest")))
+    small = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n")
+    joined = spans.join(small, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else spans.join(F.broadcast(small))  # one row without keys
+    place = {name: F.lit(p) * (F.col("_n") - 1) for name, p in points.items()}
+    held = lambda at: (at >= F.col("_from")) & (at < F.col("_from") + c)
+    ends = [F.max(F.when(held(f(at)), v)).alias(f"_{name}{e}") for name, at in place.items() for e, f in (("l", F.floor), ("h", F.ceil))]
+    found = joined.groupBy(*keys).agg(*ends) if keys else joined.agg(*ends)
+    both = found.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[x for x in found.columns if x not in keys])
+    out = totals.join(both, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else totals.join(F.broadcast(both))
+    part = lambda name: F.col(f"_{name}l") + (F.col(f"_{name}h") - F.col(f"_{name}l")) * (place[name] - F.floor(place[name]))
+    return out.select(*keys, *[part(name).alias(name) for name in points], "mean", "least", "greatest")
 
 
 def counter_deltas(df: DataFrame, worker: str, step: str, at: str, counter: str) -> DataFrame:

@@ -100,10 +100,11 @@ def whiten_rows(df: DataFrame, value: str, out: str, weight: Column | None = Non
     """Value less the weighted mean of all rows over the root of their variance (Bessel) plus 1e-8."""
     w = F.lit(1.0) if weight is None else weight
     v = F.col(value)
-    sums = df.agg(F.sum(w).alias("w_n"), F.sum(w * v).alias("w_s"), F.sum(w * v * v).alias("w_q"))
-    mean = F.col("w_s") / (F.col("w_n") + WHITEN_EPS)
-    var = (F.col("w_q") - 2 * mean * F.col("w_s") + mean * mean * F.col("w_n")) / (F.col("w_n") + WHITEN_EPS) * F.col("w_n") / (F.col("w_n") - 1)
-    return df.join(F.broadcast(sums)).withColumn(out, (v - mean) / F.sqrt(var + WHITEN_EPS)).drop("w_n", "w_s", "w_q")  # one row
+    first = df.agg(F.sum(w).alias("w_n"), (F.sum(w * v) / (F.sum(w) + WHITEN_EPS)).alias("w_mean"))
+    centred = df.join(F.broadcast(first))  # one row; squares about the mean, as those about 0 cancel where it is large
+    second = centred.agg(F.sum(w * F.pow(v - F.col("w_mean"), 2)).alias("w_q"))
+    var = F.col("w_q") / (F.col("w_n") + WHITEN_EPS) * F.col("w_n") / (F.col("w_n") - 1)
+    return centred.join(F.broadcast(second)).withColumn(out, (v - F.col("w_mean")) / F.sqrt(var + WHITEN_EPS)).drop("w_n", "w_mean", "w_q")
 
 
 @register("rfpp_baseline")
@@ -118,8 +119,10 @@ def gdpo(df: DataFrame, key: str, rewards: dict[str, float], length: str, out: s
     """Group-normalised advantage of each reward column, their weighted sum whitened over all tokens. No rewards: an error."""
     if not rewards:
         raise ValueError("name the reward columns")
-    parts, total = df, F.lit(0.0)
-    for i, (name, weight) in enumerate(rewards.items()):
-        parts, total = grpo(parts, key, name, f"_a{i}"), total + weight * F.col(f"_a{i}")
-    summed = parts.withColumn("_sum", total).drop(*[f"_a{i}" for i in range(len(rewards))])
+    moments, total = {}, F.lit(0.0)
+    for i, (name, weight) in enumerate(rewards.items()):  # one shuffle for all rewards
+        n, mean, std = F.col(f"_n{i}"), F.col(f"_m{i}"), F.col(f"_s{i}")
+        moments |= {f"_n{i}": F.count(name), f"_m{i}": F.avg(name), f"_s{i}": F.stddev_samp(name)}
+        total = total + weight * F.when(n > 1, (F.col(name) - mean) / (std + SIGMA_EPS)).otherwise(F.col(name) / (1 + SIGMA_EPS))
+    summed = with_group(df, [key], **moments).withColumn("_sum", total).drop(*moments)
     return whiten_rows(summed, "_sum", out, F.col(length)).drop("_sum")

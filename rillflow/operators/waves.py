@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.operators.evaluation import percentiles
+
 #: Variance up to which a group counts as degenerate.
 FLAT = 1e-9
 
@@ -45,11 +47,12 @@ def roll_up(stats: DataFrame) -> DataFrame:
     share = lambda c: F.avg(c.cast("int"))
     given = lambda c, w: F.count_if(c & w) / F.nullif(F.count_if(w).cast("double"), F.lit(0.0))
     t = F.col("triggered")
+    median = percentiles(stats, [], "var_after", {"median_var": 0.5}).select("median_var")
     return stats.agg(
         F.count(F.lit(1)).alias("groups"), *[share(F.col(c)).alias(c) for c in ("all_correct", "all_wrong", "mixed", "triggered")], given(F.col("cracked"), t & F.col("all_wrong")).alias("cracked_share"), given(F.col("broke"), t & F.col("all_correct")).alias("broke_share"),
         given(F.col("w2_solves_new"), t).alias("new_triggered"), given(F.col("w2_solves_new"), ~t).alias("new_untriggered"), (share(F.col("pass_any")) - share(F.col("pass_any_w1"))).alias("coverage_gain"), (F.avg("var_after") - F.avg("var_null")).alias("excess_var"),
-        F.percentile("var_after", F.lit(0.5)).alias("median_var"), F.avg("between_share").alias("between_share"),
-    )
+        F.avg("between_share").alias("between_share"),
+    ).join(F.broadcast(median))  # one row each
 
 
 def drop_decisions(df: DataFrame, key: str, position: str, p: Column, token: Column, least: int, cap: int, tau: float, tags: list[int]) -> DataFrame:

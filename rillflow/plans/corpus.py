@@ -94,9 +94,9 @@ def repointed_videos(spark: SparkSession, d: str) -> DataFrame:
     return J.repoint(rows, "row_id", "videos", "video", moved).select("row_id", F.array_join(F.transform("videos", lambda v: v["video"]), "|").alias("videos"))
 
 
-@query("SELECT DISTINCT extra_info.video_id AS video FROM corpus_rows WHERE split = 'train' AND extra_info.video_id IN (SELECT extra_info.video_id FROM corpus_rows WHERE split IN ('val', 'test'))")
+@query("SELECT DISTINCT extra_info.video_id AS video FROM corpus_rows WHERE split = 'train' AND extra_info.video_id IN (SELECT extra_info.video_id FROM corpus_rows WHERE split IN ('val', 'validation', 'test'))")
 def split_leaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "corpus_rows").select("split", F.col("extra_info.video_id").alias("video"))
+    rows = table(spark, d, "corpus_rows").select(U.split_name(F.col("split")).alias("split"), F.col("extra_info.video_id").alias("video"))
     return J.leaks(rows.where("split = 'train'"), rows.where("split in ('val', 'test')"), "video")
 
 
@@ -124,9 +124,11 @@ def first_root_wins(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("video_id").agg(F.min(rank).alias("r")).select("video_id", "r.path", F.unix_millis("r.scanned_at").alias("scanned"))
 
 
-@query("SELECT path, count(*) AS n FROM (SELECT DISTINCT path, n_bytes, content_sha1 FROM video_files) GROUP BY path HAVING count(*) > 1")
+@query("SELECT target, count(*) AS n FROM (SELECT DISTINCT path, lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '')) AS target FROM video_files WHERE path IS NOT NULL) GROUP BY target HAVING count(*) > 1")
 def path_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "video_files").select("path", "n_bytes", "content_sha1").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Different files that would be written to one place, a folder of their name."""
+    files = table(spark, d, "video_files").where("path is not null").select("path", F.lower(X.stem(F.col("path"))).alias("target")).distinct()
+    return files.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("""WITH s AS (SELECT video_id, user_session, max_by(value, event_id) AS last_value FROM (SELECT user_id AS video_id, event_type AS user_session, event_id, value FROM events) GROUP BY ALL) SELECT e.event_id, round(s.last_value, 6) AS last_value FROM events e JOIN s ON s.video_id = e.user_id AND s.user_session = e.event_type""")
@@ -172,7 +174,7 @@ def schema_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT extra_info.video_id AS v, split, reward_model.ground_truth AS gt, extra_info.answer AS a, extra_info.reward_type AS t, videos[1].max_frames AS f FROM corpus_rows)
- SELECT (SELECT count(DISTINCT v) FROM k WHERE split = 'train' AND v IN (SELECT v FROM k WHERE split = 'val')) AS shared_videos, count(*) FILTER (t = 'numeric' AND NOT regexp_full_match(coalesce(a, ''), '-?[0-9]+')) AS not_whole, count(*) FILTER (a IS DISTINCT FROM gt) AS answer_differs, count(*) FILTER (t = 'numeric' AND f <> 140) AS frames,
+ SELECT (SELECT count(DISTINCT v) FROM k WHERE split = 'train' AND v IN (SELECT v FROM k WHERE split IN ('val', 'validation'))) AS shared_videos, count(*) FILTER (t = 'numeric' AND NOT regexp_full_match(coalesce(a, ''), '-?[0-9]+')) AS not_whole, count(*) FILTER (a IS DISTINCT FROM gt) AS answer_differs, count(*) FILTER (t = 'numeric' AND f <> 140) AS frames,
  (SELECT max(length(array_to_string(list_transform(prompt, lambda m: m.content), ''))) FROM corpus_rows)::BIGINT AS longest_prompt FROM k""")
 def release_gates(spark: SparkSession, d: str) -> DataFrame:
     """What must be zero before a release, and the longest prompt."""
@@ -187,10 +189,10 @@ def written_back(spark: SparkSession, d: str) -> DataFrame:
     return write_checked(table(spark, d, "orders"), "o_orderkey bigint, o_totalprice double")
 
 
-@query("SELECT row_id, split FROM (SELECT row_id, 'a' AS split FROM corpus_rows WHERE split = 'train') UNION ALL SELECT row_id, 'b' FROM corpus_rows WHERE split = 'val'")
+@query("SELECT row_id, split FROM (SELECT row_id, 'a' AS split FROM corpus_rows WHERE split = 'train') UNION ALL SELECT row_id, 'b' FROM corpus_rows WHERE split IN ('val', 'validation')")
 def ordered_phases(spark: SparkSession, d: str) -> DataFrame:
     """Two phases one after the other; no source may be in both, no row twice."""
-    rows = table(spark, d, "corpus_rows")
+    rows = table(spark, d, "corpus_rows").withColumn("split", U.split_name(F.col("split")))
     return U.phases({"a": rows.where("split = 'train'").select("row_id"), "b": rows.where("split = 'val'").select("row_id")}, "row_id").select("row_id", F.col("phase").alias("split"))
 
 

@@ -53,7 +53,7 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", name.alias("name"), "value", ((F.col("event_id") % 97).cast("double") + F.col("event_id") / 1000000.0).alias("step"), (F.col("user_id") % 3 + 1).cast("double").alias("weight"))
 
 
-@query(f"WITH {_METRICS} SELECT name, round(CASE WHEN name LIKE '%/max%' THEN max(value) WHEN name LIKE '%/min' THEN min(value) ELSE avg(value) END, 6) AS reduced FROM m GROUP BY name")
+@query(f"WITH {_METRICS} SELECT name, round(CASE WHEN name LIKE '%max%' THEN max(value) WHEN name LIKE '%min%' THEN min(value) ELSE avg(value) END, 6) AS reduced FROM m GROUP BY name")
 def reduced_metrics(spark: SparkSession, d: str) -> DataFrame:
     return E.reduce_metrics(metrics(spark, d), "name", "value").withColumn("reduced", F.round("reduced", 6))
 

@@ -51,10 +51,11 @@ def masked_stats(spark: SparkSession, d: str) -> DataFrame:
 def whitened(df: DataFrame, column: str, out: str, mask: str = "m", shift_mean: bool = True) -> DataFrame:
     """An array column less its masked batch mean, over the root of its variance plus 1e-8; the mask isn't applied again."""
     x, m = F.col(column), F.col(mask)
-    s = df.agg(F.sum(A.mask_size(m)).alias("n"), F.sum(A.masked_sum(x, m)).alias("s"), F.sum(A.masked_sum(F.transform(x, lambda v: v * v), m)).alias("q"))
-    mean = F.col("s") / (F.col("n") + A.MASK_EPS)
-    var = (F.col("q") - 2 * mean * F.col("s") + mean * mean * F.col("n")) / (F.col("n") + A.MASK_EPS) * F.col("n") / (F.col("n") - 1)
-    joined = df.join(F.broadcast(s.select(mean.alias("w_mean"), var.alias("w_var"))))  # one row
+    first = df.agg(F.sum(A.mask_size(m)).alias("w_n"), (F.sum(A.masked_sum(x, m)) / (F.sum(A.mask_size(m)) + A.MASK_EPS)).alias("w_mean"))
+    centred = df.join(F.broadcast(first))  # one row; squares about the mean, as those about 0 cancel where it is large
+    second = centred.agg(F.sum(A.masked_sum(F.transform(x, lambda v: (v - F.col("w_mean")) * (v - F.col("w_mean"))), m)).alias("w_q"))
+    var = F.col("w_q") / (F.col("w_n") + A.MASK_EPS) * F.col("w_n") / (F.col("w_n") - 1)
+    joined = centred.join(F.broadcast(second)).withColumn("w_var", var).drop("w_n", "w_q")
     w = F.transform(x, lambda v: (v - F.col("w_mean")) / F.sqrt(F.col("w_var") + A.MASK_EPS) + (0.0 if shift_mean else F.col("w_mean")))
     return joined.withColumn(out, w).drop("w_mean", "w_var")
 

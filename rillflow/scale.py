@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +16,18 @@ SHARDS = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder that the cluster names in spark.checkpoint.dir; set one only where there is none."""
+    """Keep the folder that the cluster names in spark.checkpoint.dir. Where it names none, a local session (as in tests) gets a folder
+    that goes with the process; on a cluster it is an error, as executors would not share it."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rillflow-checkpoint-"))
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="rillflow-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
