@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.plans.registry import QUERIES, SQL
 
 #: Modules of plans whose queries are offered.
-MODULES = ("answering", "batches", "corpus", "evaluations", "further", "grouped", "selecting", "streams", "texts", "tokens")
+MODULES = ("answering", "batches", "corpus", "evaluations", "further", "grouped", "questions", "scorers", "selecting", "streams", "texts", "tokens")
 for _name in MODULES:
     importlib.import_module(f"rillflow.plans.{_name}")
 

@@ -86,6 +86,12 @@ def last_hash_number(c: Column) -> Column:
     return F.when(F.size(found) > 0, F.translate(F.element_at(found, -1), ",$", ""))
 
 
+def first_hash_number(c: Column) -> Column:
+    """The number after the first '#### ', without commas: the gold of a worked solution. A text without one is an error; null stays null."""
+    got = F.regexp_extract(c, r"#### (-?[0-9.,]+)", 1)
+    return F.when(c.isNull(), None).when(got == "", F.raise_error(F.lit("a solution without ####")).cast("string")).otherwise(F.replace(got, F.lit(","), F.lit("")))
+
+
 def last_number(c: Column) -> Column:
     """The last number in the last 300 characters that is more than a dot; null without one."""
     found = F.filter(F.regexp_extract_all(F.right(c, F.lit(300)), F.lit(r"(-?[0-9.,]+)"), F.lit(0)), lambda x: ~x.isin("", "."))

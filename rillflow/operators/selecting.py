@@ -98,6 +98,31 @@ def resample(df: DataFrame, key: str, weight: Column, n: int, seed: int) -> Data
     return draws.join(spans, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("draw", key)
 
 
+def preference_weight(df: DataFrame, score: str, how: str, out: str = "weight", power: float = 2.0) -> DataFrame:
+    """Weight of each row for ``resample``: ``pow`` (a power of the score's size), ``max_min`` (1 for the best and worst of all rows, else 0)
+    or ``max_random`` (0.4 for the best, else 0.1)."""
+    if how == "pow":
+        return df.withColumn(out, F.pow(F.abs(F.col(score)), power))
+    if how not in ("max_min", "max_random"):
+        raise ValueError(f"unknown rule {how}")
+    with_ends = df.join(F.broadcast(df.agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"))))  # one row
+    best, worst = F.col(score) == F.col("_hi"), F.col(score) == F.col("_lo")
+    weight = F.when(best | worst, 1.0).otherwise(0.0) if how == "max_min" else F.when(best, 0.4).otherwise(0.1)
+    return with_ends.withColumn(out, weight).drop("_hi", "_lo")
+
+
+def drawn(key: Column, share: float, seed: int) -> Column:
+    """Whether a key is drawn, each with the chance ``share``: the same for all rows of a key, and again in every run of one seed."""
+    return F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13)) < share
+
+
+def traced(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """``df`` with ``traced``: all rows of ``k`` keys chosen by hash, or of all if there are fewer. Null keys are not traced."""
+    order = F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    chosen = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(order, key).limit(k).withColumn("traced", F.lit(True))
+    return df.join(F.broadcast(chosen), key, "left").withColumn("traced", F.coalesce("traced", F.lit(False)))  # k rows
+
+
 def smallest_of_kinds(df: DataFrame, entity: str, ordinal: str, kinds: str, k: int) -> DataFrame:
     """The ``k`` smallest ordinals of every set of ``kinds`` of an entity. Rows with one set are alike to any measure of the sets, so a
     choice of k rows by it, smallest ordinals at a tie, is among these; an entity keeps k rows per set, however many it has."""
