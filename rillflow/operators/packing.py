@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,26 +92,84 @@ def check_parts(parts: list[list[int]], n: int, may_be_empty: bool = False) -> N
 _METHODS = {"differencing": differencing, "greedy": greedy, "equal": lambda w, k: differencing(w, k, True)}
 
 
+def by_batch(df: DataFrame, batch: str, order: str, needed: list[str], place: Callable[..., dict[str, np.ndarray]], added: str) -> DataFrame:
+    """``df`` with the columns ``added`` (DDL) that ``place`` gives for the ``needed`` columns of each batch, in ``order``.
+
+    Batches are dealt to tasks whole and follow each other there, so a call of Python costs a group of many batches and not one."""
+    names = [c.split()[0] for c in added.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in itertools.chain(frames, [None]):
+            held = rest if frame is None else frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if held is None or not len(held):
+                rest = held
+                continue
+            key = held[batch].to_numpy()
+            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+            ends = [*cuts, len(held)] if frame is None else list(cuts)
+            if not ends:
+                rest = held
+                continue
+            done, starts = held.iloc[: ends[-1]], [0, *ends[:-1]]
+            columns = [done[c].to_numpy() for c in needed]
+            found = [place(*[c[a:b] for c in columns]) for a, b in zip(starts, ends)]
+            yield done.assign(**{n: np.concatenate([f[n] for f in found]) for n in names})
+            rest = held.iloc[ends[-1] :].reset_index(drop=True)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.where(F.col(batch).isNotNull()).repartition(batch).sortWithinPartitions(batch, order).mapInPandas(run, f"{kinds}, {added}")
+
+
 def balance(df: DataFrame, batch: str, order: str, weight: str, k: int, method: str = "differencing") -> DataFrame:
     """``df`` with ``part`` and ``at``: its part in its batch and its place after the batch is reordered part by part.
 
-    Null weights count as 0. A part's rows stand in ascending zig-zag of weight: light ones at both ends.
+    Null weights count as 0. A part's rows stand in ascending zig-zag of weight: light ones at both ends. Rows of no batch are left out.
     """
     split = _METHODS[method]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        weights = rows[weight].fillna(0).astype(float).tolist()
+    def place(weight: np.ndarray) -> dict[str, np.ndarray]:
+        weights = np.nan_to_num(weight.astype(float)).tolist()
         parts = split(weights, k)
         check_parts(parts, len(weights), may_be_empty=True)
-        part, at, n = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), 0
+        part, at, n = np.zeros(len(weights), np.int64), np.zeros(len(weights), np.int64), 0
         for p, ids in enumerate(parts):
             for i in zigzag(sorted(ids, key=lambda i: (-weights[i], i))):
                 part[i], at[i], n = p, n, n + 1
-        return rows.assign(part=part, at=at)
+        return {"part": part, "at": at}
+
+    return by_batch(df, batch, order, [weight], place, "part long, at long")
+
+
+def restored(df: DataFrame, batch: str, order: str) -> DataFrame:
+    """Rows of batches that stand in the order ``at`` put back by the inverse of the permutation that moved them: ``batch``, ``pos`` (the
+    place in the batch before it was balanced) and the row's other columns. ``order`` counts within a batch from 0."""
+    moved = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("at", F.struct(*[c for c in df.columns if c not in (batch, "at")]).alias("row")))).alias("rows"))
+    came = F.transform("rows", lambda r: r["row"][order])  # the row now at i came from came[i]
+    inverse = F.transform(came, lambda _, i: F.array_position(came, i.cast(df.schema[order].dataType)) - 1)
+    return moved.select(batch, F.posexplode(F.transform(inverse, lambda i: F.get("rows", i.cast("int"))["row"])).alias("pos", "row")).select(batch, "pos", "row.*")
+
+
+def micro_batched(df: DataFrame, batch: str, order: str, length: str, most: int, at_least: int = 1, multiple: int = 1) -> DataFrame:
+    """``df`` with ``micro``, the micro-batch of its batch (see ``micro_batches``), and ``within``, its place there."""
+    def place(length: np.ndarray) -> dict[str, np.ndarray]:
+        micro, within = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for p, ids in enumerate(micro_batches(length.astype(int).tolist(), most, at_least, multiple)):
+            micro[ids], within[ids] = p, np.arange(len(ids))
+        return {"micro": micro, "within": within}
+
+    return by_batch(df, batch, order, [length], place, "micro long, within long")
+
+
+def grouped(df: DataFrame, batch: str, order: str, uid: str, weight: str, k: int) -> DataFrame:
+    """``df`` with ``part``: neighbouring rows of one uid stay together (see ``grouped_parts``)."""
+    def place(uid: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        part = np.zeros(len(uid), np.int64)
+        for p, ids in enumerate(grouped_parts(uid.tolist(), weight.astype(float).tolist(), k)):
+            part[ids] = p
+        return {"part": part}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", part long, at long"
-    return df.groupBy(batch).applyInPandas(run, schema)
+    return by_batch(df, batch, order, [uid, weight], place, "part long")
 
 
 def balance_report(df: DataFrame, batch: str, order: str, weight: str, k: int) -> DataFrame:

@@ -145,9 +145,46 @@ def run_maps(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy((F.col("user_id") % 4).alias("run"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("c"))
     maps = e.groupBy("run").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", F.array("n", "c"))))).alias("value"))
     path = scratch(spark, "runs")
-    maps.repartition("run").write.partitionBy("run").text(path)
-    read = spark.read.option("wholetext", "true").text(path).select("run", F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("key", "v"))
-    return read.select(F.col("run").cast("long").alias("run"), "key", F.col("v")[0].alias("n"), F.col("v")[1].alias("c"))
+    for run in range(4):  # a file with a name of its own for each run
+        files.write_text(maps.where(F.col("run") == run).select("value"), f"{path}/run{run}.json")
+    read = files.read_run_maps(spark, f"{path}/*.json", [f"run{run}" for run in range(4)])
+    return read.select(F.regexp_extract("run", r"\d+", 0).cast("long").alias("run"), "key", "n", "c")
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 3 = 1 THEN 1 ELSE 2 END::INT AS file_no FROM orders")
+def files_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """A Parquet, a JSON and a JSON lines folder read one after the other by one schema."""
+    orders, path = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), scratch(spark, "kinds")
+    for i, (kind, end) in enumerate((("parquet", "parquet"), ("json", "json"), ("json", "jsonl"))):
+        orders.where(F.col("o_orderkey") % 3 == i).write.format(kind).save(f"{path}/part{i}.{end}")
+    return files.read_many(spark, [f"{path}/part{i}.{end}" for i, end in enumerate(("parquet", "json", "jsonl"))], "o_orderkey bigint, o_totalprice double")
+
+
+@query("SELECT n_regionkey AS kind, count(*) AS n, 25::BIGINT AS first, 0::BIGINT AS again FROM nation GROUP BY n_regionkey")
+def resumed_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities written a folder each, by a run that is repeated and then writes nothing."""
+    nations, path = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("kind")), scratch(spark, "entities")
+    first, again = (files.append_missing(nations, path, "nation") for _ in range(2))
+    return spark.read.parquet(path).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select("kind", "n", F.lit(first).cast("long").alias("first"), F.lit(again).cast("long").alias("again"))
+
+
+@query("SELECT 100::BIGINT AS lines, count(*) AS of_rows FROM customer")
+def capped_dump(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines of a bounded number of rows, with the number of all."""
+    path = scratch(spark, "dump")
+    counts = files.dump_json(table(spark, d, "customer"), path, 100)
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.lit(counts["rows"]).cast("long").alias("of_rows"))
+
+
+@query("SELECT r_name AS stem, CASE WHEN r_regionkey % 2 = 0 THEN 0 ELSE 1 END::INT AS root FROM region")
+def listed_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Files under two roots, the first of which wins where both have one of a name."""
+    path = scratch(spark, "roots")
+    for r in table(spark, d, "region").select("r_regionkey", "r_name").collect():  # five rows
+        for root in (0, 1):
+            if root == 1 or r["r_regionkey"] % 2 == 0:
+                files.write_text(spark.createDataFrame([(r["r_name"],)], "value string"), f"{path}/root{root}/{r['r_name']}.txt")
+    return files.listing(spark, [f"{path}/root0", f"{path}/root1"]).select("stem", "root")
 
 
 @query("SELECT video_id AS id, count(*) AS copies FROM video_files WHERE video_id IS NOT NULL GROUP BY 1")

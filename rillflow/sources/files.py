@@ -90,6 +90,18 @@ def write_checked(df: DataFrame, schema: str) -> DataFrame:
     return spark.createDataFrame([(read,)], "n_rows long")
 
 
+def write_text(df: DataFrame, path: str) -> None:
+    """One text file of that very name with the rows of ``df``, which one task holds."""
+    spark = df.sparkSession
+    part = f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.text(part)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.globStatus(hadoop.Path(f"{part}/part-*"))]
+    fs.rename(found[0], hadoop.Path(path))
+    fs.delete(hadoop.Path(part), True)
+
+
 def append_missing(df: DataFrame, path: str, key: str) -> int:
     """Write only entities that ``path`` doesn't have yet, a folder each; a run that is repeated resumes. Returns rows written."""
     spark = df.sparkSession

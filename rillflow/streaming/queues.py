@@ -173,6 +173,36 @@ def paused_steps(log: DataFrame, key: str, seq: str, capacity: int) -> DataFrame
     return joined.select(key, seq, "op", "version", "flying", "stale", (F.col("stale") >= capacity).alias("paused"))
 
 
+def second_waves(stream: DataFrame, anchors: int, most_var: float, most_mean: float) -> DataFrame:
+    """``uid, n, mean, variance, explore`` on a stream of ``uid, seq, score``: when a prompt's first ``anchors`` scores have come, whether they
+    are flat and weak enough for its second wave to explore. The state is three numbers per open prompt (a mean and squares about it) and
+    survives restarts; later scores change nothing. Null scores aren't counted; those of one micro-batch come in order of ``seq``."""
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, mean, squares = state.get if state.exists else (0, 0.0, 0.0)
+        rows = pd.concat(list(parts)).sort_values("seq")
+        open_ = n < anchors
+        for score in rows["score"].dropna().tolist()[: max(0, anchors - n)]:
+            n += 1
+            off = score - mean
+            mean += off / n
+            squares += off * (score - mean)
+        state.update((n, mean, squares))
+        done = open_ and n == anchors
+        yield pd.DataFrame([(key[0], n, mean, squares / n, bool(squares / n <= most_var and mean <= most_mean))] if done else [], columns=["uid", "n", "mean", "variance", "explore"])
+
+    kind = dict(stream.dtypes)["uid"]
+    return stream.groupBy("uid").applyInPandasWithState(run, f"uid {kind}, n long, mean double, variance double, explore boolean", "n long, mean double, squares double", "append", "NoTimeout")
+
+
+def feed(df: DataFrame, ordinal: str, epochs: int, start: int = 0) -> DataFrame:
+    """``epochs`` passes over numbered rows (0, 1, ...) with ``epoch`` and ``ordinal``, which grows over all of them; only rows from the
+    ordinal ``start`` on, so that a feed goes on where it stopped."""
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    each = df.join(F.broadcast(total)).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))  # one row
+    return each.withColumn("ordinal", F.col(ordinal) + F.col("epoch") * F.col("_n")).where(F.col("ordinal") >= start).drop("_n")
+
+
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Run a stream over what is there now into Parquet files, and wait for its end."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
