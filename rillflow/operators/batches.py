@@ -147,7 +147,3 @@ def islands(df: DataFrame, order: list[str], label: str, by: list[str] = ()) ->
     out = running(out, by, order, F.lit(1), "_ord", is_parted=True)
     first = out.groupBy(*by, "run").agg(F.min("_ord").alias("_first"))
     return out.join(first, [*by, "run"]).withColumn("at", F.col("_ord") - F.col("_first")).drop("_d", "_part", "_ord", "_first")
-
-
-def reorder_by_hash(df: DataFrame, key: str, seed: int) -> Column:
-    return F.sha1(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))

@@ -134,6 +134,45 @@ def counter_deltas(df: DataFrame, worker: str, step: str, at: str, counter: str)
     return sums.withColumn("delta", F.when(d < 0, F.col("total")).otherwise(d))
 
 
+#: Rates of a sampler that drops tokens: what is divided by what. Those of ``ALWAYS`` are 0 where nothing happened, others are left out.
+ALWAYS = {
+    "lp_trigger_rate": ("triggered", "active_positions"), "lp_perturb_rate": ("perturbed", "triggered"), "lp_perturb_per_seq_mean": ("perturb_count_sum", "finished_seqs"), "lp_cap_hit_rate": ("cap_hit_seqs", "finished_seqs"),
+    "lp_skipped_outside_think": ("skipped_outside_think", "active_positions"), "lp_skipped_min_pos": ("skipped_min_pos", "active_positions"), "lp_active_seq_mean": ("active_seq_count_sum", "active_seq_count_steps"),
+}
+RATES = {
+    "drop/logp_mean": ("dropped_logp_sum", "perturbed"), "drop/prob_mean": ("dropped_prob_sum", "perturbed"), "drop/mass_mean": ("dropped_mass_sum", "perturbed"), "drop/runner_up_logp_mean": ("runner_up_logp_sum", "perturbed"),
+    "drop/forced_logp_delta_mean": ("forced_logp_delta_sum", "perturbed"), "drop/entropy_mean": ("dropped_entropy_sum", "dropped_entropy_n"), "drop/trigger_top1_prob_mean": ("trigger_top1_prob_sum", "triggered"),
+    "entropy/drop_post_mask_mean": ("drop_H_post_sum", "drop_H_post_n"), "entropy/drop_delta_mean": ("drop_dH_sum", "drop_H_post_n"), "entropy/drop_residual_concentration": ("drop_resid_conc_sum", "drop_H_post_n"),
+    "entropy/drop_near_forced_frac": ("drop_H_post_near_forced", "drop_H_post_n"), "entropy/drop_open_fork_frac": ("drop_H_post_open", "drop_H_post_n"), "entropy/seq_explore_mean": ("ent_tok_sum_explore", "ent_tok_n_explore"),
+    "entropy/seq_anchor_mean": ("ent_tok_sum_anchor", "ent_tok_n_anchor"), "entropy/post_drop_window_mean": ("post_drop_ent_sum", "post_drop_ent_n"),
+}
+#: Deviations from sums of squares, sums and numbers; differences of rates; histograms and, for some, the bin from which a share is taken.
+SPREADS = {
+    "entropy/drop_post_mask_std": ("drop_H_post_sq_sum", "drop_H_post_sum", "drop_H_post_n"), "entropy/seq_explore_std": ("ent_tok_sq_explore", "ent_tok_sum_explore", "ent_tok_n_explore"), "entropy/seq_anchor_std": ("ent_tok_sq_anchor", "ent_tok_sum_anchor", "ent_tok_n_anchor"),
+}
+GAPS = {"entropy/seq_explore_minus_anchor": ("entropy/seq_explore_mean", "entropy/seq_anchor_mean"), "entropy/post_drop_lift": ("entropy/post_drop_window_mean", "entropy/seq_explore_mean")}
+BARS = {"drop/top1_hist_": ("drop_top1_hist", None, None), "entropy/hist_explore_": ("ent_hist_explore", "entropy/forking_frac_explore", 8), "entropy/hist_anchor_": ("ent_hist_anchor", "entropy/forking_frac_anchor", 8)}
+
+
+def counter_rates(snapshots: DataFrame, name: str = "name", value: str = "value", bin_: str = "bin") -> DataFrame:
+    """``metric, rate`` of workers' counters (``name, value`` and ``bin`` for histograms, null else), summed over all snapshots first."""
+    sums = snapshots.groupBy(F.col(name).alias("k"), F.col(bin_).alias("b")).agg(F.sum(F.col(value).cast("double")).alias("v"))
+    scalars = sorted({c for pair in [*ALWAYS.values(), *RATES.values(), *SPREADS.values()] for c in pair})
+    wide = sums.where("b is null").agg(*[F.coalesce(F.sum(F.when(F.col("k") == c, F.col("v"))), F.lit(0.0)).alias(c) for c in scalars])
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    rates = {m: F.coalesce(over(*pair), F.lit(0.0)) for m, pair in ALWAYS.items()} | {m: over(*pair) for m, pair in RATES.items()}
+    rates |= {m: F.when(F.col(n) > 0, F.sqrt(F.greatest(F.lit(0.0), F.col(q) / F.col(n) - F.pow(F.col(s) / F.col(n), 2)))) for m, (q, s, n) in SPREADS.items()}
+    rates |= {m: rates[a] - rates[b] for m, (a, b) in GAPS.items()}
+    listed = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), r.alias("rate")) for m, r in rates.items()])).alias("r")).select("r.*").where("rate is not null")
+    bars = sums.where("b is not null").join(sums.where("b is not null").groupBy(F.col("k").alias("k2")).agg(F.sum("v").alias("whole")), F.col("k") == F.col("k2")).where("whole > 0")
+    for prefix, (histogram, tail, first) in BARS.items():
+        one = bars.where(F.col("k") == histogram)
+        listed = listed.unionByName(one.select(F.concat(F.lit(prefix), F.col("b").cast("string")).alias("metric"), (F.col("v") / F.col("whole")).alias("rate")))
+        if tail:
+            listed = listed.unionByName(one.groupBy("whole").agg(F.sum(F.when(F.col("b") >= first, F.col("v")).otherwise(0.0)).alias("v")).select(F.lit(tail).alias("metric"), (F.col("v") / F.col("whole")).alias("rate")))
+    return listed
+
+
 def merge_histograms(df: DataFrame, array: str) -> DataFrame:
     """``bin, n``: arrays of counters summed place by place."""
     return df.select(F.posexplode(array).alias("bin", "_n")).groupBy("bin").agg(F.sum("_n").alias("n"))

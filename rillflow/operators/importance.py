@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.arrays import clamp, let, mask_size, masked_max, masked_mean, masked_sum, zip_map
-from rillflow.operators.losses import SAFE
+from rillflow.operators.losses import SAFE, token_losses
 
 TOKEN_OPTIONS = ("token_k1", "token_k2", "token_k3")
 SEQUENCE_OPTIONS = tuple(f"seq_{level}_{k}" for level in ("sum", "mean") for k in ("k1", "k2", "k3")) + ("seq_max_k2", "seq_max_k3")
@@ -99,6 +99,26 @@ def clip_weights(raw: Column, upper: float, lower: float | None = None) -> Colum
     return F.transform(raw, lambda w: F.when((w >= lower) & (w <= upper), w).otherwise(F.lit(0.0)))
 
 
+def bypassed(df: DataFrame, advantage: str, new: str, rollout: str, mask: str, kind: str = "ppo_clip", level: str | None = None, upper: float = 2.0, normalise: bool = False, thresholds: dict[str, Threshold] | None = None) -> DataFrame:
+    """``df`` with ``loss`` and ``kept``, where the rollout's own log probabilities stand for the old ones: rejected tokens leave the mask;
+    ``reinforce`` is weighted by the ratio of new to rollout (``level``, cut at ``upper``), ``ppo_clip`` isn't, as its clipped ratio
+    is that already."""
+    if kind not in ("ppo_clip", "reinforce"):
+        raise ValueError(f"unknown loss {kind}")
+    a, n, o, m = (F.col(c) for c in (advantage, new, rollout, mask))
+    out = df.withColumn("_x", ratio_of(n, o))
+    out = out.withColumn("kept", zip_map(lambda k, w: k * w, keep_mask(F.col("_x"), m, thresholds), m) if thresholds else m)
+    if kind == "ppo_clip":
+        return out.withColumn("loss", token_losses("vanilla", a, n, o)).drop("_x")
+    losses = token_losses("reinforce", a, n, o)
+    if level is None:
+        return out.withColumn("loss", losses).drop("_x")
+    weighted = out.withColumn("_w", clip_weights(raw_weights(F.col("_x"), m, level), upper))
+    if normalise:
+        weighted = normalised(weighted, "_w", mask, level, "_w")
+    return weighted.withColumn("loss", zip_map(lambda x, w: x * w, losses, F.col("_w"))).drop("_x", "_w")
+
+
 def normalised(df: DataFrame, weights: str, mask: str, level: str, out: str) -> DataFrame:
     """Weights over their batch mean (over tokens, or over sequences that have a token); a mean of 1e-8 or less changes nothing."""
     w, m = F.col(weights), F.col(mask)

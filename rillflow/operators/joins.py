@@ -99,14 +99,3 @@ def gated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Adds ``reason``, the first rule that holds (null: none), and ``reasons``, all of them, in the rules' order. A null rule doesn't hold."""
     every = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda r: r.isNotNull())
     return df.withColumn("reasons", every).withColumn("reason", F.when(F.size("reasons") > 0, F.col("reasons")[0]))
-
-
-def best_matches(gold: list[str], said: list[str]) -> Iterator[tuple[int, int]]:
-    """Greedy pairs of equal names: each gold takes the first free one."""
-    free = set(range(len(said)))
-    for i, name in enumerate(gold):
-        for j in sorted(free):
-            if said[j] == name:
-                free.discard(j)
-                yield i, j
-                break

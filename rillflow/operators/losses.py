@@ -162,6 +162,33 @@ def top_share(tokens: DataFrame, value: str, share: float, order: list[str]) ->
 
 
 
+#: Distillation losses of a token by name; the reverse ones take the log probabilities of the token drawn, the forward one arrays of them.
+DISTILLATION: dict[str, Callable[..., Column]] = {kind: (lambda student, teacher, kind=kind: kl_penalty(student, teacher, kind)) for kind in ("kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3")}
+
+
+def register_distillation(name: str) -> Callable[[Callable[..., Column]], Callable[..., Column]]:
+    def add(f: Callable[..., Column]) -> Callable[..., Column]:
+        if DISTILLATION.get(name, f) is not f:
+            raise ValueError(f"distillation loss {name} is registered already")
+        DISTILLATION[name] = f
+        return f
+
+    return add
+
+
+def distillation(name: str) -> Callable[..., Column]:
+    if name not in DISTILLATION:
+        raise ValueError(f"unknown distillation loss {name}; there are {', '.join(sorted(DISTILLATION))}")
+    return DISTILLATION[name]
+
+
+def loss_range(loss: Column, mask: Column) -> list[Column]:
+    """``loss_min, loss_max, abs_loss`` over the masked tokens of all rows, as aggregates."""
+    held = F.filter(F.zip_with(loss, mask, lambda x, m: F.when(m > 0, x)), lambda x: x.isNotNull())
+    return [F.min(F.array_min(held)).alias("loss_min"), F.max(F.array_max(held)).alias("loss_max"), (F.sum(array_sum(F.transform(held, lambda x: F.abs(x)))) / F.sum(F.size(held))).alias("abs_loss")]
+
+
+@register_distillation("forward_kl_topk")
 def forward_topk(teacher: Column, student: Column, k: int) -> Column:
     """Divergence of the teacher from the student over the teacher's ``k`` likeliest tokens (arrays of log probabilities), at least 0."""
     top = F.slice(F.reverse(F.array_sort(F.zip_with(teacher, student, lambda t, s: F.struct(t.alias("t"), s.alias("s"))))), 1, k)

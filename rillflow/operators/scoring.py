@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow.functions import text as X
+from rillflow.functions.arrays import let
 from rillflow.functions.answers import _match_normal as fold
 from rillflow.functions.answers import latex_normal, match_normal, signed_score
 
@@ -127,13 +128,20 @@ def order_scores(response: Column, gold: Column) -> Column:
     """``exact`` and ``place_rate`` of an order of 1 to n against '3,1,2': out of the last box, else out of the prose of the answer (or of
     all where no answer is marked). Orders of different lengths, and a gold without numbers, give 0."""
     r = F.coalesce(response, F.lit(""))
-    want = _numbers(F.split(F.coalesce(gold, F.lit("")), ","))
-    box = F.nullif(F.trim(X.boxed(r)), F.lit(""))
     body = F.when(r.rlike(r"(?s)<answer>.*?</answer>"), F.regexp_extract(r, r"(?s)<answer>(.*?)</answer>", 1)).otherwise(r)
-    said = F.when(box.isNotNull(), order_in_box(box)).otherwise(order_in_prose(body, F.size(want)))
-    hits = F.size(F.filter(F.zip_with(said, want, lambda x, y: x.eqNullSafe(y)), lambda x: x))
-    fits = (F.size(said) == F.size(want)) & (F.size(want) > 0)
-    return F.struct((fits & (said == want)).cast("double").alias("exact"), F.when(fits, hits / F.size(want)).otherwise(0.0).alias("place_rate"))
+    parts = F.struct(_numbers(F.split(F.coalesce(gold, F.lit("")), ",")).alias("want"), F.nullif(F.trim(X.boxed(r)), F.lit("")).alias("box"), body.alias("body"))
+
+    def read(p: Column) -> Column:
+        said = F.when(p["box"].isNotNull(), order_in_box(p["box"])).otherwise(order_in_prose(p["body"], F.size(p["want"])))
+        return F.struct(said.alias("said"), p["want"].alias("want"))
+
+    def scored(o: Column) -> Column:
+        said, want = o["said"], o["want"]
+        fits = (F.size(said) == F.size(want)) & (F.size(want) > 0)
+        hits = F.size(F.filter(F.zip_with(said, want, lambda x, y: x.eqNullSafe(y)), lambda x: x))
+        return F.struct((fits & (said == want)).cast("double").alias("exact"), F.when(fits, hits / F.size(want)).otherwise(0.0).alias("place_rate"))
+
+    return let(let(parts, read), scored)
 
 
 def within(a: Column, g: Column, tolerance: float) -> Column:
@@ -159,9 +167,13 @@ def loosely_equal(answer: Column, gold: Column, percent: bool = True, tolerance:
         return F.split(F.regexp_replace(F.trim(c), r"^[\[({]|[\])}]$", ""), ",")
 
     open_, close = (lambda c: F.regexp_extract(F.trim(c), r"^[\[({]?", 0)), (lambda c: F.regexp_extract(F.trim(c), r"[\])}]?$", 0))
-    alike = (F.size(inside(answer)) == F.size(inside(gold))) & (F.size(inside(gold)) > 1) & (open_(answer) == open_(gold)) & (close(answer) == close(gold))
-    each = ~F.exists(F.zip_with(inside(answer), inside(gold), one), lambda ok: ~ok)
-    return F.coalesce(one(answer, gold) | (alike & each), F.lit(False))
+
+    def equal(b: Column) -> Column:
+        a, g = b["a"], b["g"]
+        alike = (F.size(inside(a)) == F.size(inside(g))) & (F.size(inside(g)) > 1) & (open_(a) == open_(g)) & (close(a) == close(g))
+        return F.coalesce(one(a, g) | (alike & ~F.exists(F.zip_with(inside(a), inside(g), one), lambda ok: ~ok)), F.lit(False))
+
+    return let(F.struct(answer.alias("a"), gold.alias("g")), equal)  # each is worked out once
 
 
 def boxed_geometry(response: Column, gold: Column, format_weight: float = 0.1) -> Column:

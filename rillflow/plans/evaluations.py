@@ -159,3 +159,33 @@ def dropped_tokens(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "embeddings").withColumn("pos", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: i % 16 == 5)))
     top = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: k)
     return df.select("vec_id", "pos", F.round(F.element_at("embedding", F.col("pos") + 1).cast("double"), 6).alias("original"), F.array_position(top, F.col("pos") % 4).cast("int").alias("rank"))
+
+
+_COUNTERS = sorted({c for pair in [*E.ALWAYS.values(), *E.RATES.values(), *E.SPREADS.values()] for c in pair})
+_SNAPSHOTS = f"""c AS (SELECT unnest({_COUNTERS}) AS name, unnest(range({len(_COUNTERS)})) AS i), h AS (SELECT unnest(['drop_top1_hist', 'ent_hist_explore', 'ent_hist_anchor']) AS name, unnest([10, 12, 12]) AS bins, unnest([3, 5, 7]) AS step),
+ s AS (SELECT name, NULL AS bin, value AS v FROM events JOIN c ON event_id % {len(_COUNTERS)} = i UNION ALL SELECT name, event_id // step % bins, 1.0 FROM events, h), k AS (SELECT name, bin, sum(v) AS v FROM s GROUP BY ALL), w AS (SELECT {', '.join(f"max(v) FILTER (name = '{c}' AND bin IS NULL) AS {c}" for c in _COUNTERS)} FROM k)"""
+
+
+@query(f"""WITH {_SNAPSHOTS}, b AS (SELECT name, bin, v, sum(v) OVER (PARTITION BY name) AS whole FROM k WHERE bin IS NOT NULL)
+ SELECT metric, round(rate, 6) AS rate FROM ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {a} / {b} AS rate FROM w" for m, (a, b) in (E.ALWAYS | E.RATES).items())}
+ UNION ALL SELECT 'entropy/drop_post_mask_std', sqrt(greatest(0, drop_H_post_sq_sum / drop_H_post_n - (drop_H_post_sum / drop_H_post_n) ^ 2)) FROM w UNION ALL SELECT 'entropy/seq_explore_std', sqrt(greatest(0, ent_tok_sq_explore / ent_tok_n_explore - (ent_tok_sum_explore / ent_tok_n_explore) ^ 2)) FROM w
+ UNION ALL SELECT 'entropy/seq_anchor_std', sqrt(greatest(0, ent_tok_sq_anchor / ent_tok_n_anchor - (ent_tok_sum_anchor / ent_tok_n_anchor) ^ 2)) FROM w UNION ALL SELECT 'entropy/seq_explore_minus_anchor', ent_tok_sum_explore / ent_tok_n_explore - ent_tok_sum_anchor / ent_tok_n_anchor FROM w
+ UNION ALL SELECT 'entropy/post_drop_lift', post_drop_ent_sum / post_drop_ent_n - ent_tok_sum_explore / ent_tok_n_explore FROM w
+ UNION ALL SELECT CASE name WHEN 'drop_top1_hist' THEN 'drop/top1_hist_' WHEN 'ent_hist_explore' THEN 'entropy/hist_explore_' ELSE 'entropy/hist_anchor_' END || bin, v / whole FROM b
+ UNION ALL SELECT 'entropy/forking_frac_' || name[10:], sum(v) FILTER (bin >= 8) / any_value(whole) FROM b WHERE name <> 'drop_top1_hist' GROUP BY name)""")
+def sampler_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of a sampler that drops tokens, out of its workers' counters and histograms."""
+    e = table(spark, d, "events")
+    names = spark.createDataFrame(list(enumerate(_COUNTERS)), "i long, name string")
+    scalars = e.join(F.broadcast(names), F.col("event_id") % len(_COUNTERS) == F.col("i")).select("name", "value", F.lit(None).cast("long").alias("bin"))
+    bars = F.array(*[F.struct(F.lit(n).alias("name"), (F.floor(F.col("event_id") / step) % bins).cast("long").alias("bin")) for n, bins, step in (("drop_top1_hist", 10, 3), ("ent_hist_explore", 12, 5), ("ent_hist_anchor", 12, 7))])
+    snapshots = scalars.unionByName(e.select(F.explode(bars).alias("b")).select("b.name", F.lit(1.0).alias("value"), "b.bin"))
+    return E.counter_rates(snapshots).select("metric", F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT name, CASE WHEN starts_with(name, 'acc|') AND regexp_matches(split_part(name, '|', 2), '^(mean|maj|best)') THEN 'core' ELSE 'aux' END AS label FROM (SELECT DISTINCT ['acc', 'reward', 'len'][(event_id % 3 + 1)::INT] || '|' || ['mean@4', 'best@2', 'maj@8', 'worst@4', 'std@4'][(event_id % 5 + 1)::INT] AS name FROM events)")
+def metric_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Which metrics of an evaluation are core."""
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % by + 1).cast("int"))
+    e = table(spark, d, "events").select(pick(("acc", "reward", "len"), 3).alias("variable"), pick(("mean@4", "best@2", "maj@8", "worst@4", "std@4"), 5).alias("metric")).distinct()
+    return e.select(F.concat_ws("|", "variable", "metric").alias("name"), E.core_label(F.col("variable"), F.col("metric")).alias("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.functions import arrays as A
+from rillflow.functions import numeric as N
 from rillflow.operators import importance as I
 from rillflow.operators import losses as L
 from rillflow.plans.registry import query, table
@@ -385,3 +386,37 @@ def common_prefixes(spark: SparkSession, d: str) -> DataFrame:
     signs = batch(spark, d).select("vec_id", F.transform("r", lambda x: x > 0).alias("s"))
     after = signs.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("s2"))
     return signs.join(after, "vec_id").select("vec_id", A.common_prefix(F.col("s"), F.col("s2")).alias("lcp"))
+
+
+_DIST = ("k1", "abs", "k2", "k3")
+
+
+@query(f"""WITH {T}, k AS (SELECT kind, m, {_KLD} AS x FROM t, (SELECT unnest({list(_DIST)}) AS kind)) SELECT kind, round(min(x) FILTER (m > 0), 6) AS loss_min, round(max(x) FILTER (m > 0), 6) AS loss_max, round(avg(abs(x)) FILTER (m > 0), 6) AS abs_loss FROM k GROUP BY kind""")
+def distillation_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Least, greatest and mean size of each distillation loss by name."""
+    losses = [F.struct(F.lit(n).alias("kind"), A.zip_map(L.distillation(n), F.col("new"), F.col("ref")).alias("x")) for n in _DIST]
+    each = batch(spark, d).select("m", F.explode(F.array(*losses)).alias("k")).select("m", "k.*")
+    ranges = each.groupBy("kind").agg(*L.loss_range(F.col("x"), F.col("m")))
+    return ranges.select("kind", *[_round(c).alias(c) for c in ("loss_min", "loss_max", "abs_loss")])
+
+
+@query(f"""WITH {T}, x AS (SELECT vec_id, m, new, a, {_RATIO} AS ratio, m * (abs(new - old) <= ln(1.5))::INT AS kept FROM t),
+ l AS (SELECT kept, CASE WHEN a < 0 THEN least(-a * 3, greatest(-a * ratio, -a * least(greatest(ratio, 0.8), 1.2))) ELSE greatest(-a * ratio, -a * least(greatest(ratio, 0.8), 1.2)) END AS clip, -a * new * least(ratio * m, 1.2) AS reinforce FROM x)
+ SELECT round(sum(kept * clip) / sum(kept), 6) AS ppo_clip, round(sum(kept * reinforce) / sum(kept), 6) AS reinforce, sum(kept)::DOUBLE AS tokens FROM l""")
+def bypassed_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Losses against the rollout's own probabilities, clipped or weighted, without rejected tokens."""
+    df, limits = batch(spark, d), I.parse_thresholds(["token_k1"], 1.5)
+    clip = I.bypassed(df, "a", "new", "old", "m", thresholds=limits)
+    weighted = I.bypassed(df, "a", "new", "old", "m", "reinforce", "token", 1.2, thresholds=limits)
+    loss = lambda out: _round(F.sum(A.masked_sum(F.col("loss"), F.col("kept"))) / F.sum(A.mask_size(F.col("kept"))))
+    one = clip.agg(loss(clip).alias("ppo_clip"), F.sum(A.mask_size(F.col("kept"))).cast("double").alias("tokens"))
+    return one.join(F.broadcast(weighted.agg(loss(weighted).alias("reinforce")))).select("ppo_clip", "reinforce", "tokens")  # one row each
+
+
+@query(f"""WITH {T}, p AS (SELECT vec_id, exp(r) AS e FROM t), n AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM p), k AS (SELECT vec_id, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) AS k FROM n),
+ q AS (SELECT vec_id, p / sum(p) OVER (PARTITION BY vec_id) AS q FROM k WHERE k > 1) SELECT vec_id, round(-sum(q * ln(q)), 6) AS left_over FROM q GROUP BY vec_id""")
+def entropies_after_drop(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy of what is left when the likeliest token is taken out, in closed form."""
+    p = batch(spark, d).select("vec_id", F.transform("r", lambda x: F.exp(x)).alias("e")).withColumn("z", A.array_sum(F.col("e"))).withColumn("p", F.transform("e", lambda x: x / F.col("z")))
+    top, h = F.array_max("p"), -A.array_sum(F.transform("p", lambda x: x * F.ln(x)))
+    return p.select("vec_id", _round(N.entropy_after_drop(h, top * F.ln(top), top)).alias("left_over"))
