@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.scale import cut, running
+from rillflow.scale import cut, previous, running
 
 #: Resamples and seed of the bootstrap.
 RESAMPLES, SEED = 1000, 42
@@ -127,11 +127,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
 
 def counter_deltas(df: DataFrame, worker: str, step: str, at: str, counter: str) -> DataFrame:
     """``step, total, delta``: each worker's last snapshot per step summed, and its growth since the step before; after a restart
-    (a smaller sum) the sum itself. Rows per step are few, so their order is one window."""
+    (a smaller sum) the sum itself."""
     last = df.groupBy(worker, step).agg(F.max_by(counter, at).alias("_c"))
     sums = last.groupBy(step).agg(F.sum("_c").alias("total"))
-    d = F.col("total") - F.coalesce(F.lag("total").over(Window.orderBy(step)), F.lit(0))
-    return sums.withColumn("delta", F.when(d < 0, F.col("total")).otherwise(d))
+    d = F.col("total") - F.coalesce("_before", F.lit(0))
+    return previous(sums, [], [step], "total", "_before").withColumn("delta", F.when(d < 0, F.col("total")).otherwise(d)).drop("_before")
 
 
 #: Rates of a sampler that drops tokens: what is divided by what. Those of ``ALWAYS`` are 0 where nothing happened, others are left out.

@@ -44,8 +44,8 @@ def quotas(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     whole = counts.agg(F.sum(n).alias("_all"))
     exact = counts.join(F.broadcast(whole)).withColumn("_x", F.col(n) * F.lit(float(total)) / F.col("_all")).withColumn("_f", F.floor(F.col("_x") + 1e-9))
     missing = exact.agg((F.lit(total) - F.sum("_f")).alias("_m"))
-    ranked = exact.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_x") - F.col("_f"), 9)), key)))  # one row per category
-    return ranked.join(F.broadcast(missing)).select(key, (F.col("_f") + (F.col("_r") <= F.col("_m")).cast("long")).alias("quota"))
+    ranked = running(exact.withColumn("_d", -F.round(F.col("_x") - F.col("_f"), 9)), [], ["_d", key], F.lit(1), "_r")
+    return ranked.join(F.broadcast(missing)).select(key, (F.col("_f") + (F.col("_r") < F.col("_m")).cast("long")).alias("quota"))
 
 
 def holdout_entities(df: DataFrame, entity: str, k: int, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillflow.operators import groups as G
 from rillflow.plans.registry import query, table
+from rillflow.scale import running
 
 
 def rollouts(spark: SparkSession, d: str) -> DataFrame:
@@ -108,10 +109,7 @@ def group_mean_std(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS label FROM events")
 def label_codes(spark: SparkSession, d: str) -> DataFrame:
     """Labels numbered 0, 1, ... in their order; numeric strings stay strings, so '01' and '1' differ."""
-    from pyspark.sql import Window
-
-    labels = table(spark, d, "events").select("event_type").distinct()  # one row per label
-    return labels.withColumn("label", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("long"))
+    return running(table(spark, d, "events").select("event_type").distinct(), [], ["event_type"], F.lit(1).cast("long"), "label")
 
 
 @query(f"""WITH {_R}, g AS (SELECT uid, count(*) AS n, max(acc) AS hi, min(acc) AS lo, sum(len) AS tokens FROM r GROUP BY uid)

@@ -87,3 +87,17 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = attach_small(rows.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0))), starts, [*by, "_part"])
     return out.withColumn(name, F.col("__start") + F.col("__in")).drop("__v", "__in", "__start", *([] if is_parted else ["_part"]))
+
+
+def previous(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``value`` of the row before each row in ``order`` within ``by`` (all rows for an empty ``by``); null for the first.
+
+    Ranges look inside themselves; only each range's last row is carried over, so no task orders the whole table or a hot group."""
+    rows = parted(df, by, order)
+    inside = Window.partitionBy(*by, "_part").orderBy(*order)
+    last = rows.groupBy(*by, "_part").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_part")  # a row per range
+    carried = cut(last.withColumn("_carried", F.lag("_last").over(earlier)).drop("_last"))
+    own = F.lag(F.struct(F.col(value).alias("v"))).over(inside)
+    both = attach_small(rows.withColumn("_own", own), carried, [*by, "_part"])
+    return both.withColumn(name, F.coalesce("_own", "_carried")["v"]).drop("_own", "_carried", "_part")
