@@ -67,6 +67,10 @@ def oracle_sql() -> dict[str, str]:
               row_number() OVER (PARTITION BY n.video ORDER BY coalesce(1 - abs(2 * ({_RATE}) - 1), -1) DESC, c.row_id) AS r
             FROM corpus_rows c LEFT JOIN named n ON n.v = c.extra_info.video_id) WHERE r <= 15 OR video IS NULL""",
         "p3_found": f"""WITH RECURSIVE {_VIDEOS} SELECT p.v AS video_id_a, q.v AS video_id_b FROM named p JOIN named q ON p.video = q.video AND p.v < q.v""",
+        "p3_videos": f"""WITH RECURSIVE {_VIDEOS} SELECT v AS video_id, min(v) OVER (PARTITION BY video) AS first_id, count(*) OVER (PARTITION BY video) AS names FROM named""",
+        "p4_goals": f"""SELECT t.difficulty_band, t.num_hops, coalesce(n, 0) AS available, round(t.target_share * 0.2 * (SELECT count(*) FROM corpus_rows), 6) AS wanted,
+            coalesce(n, 0) + 1e-9 < t.target_share * 0.2 * (SELECT count(*) FROM corpus_rows) AS short, true AS near_plan FROM sample_targets t LEFT JOIN (
+            SELECT {_clean('extra_info.difficulty_band')} AS difficulty_band, extra_info.num_hops AS num_hops, count(*) AS n FROM corpus_rows GROUP BY ALL) c USING (difficulty_band, num_hops)""",
         "p4_found": f"""SELECT t.difficulty_band, t.num_hops FROM sample_targets t LEFT JOIN (
             SELECT {_clean('extra_info.difficulty_band')} AS difficulty_band, extra_info.num_hops AS num_hops, count(*) AS n FROM corpus_rows GROUP BY ALL) c USING (difficulty_band, num_hops)
             WHERE coalesce(n, 0) + 1e-9 < t.target_share * 0.2 * (SELECT count(*) FROM corpus_rows)""",

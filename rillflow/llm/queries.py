@@ -82,6 +82,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return same.select(F.col("a.video_id").alias("video_id_a"), F.col("b.video_id").alias("video_id_b"))
 
 
+def p3_videos(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored name with its video's: the classes behind the pairs of p3_found."""
+    stored = _read(spark, d, "corpus_rows").select(F.col("extra_info.video_id").alias("video_id")).where("video_id is not null").distinct()
+    named = _videos(spark, d).attach(stored, F.col("video_id")).where("video is not null")
+    sizes = named.groupBy("video").agg(F.min("video_id").alias("first_id"), F.count(F.lit(1)).alias("names"))
+    return named.join(sizes, "video").select("video_id", "first_id", "names")
+
+
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "corpus_rows").select("row_id", F.col("extra_info.video_id").alias("video_id"), clean_name(F.col("data_source")).alias("data_source"))
     targets = [(r["split"], r["target_share"]) for r in _read(spark, d, "split_targets").limit(MOST_SPLITS + 1).collect()]
@@ -114,6 +122,12 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d).report
 
 
+def p4_goals(spark: SparkSession, d: str) -> DataFrame:
+    """Of the report what doesn't hang on the draw, and whether the drawn rows are within one of their plan."""
+    near = F.abs(F.col("sampled") - F.col("planned")) < 1 + 1e-6
+    return p4_report(spark, d).select("difficulty_band", "num_hops", "available", F.round("wanted", 6).alias("wanted"), "short", near.alias("near_plan"))
+
+
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return _sampled(spark, d).rows
 
@@ -222,7 +236,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_cutoffs, p2_found, p2_report, p2_kept, p3_found, p3_splits, p3_shares, p4_found, p4_report, p4_sample, p5_found, p5_groups,
+        p1_found, p1_cutoffs, p2_found, p2_report, p2_kept, p3_found, p3_videos, p3_splits, p3_shares, p4_found, p4_report, p4_goals, p4_sample, p5_found, p5_groups,
         p6_found, p6_counts, p7_containers, p7_fill, p8_found, p8_blend, p8_report, p9_found, p9_sentences,
     )
     return {f.__name__: f for f in named}

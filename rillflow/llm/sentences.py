@@ -32,7 +32,7 @@ NEVER = frozenset(
 )
 #: Stand before a number or a name of a place in a text; end a sentence only before a capital.
 POINTING = frozenset(
-    "no nos nr núm num n fig figs sect sec vol vols ver ch chap p pp pg pág págs art seg min max approx aprox env ca circa ed eds tab kap "
+    "no nos nr núm num n fig figs sect sec vol vols ver ch chap p pp pg pág págs art seg eq eqs abschn tel min max approx aprox env ca circa ed eds tab kap "
     "рис стр ок гл табл αρ εικ σελ περ кл नं पृ मी ص م ث ቁ ሜ".split()
 )
 #: May end a sentence before a capital although they are abbreviations.

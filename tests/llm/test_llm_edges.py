@@ -512,6 +512,7 @@ def cut_at(marked):
 
 
 CASES = [
+    "See Eq. 3 and Eqs. 4 to 6.| Siehe Abschn. 4 dazu.| Call tel. 555 now.|",
     "Dr. Besmin lifts it.| Mr. A. B. Cole leaves at 6 a.m.| The bell rings.|",
     "It seems... or appears... that it stays dry.| The girl waits...| A man leaves…| iCam footage gives 5.78 as the reading.|",
     'A board reading "Stop. Look. Listen." hangs here.| The boy says, "It is open!"| (A man waits.)| Is F really 16, or is it 9?|',
