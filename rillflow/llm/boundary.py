@@ -14,6 +14,7 @@ combined before it is shuffled; only the model, whose size is a parameter, reach
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,12 +41,13 @@ HELD = 500_000
 EDGES = "<>"
 #: Scripts without spaces between words: Han, Kana, Thai, Lao, Tibetan, Burmese, Khmer.
 SPACELESS = "ก-ฺเ-๎ກ-ຽເ-໎ໜ-ໟཀ-ྼက-၉ၐ-႟ក-៓ៗៜ-៩々ぁ-ゟァ-ヿ㐀-䶿一-鿿豈-﫿"
-_RUN = regex.compile(f"[{SPACELESS}]+")
+_RUN = re.compile(f"[{SPACELESS}]+")
 _SURE_END = "。！？｡!?"
 _CLOSING = "”’」』）)》〉\"'"
 #: Quotations, whose short exclamations would look like abbreviations.
 _QUOTED = regex.compile("\"[^\"\n]{0,200}\"|[“„”][^“”\n]{0,200}[”“]|«[^«»\n]{0,200}»|(?<![\\p{L}\\p{N}])'[^'\n]{0,200}'(?![\\p{L}\\p{N}])")
-_TOKEN = regex.compile(r"(\p{L}(?:[\p{L}\p{M}\p{N}]|[./'’-](?=[\p{L}\p{N}]))*)(\.(?![.…]))?(?=(\s*)(.?))", regex.DOTALL)
+#: A token with the dot behind it, if there is one and not several.
+_TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*+(?:[./'’-](?=\p{L})[\p{L}\p{M}]++)*+(?:\.(?![.…]))?+")
 
 
 @dataclass(frozen=True)
@@ -75,31 +77,43 @@ class Model:
 NO_MODEL = Model()
 
 
-def _count(text: str, runs: Counter, opens: Counter, finals: Counter, dotted: Counter, ending: Counter, plain: Counter) -> None:
+def _count(text: str, runs: Counter, opens: Counter, finals: Counter, pieces: Counter, last: Counter) -> None:
+    """Add a text's runs of spaceless scripts, and its pieces between blanks (and those before a line's end) outside quotations."""
     for m in _RUN.finditer(text):
         a, b = m.span()
         held = f"{EDGES[0]}{m.group()}{EDGES[1]}"
-        for i in range(len(held)):
-            for n in range(1, min(LONGEST, len(held) - i) + 1):
-                runs[held[i : i + n]] += 1
+        for n in range(1, LONGEST + 1):
+            runs.update([held[i : i + n] for i in range(len(held) - n + 1)])
         before, after = text[a - 1 : a], text[b : b + 1]
         if not before or before in _SURE_END or before in "\r\n":
-            for n in range(2, min(LONGEST, b - a) + 1):
-                opens[text[a : a + n]] += 1
+            opens.update([text[a : a + n] for n in range(2, min(LONGEST, b - a) + 1)])
         if not after or after in "\r\n" or after in _SURE_END and text[b + 1 : b + 2] not in _CLOSING:
-            for n in range(2, min(LONGEST, b - a) + 1):
-                finals[text[b - n : b]] += 1
-    for m in _TOKEN.finditer(_QUOTED.sub(" ", text)):
-        token = m.group(1)
-        if not 1 < len(token) <= LETTERS or _RUN.match(token):
-            continue
-        token = token.casefold()
-        if m.group(2):
-            dotted[token] += 1
-            if not m.group(4) or "\n" in m.group(3):
-                ending[token] += 1
-        else:
-            plain[token] += 1
+            finals.update([text[b - n : b] for n in range(2, min(LONGEST, b - a) + 1)])
+    for line in _QUOTED.sub(" ", text).splitlines():
+        said = line.split()
+        pieces.update(said)
+        if said and said[-1].endswith("."):
+            last[said[-1]] += 1
+
+
+def _tokens(pieces: Counter) -> tuple[Counter, Counter]:
+    """Tokens with a dot behind them and tokens without, of counted pieces."""
+    dotted, plain = Counter(), Counter()
+    for piece, n in pieces.items():
+        for token in _TOKEN.findall(piece.casefold()):
+            word = token.removesuffix(".")
+            if 1 < len(word) <= LETTERS and not _RUN.match(word):
+                (plain if word == token else dotted)[word] += n
+    return dotted, plain
+
+
+def _line_ends(last: Counter) -> Counter:
+    ends = Counter()
+    for piece, n in last.items():
+        found = _TOKEN.findall(piece.casefold())
+        if found and found[-1].endswith(".") and 1 < len(found[-1]) - 1 <= LETTERS:
+            ends[found[-1][:-1]] += n
+    return ends
 
 
 KINDS = ("run", "opens", "final", "dotted", "ending", "plain")
@@ -109,13 +123,16 @@ def counts(df: DataFrame, text: str) -> DataFrame:
     """``kind, key, n`` over all texts; tasks add up what they meet before it moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Counter() for _ in KINDS]
+        held = [Counter() for _ in range(5)]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, found in zip(KINDS, held):
+            runs, opens, finals, pieces, last = held
+            dotted, plain = _tokens(pieces)
+            for kind, found in zip(KINDS, (runs, opens, finals, dotted, _line_ends(last), plain)):
                 if found:
                     yield pa.record_batch({"kind": pa.array([kind] * len(found)), "key": pa.array(list(found)), "n": pa.array(list(found.values()), pa.int64())})
-                    found.clear()
+            for found in held:
+                found.clear()
 
         for batch in batches:
             for t in batch["_text"].to_pylist():
@@ -128,12 +145,6 @@ def counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.col(text).alias("_text")).mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _freedom(runs: DataFrame, part: Column, name: str) -> DataFrame:
-    """Entropy of the character that completes each ``part`` of a longer run."""
-    longer = runs.where(F.length("key") >= 3).select(part.alias("key"), F.col("n").cast("double").alias("n"))
-    return longer.groupBy("key").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name))
-
-
 def _log_share(k: Column, n: Column, p: Column) -> Column:
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), p))
     return k * F.log(p) + (n - k) * F.log(1 - p)
@@ -160,14 +171,24 @@ def learn(df: DataFrame, text: str, entries: int = ENTRIES) -> Model:
     inside = ~F.col("key").rlike(f"[{EDGES}]")
     size = float(counted.where("kind = 'run' and length(key) = 1").where(inside).agg(F.sum("n")).first()[0] or 0)
     if size:
-        head, tail = (runs.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}")) for k in ("head", "tail"))
-        last = F.length("key")
-        some = runs.where((last >= 2) & (last < LONGEST) & inside).withColumn("head", F.expr("left(key, length(key) - 1)")).withColumn("tail", F.expr("right(key, length(key) - 1)"))
-        first, end = (runs.where("length(key) = 1").select(F.col("key").alias(k), F.col("n").alias(f"n_{k}")) for k in ("first", "end"))
-        some = some.withColumn("first", F.expr("left(key, 1)")).withColumn("end", F.expr("right(key, 1)")).join(head, "head").join(tail, "tail").join(first, "first").join(end, "end")
+        shape = F.length("key")
+        part = lambda side, n: F.expr(f"{side}(key, {n})")
+        # every run says to what it is made of how often and how freely they are completed: one shuffle
+        weight = F.struct(F.col("n").cast("double").alias("n"), (F.col("n") * F.log("n")).alias("l"))
+        told = runs.where(shape <= LONGEST).select(F.explode(F.array(
+            F.struct(F.col("key"), F.lit("own").alias("as"), weight.alias("w")),
+            F.struct(F.when(shape >= 3, part("left", "length(key) - 1")).alias("key"), F.lit("after").alias("as"), weight.alias("w")),
+            F.struct(F.when(shape >= 3, part("right", "length(key) - 1")).alias("key"), F.lit("before").alias("as"), weight.alias("w")),
+        )).alias("t")).select("t.*").where("key is not null")
+        of = lambda kind, c: F.sum(F.when(F.col("as") == kind, F.col(c)))
+        entropy = lambda kind: F.log(of(kind, "w.n")) - of(kind, "w.l") / of(kind, "w.n")
+        known = cut(told.groupBy("key").agg(of("own", "w.n").alias("n"), entropy("after").alias("after"), entropy("before").alias("before")).where("n is not null"))
+        part_of = lambda name: known.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
+        some = known.where((shape >= 2) & (shape < LONGEST) & inside & (F.col("after") >= FREEDOM) & (F.col("before") >= FREEDOM))
+        for name, side, n in (("head", "left", "length(key) - 1"), ("tail", "right", "length(key) - 1"), ("first", "left", "1"), ("end", "right", "1")):
+            some = some.withColumn(name, part(side, n)).join(part_of(name), name)
         meets = F.least(F.col("n") * size / (F.col("n_head") * F.col("n_end")), F.col("n") * size / (F.col("n_first") * F.col("n_tail")))
-        free = some.join(_freedom(runs, F.expr("left(key, length(key) - 1)"), "after"), "key").join(_freedom(runs, F.expr("right(key, length(key) - 1)"), "before"), "key")
-        found = free.where((meets >= COHESION) & (F.col("after") >= FREEDOM) & (F.col("before") >= FREEDOM)).select("key", "n").orderBy(F.desc("n"), "key").limit(entries).collect()
+        found = some.where(meets >= COHESION).select("key", "n").orderBy(F.desc("n"), "key").limit(entries).collect()
         words = {r["key"]: -math.log(r["n"] / size) for r in found}
         sides = [_side(counted, runs, kind, size, entries) for kind in ("opens", "final")]
     else:
