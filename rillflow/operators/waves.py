@@ -55,6 +55,32 @@ def roll_up(stats: DataFrame) -> DataFrame:
     ).join(F.broadcast(median))  # one row each
 
 
+def split_metrics(stats: DataFrame, on: Column | None = None) -> DataFrame:
+    """``metric, value``: what exploring did, on triggered and untriggered groups apart. ``on`` says whether the strategy was on for a group;
+    columns ``lcp_w1, lcp_w2`` (see ``prefix_means``; negative: unknown) are read where ``stats`` has them. What has no groups is left out."""
+    t, n = F.col("triggered"), F.count(F.lit(1)).cast("double")
+    mean = lambda c, when=None: F.avg((c if when is None else F.when(when, c)).cast("double"))
+    part = lambda c, when: F.count_if(c & when) / F.nullif(F.count_if(when).cast("double"), F.lit(0.0))
+    flat = F.col("all_correct") | F.col("all_wrong")
+    out = {
+        "two_wave/triggered_all_wrong_share": part(F.col("all_wrong"), t), "two_wave/triggered_all_correct_share": part(F.col("all_correct"), t), "two_wave/variance_manufactured_frac": part(F.col("var_manufactured"), t),
+        "two_wave/wave1_acc_mean": mean(F.col("w1_acc")), "two_wave/wave2_acc_mean": mean(F.col("w2_acc")), "two_wave/explore_acc_delta": mean(F.col("w2_acc") - F.col("w1_acc"), t), "two_wave/group_var_after_triggered_mean": mean(F.col("var_after"), t),
+        "two_wave/pass_at_n_mean": mean(F.col("pass_any").cast("int")), "two_wave/pass_at_n_anchor_mean": mean(F.col("pass_any_w1").cast("int")), "two_wave/n_triggered": F.count_if(t).cast("double"), "two_wave/n_untriggered": n - F.count_if(t),
+    }
+    halves = {"between_share": F.col("between_share"), "var_gain": F.col("var_after") - F.col("var_null"), "solves_new_frac": F.col("w2_solves_new").cast("int")}
+    if {"lcp_w1", "lcp_w2"} <= set(stats.columns):
+        known = (F.col("lcp_w1") >= 0) & (F.col("lcp_w2") >= 0)
+        out["two_wave/lcp_w1_mean"] = mean(F.col("lcp_w1"), known)
+        halves["lcp_delta"] = F.when(known, F.col("lcp_w2") - F.col("lcp_w1"))
+    for name, c in halves.items():
+        out |= {f"two_wave/{name}_triggered": mean(c, t), f"two_wave/{name}_untriggered": mean(c, ~t)}
+    if on is not None:
+        out |= {"two_wave/strategy_on_frac": mean(on.cast("int")), "two_wave/explored_frac_when_on": part(t, on), "two_wave/suppressed_by_toggle_share": part(~on, flat)}
+    wide = stats.agg(*[a.alias(f"m{i}") for i, a in enumerate(out.values())])
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"m{i}").cast("double").alias("value")) for i, m in enumerate(out)])
+    return wide.select(F.explode(listed).alias("m")).select("m.*").where("value is not null")
+
+
 def drop_decisions(df: DataFrame, key: str, position: str, p: Column, token: Column, least: int, cap: int, tau: float, tags: list[int]) -> DataFrame:
     """A replay of which top tokens an exploring sampler drops: from ``least`` on, where the top probability is above ``tau`` and the
     token is no tag, up to ``cap`` times in a sequence (rows of a sequence are bounded by its length)."""

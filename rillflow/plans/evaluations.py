@@ -135,6 +135,21 @@ def wave_rollup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("groups", *[F.round(c, 6).alias(c) for c in out.columns if c != "groups"])
 
 
+_SPLIT = {
+    "triggered_all_wrong_share": _GIVEN.format(c="all_wrong", w="triggered"), "triggered_all_correct_share": _GIVEN.format(c="all_correct", w="triggered"), "variance_manufactured_frac": _GIVEN.format(c="var_manufactured", w="triggered"), "wave1_acc_mean": "avg(w1_acc)", "wave2_acc_mean": "avg(w2_acc)",
+    "explore_acc_delta": "avg(w2_acc - w1_acc) FILTER (triggered)", "group_var_after_triggered_mean": "avg(var_after) FILTER (triggered)", "pass_at_n_mean": "avg(pass_any::INT)", "pass_at_n_anchor_mean": "avg(pass_any_w1::INT)", "n_triggered": "count(*) FILTER (triggered)", "n_untriggered": "count(*) FILTER (NOT triggered)",
+    "between_share_triggered": "avg(between_share) FILTER (triggered)", "between_share_untriggered": "avg(between_share) FILTER (NOT triggered)", "var_gain_triggered": "avg(var_after - var_null) FILTER (triggered)", "var_gain_untriggered": "avg(var_after - var_null) FILTER (NOT triggered)",
+    "solves_new_frac_triggered": "avg(w2_solves_new::INT) FILTER (triggered)", "solves_new_frac_untriggered": "avg(w2_solves_new::INT) FILTER (NOT triggered)", "strategy_on_frac": "avg((uid % 3 <> 1)::INT)", "explored_frac_when_on": _GIVEN.format(c="triggered", w="uid % 3 <> 1"),
+    "suppressed_by_toggle_share": _GIVEN.format(c="uid % 3 = 1", w="(all_correct OR all_wrong)"),
+}
+
+
+@query(f"""WITH {_WV}, s AS ({' UNION ALL '.join(f"SELECT 'two_wave/{m}' AS metric, round(({e})::DOUBLE, 6) AS value FROM k" for m, e in _SPLIT.items())}) SELECT * FROM s WHERE value IS NOT NULL""")
+def wave_splits(spark: SparkSession, d: str) -> DataFrame:
+    """What exploring did, on triggered and untriggered groups apart, with the strategy off for every third."""
+    return W.split_metrics(_wave_stats(spark, d), F.col("uid") % 3 != 1).withColumn("value", F.round("value", 6))
+
+
 @query("SELECT l_orderkey AS uid, count(*) >= 2 AND var_pop((l_returnflag = 'R')::INT) <= 0.01 AND avg((l_returnflag = 'R')::INT) <= 0.5 AS explore FROM lineitem WHERE l_tax <= 0.04 GROUP BY l_orderkey")
 def wave_gate(spark: SparkSession, d: str) -> DataFrame:
     return W.gate(waves(spark, d).where("wave = 1"), "uid", "s", 0.01, 0.5)
