@@ -87,6 +87,12 @@ _TERMINAL = (
 )
 _GREEK = "Ͱ-Ͽἀ-῿"
 _MARKS = re.compile(rf"[\u0f0d\u0f0e](?: ?[\u0f0d\u0f0e])*|(?:[.!?…\u037e{_TERMINAL}]|(?<=[{_GREEK}]);)+")
+#: The same where a line holds none of the characters of ``_RARE``, which need a look around; signs of a line to look at for more.
+_COMMON = re.compile(f"[.!?…\u037e{_TERMINAL}]+")
+#: The same without characters beyond the first plane, which the engine looks up faster, for texts that have none.
+_PLAIN, _BEYOND = re.compile("[.!?…\u037e" + re.match("[\x00-\uffff]*", _TERMINAL).group() + "]+"), re.compile("[\U00010000-\U0010ffff]")
+_RARE = ";\u0f0d\u0f0e"
+_HAS_THAI, _SAID = re.compile(f"[{_THAI}]"), re.compile(r"[^\W_]")
 _THAI_GAP = re.compile(rf"(?<=[{_THAI}])[ \t\xa0\u200b\u3000]+(?=\S)")
 _PAIRS = {"“": "”", "„": "“”", "”": "“", "«": "»", "»": "«", "‹": "›", '"': '"', "'": "'", "‘": "’", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】", "{": "}"}
 _PAIRED = re.compile(r"[“„”«»‹›\"'‘’「」『』《》〈〉()（）\[\]【】{}]")
@@ -144,7 +150,7 @@ PLAIN = Lexicon()
 
 
 def _spaceless(c: str) -> bool:
-    return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0003ffff" or "가" <= c <= "힣" or bool(_SOUTHEAST.match(c))
+    return c >= "\u0e81" and ("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "\U00020000" <= c <= "\U0003ffff" or "가" <= c <= "힣" or bool(_SOUTHEAST.match(c)))
 
 
 def _asides(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -188,6 +194,9 @@ def _asides(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def _token(text: str, at: int, low: int) -> tuple[str, int]:
     """The word that ends at ``at`` without opening marks, and where it starts with them."""
+    near = text[max(low, at - 48) : at]
+    if near.isascii() and near[-1:].strip() and len(said := near.split()[-1]) < 48:
+        return said.lstrip(_OPENING + "-–—").casefold(), at - len(said)
     i = at
     spaceless = at > low and _spaceless(text[at - 1])
     while i > low and not text[i - 1].isspace() and text[i - 1] not in "。！？｡．…，、：；」』）》〉" and _spaceless(text[i - 1]) == spaceless:
@@ -201,8 +210,8 @@ def _mixed_case(text: str, at: int, end: int) -> bool:
 
 
 class _Line:
-    def __init__(self, text: str, start: int, end: int, lexicon: Lexicon):
-        self.text, self.end, self.lexicon = text, end, lexicon
+    def __init__(self, text: str, start: int, end: int, lexicon: Lexicon, marks: re.Pattern = _COMMON):
+        self.text, self.end, self.lexicon, self.marks = text, end, lexicon, marks
         self.begin = min(_LABEL.match(text, start, end).end(), end)
         self.asides = _asides(text, self.begin, end)
         self.opens = [a for a, _ in self.asides]
@@ -214,14 +223,16 @@ class _Line:
     def ends(self) -> Iterator[int]:
         """Ends of the line's sentences but the last, which is the line's."""
         text, end, sentence = self.text, self.end, self.begin
-        gaps = [(m.start(), m.end(), True) for m in _MARKS.finditer(text, self.begin, end)]
-        gaps += [(m.start(), m.end(), False) for m in _THAI_GAP.finditer(text, self.begin, end)]
+        marks = _MARKS if any(text.find(c, self.begin, end) >= 0 for c in _RARE) else self.marks
+        gaps = [(m.start(), m.end(), True) for m in marks.finditer(text, self.begin, end)]
+        if _HAS_THAI.search(text, self.begin, end):
+            gaps = sorted(gaps + [(m.start(), m.end(), False) for m in _THAI_GAP.finditer(text, self.begin, end)])
         done = -1
-        for a, b, mark in sorted(gaps):
+        for a, b, mark in gaps:
             if a < done:
                 continue
             stop = self._mark(a, b, sentence) if mark else self._thai(a, b, sentence)
-            if stop and stop > sentence and any(c.isalnum() for c in text[sentence:stop]):
+            if stop and stop > sentence and _SAID.search(text, sentence, stop):
                 yield stop
                 done = sentence = stop
                 while sentence < end and text[sentence].isspace():
@@ -316,7 +327,8 @@ class _Line:
         if before in _CLOSERS or closed:
             return spaced and not lower or (not spaced and (first.isupper() or _spaceless(first)))
         word, at = _token(text, a, sentence)
-        word = re.split("['’]", word)[-1] or word  # d'env.
+        if "'" in word or "’" in word:  # d'env.
+            word = re.split("['’]", word)[-1] or word
         if not spaced:
             if first.isdigit() or not first.isalpha():
                 return False
@@ -360,13 +372,14 @@ def sentence_ends(text: str | None, lexicon: Lexicon = PLAIN) -> list[int]:
     if not text:
         return out
     at, carried = 0, False
+    marks = _COMMON if _BEYOND.search(text) else _PLAIN
     breaks = [(m.start(), m.end()) for m in _BREAK.finditer(text)] + [(len(text), len(text))]
     for stop, after in breaks:
         end = stop
         while end > at and (text[end - 1].isspace() or text[end - 1] in "\ufeff\u200b"):
             end -= 1
-        if end > at and any(c.isalnum() for c in text[at:end]):
-            line = _Line(text, at, end, lexicon)
+        if end > at and _SAID.search(text, at, end):
+            line = _Line(text, at, end, lexicon, marks)
             out.extend(line.ends())
             if line.begin < end:  # a label alone belongs to the line that follows
                 out.append(end)
