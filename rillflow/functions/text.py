@@ -163,6 +163,13 @@ def bracket_cleanup(c: Column) -> Column:
     return F.trim(F.replace(F.regexp_replace(F.replace(c, F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" ")))
 
 
+def chat(messages: Column, before: str = "<|im_start|>", after: str = "<|im_end|>\n", ask: bool = True) -> Column:
+    """Messages (structs of role and content) as one text: each role and content between marks, and with ``ask`` the opening of the
+    assistant's turn. Null contents are empty; no messages give the opening alone."""
+    said = F.transform(messages, lambda m: F.concat(F.lit(before), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(after)))
+    return F.concat(F.array_join(F.coalesce(said, F.array().cast("array<string>")), ""), F.lit(f"{before}assistant\n" if ask else ""))
+
+
 def placeholder_parts(c: Column) -> Column:
     """A content split at its marks: structs of kind (text, image, video, audio), text and the place among the marks of that kind."""
     parts = F.filter(F.split(c, r"(?=<(?:image|video|audio)>)|(?<=<(?:image|video|audio)>)"), lambda p: p != "")

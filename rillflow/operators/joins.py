@@ -73,6 +73,12 @@ def attach_greedy(candidates: DataFrame, specs: DataFrame, group: str) -> DataFr
     return ordered.mapInPandas(run, f"`{group}` {dict(candidates.dtypes)[group]}, pos long, spec long")
 
 
+def dropped_tokens(drops: DataFrame, sampled: DataFrame, key: str, position: str, token: str, top: str) -> DataFrame:
+    """What was dropped beside what was sampled there: ``drops`` (``key, position``) with the sampled ``token``, and ``rank``, its place from 1
+    among the likeliest tokens ``top`` of that position (0: not among them). Positions without a sample are left out."""
+    return drops.select(key, position).join(sampled, [key, position]).withColumn("rank", F.array_position(top, F.col(token)).cast("int"))
+
+
 def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct keys of ``a`` that ``b`` has too; nulls leak nothing."""
     return a.select(key).where(F.col(key).isNotNull()).distinct().join(b.select(key), key, "left_semi")

@@ -45,3 +45,17 @@ def with_weightless_rows(df: DataFrame, ordinal: str, total: int, divisor: int)
     missing = -total % divisor if total else 0
     extra = df.where(F.col(ordinal) == 0).withColumn(ordinal, F.explode(F.sequence(F.lit(total).cast("long"), F.lit(total + missing - 1).cast("long")))) if missing else df.limit(0)
     return df.withColumn("weight", F.lit(1.0)).unionByName(extra.withColumn("weight", F.lit(0.0)))
+
+
+def pair_rows(df: DataFrame, prompt: str, chosen: str, rejected: str, width: int, pad: int = 0, keep: list[str] = ()) -> DataFrame:
+    """Two rows per pair, its chosen answer before its rejected one: ``side, tokens, attention, answer_mask`` of ``width`` each. Prompt and answer
+    stand one after the other, are cut on the right and padded there; the answer mask is 1 on the answer's tokens. Null arrays are empty."""
+    none = F.array().cast(df.schema[prompt].dataType)
+    p = F.coalesce(F.col(prompt), none)
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.coalesce(F.col(c), none).alias("said")) for side, c in (("chosen", chosen), ("rejected", rejected))])
+    rows = df.select(*keep, p.alias("_p"), F.explode(sides).alias("s")).select(*keep, "_p", "s.*")
+    n, m = F.size("_p"), F.size("said")
+    places = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i)
+    whole = F.slice(F.concat("_p", "said"), 1, width)
+    filled = F.concat(whole, F.array_repeat(F.lit(pad).cast(df.schema[prompt].dataType.elementType), F.lit(width) - F.size(whole)))
+    return rows.select(*keep, "side", filled.alias("tokens"), F.transform(places, lambda i: (i < n + m).cast("int")).alias("attention"), F.transform(places, lambda i: ((i >= n) & (i < n + m)).cast("int")).alias("answer_mask"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators import batches as B
+from rillflow.operators import sequences as Z
 from rillflow.plans.registry import query, table
 
 _E = "e AS (SELECT event_id, ts, user_id, event_type, value, row_number() OVER (ORDER BY event_id) - 1 AS ord, count(*) OVER () AS n FROM events)"
@@ -141,8 +142,14 @@ def rollout_ordinals(spark: SparkSession, d: str) -> DataFrame:
     return B.islands(table(spark, d, "events").select("event_id", "user_id", "event_type"), ["event_id"], "event_type", ["user_id"]).select("event_id", F.col("at").cast("long").alias("rollout"))
 
 
-@query("SELECT event_id, 'chosen' AS side, user_id * 2 AS total FROM events UNION ALL SELECT event_id, 'rejected', user_id * 3 FROM events")
+_PAIR = "e AS (SELECT event_id, list_transform(range(user_id % 5 + 1), lambda i: i + 1) AS p, list_transform(range(event_id % 4), lambda i: 10 + i) AS c, list_transform(range(event_id % 7), lambda i: 20 + i) AS r FROM events), s AS (SELECT event_id, p, 'chosen' AS side, c AS a FROM e UNION ALL SELECT event_id, p, 'rejected', r FROM e), w AS (SELECT *, list_concat(p, a)[1:8] AS x FROM s)"
+
+
+@query(f"WITH {_PAIR} SELECT event_id, side, array_to_string(list_concat(x, list_transform(range(8 - len(x)), lambda i: 0)), ',') AS tokens, len(x)::INT AS attended, list_sum(list_transform(range(8), lambda i: (i >= len(p) AND i < len(p) + len(a))::INT))::INT AS answered FROM w")
 def pair_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Two rows of one pair: the prompt with the chosen and with the rejected answer."""
-    pair = F.array(F.struct(F.lit("chosen").alias("side"), (F.col("user_id") * 2).alias("total")), F.struct(F.lit("rejected").alias("side"), (F.col("user_id") * 3).alias("total")))
-    return table(spark, d, "events").select("event_id", F.explode(pair).alias("p")).select("event_id", "p.*")
+    """Two rows of one pair: the prompt with the chosen and with the rejected answer, cut and padded to eight tokens."""
+    made = lambda n, first: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda i: i < n), lambda i: i + first)
+    e = table(spark, d, "events").select("event_id", made(F.col("user_id") % 5 + 1, 1).alias("p"), made(F.col("event_id") % 4, 10).alias("c"), made(F.col("event_id") % 7, 20).alias("r"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    rows = Z.pair_rows(e, "p", "c", "r", 8, keep=["event_id"])
+    return rows.select("event_id", "side", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"), total("attention").alias("attended"), total("answer_mask").alias("answered"))

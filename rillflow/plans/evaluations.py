@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.operators import evaluation as E
+from rillflow.operators import joins as J
 from rillflow.operators import waves as W
 from rillflow.plans.grouped import _R, rollouts
 from rillflow.plans.registry import query, table
+from rillflow.sources.files import cached_step
+from rillflow.streaming import queues as Q
 
 
 def _best(n: int, worst: bool = False) -> str:
@@ -168,12 +171,39 @@ def drop_replay(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("vec_id").agg(F.count_if("dropped").alias("dropped"))
 
 
-@query("""WITH t AS (SELECT vec_id, unnest(range(64)) AS pos, embedding FROM embeddings), dr AS (SELECT vec_id, pos, round(embedding[pos + 1]::DOUBLE, 6) AS original, pos % 4 + 1 AS rank FROM t WHERE pos % 16 = 5) SELECT vec_id, pos::INT AS pos, original, rank::INT AS rank FROM dr""")
+@query("""WITH t AS (SELECT vec_id, unnest(range(64)) AS pos, embedding AS e FROM embeddings), k AS (SELECT vec_id, pos, round(e[pos + 1]::DOUBLE, 6) AS x, list_reverse_sort(list_transform(e[1:8], lambda v: round(v::DOUBLE, 6)))[1:4] AS top, abs(e[pos + 1]::DOUBLE) > 0.15 AND pos >= 8 AND pos % 5 <> 0 AS hit FROM t),
+ n AS (SELECT *, sum(hit::INT) OVER (PARTITION BY vec_id ORDER BY pos) AS n FROM k) SELECT vec_id, pos::INT AS pos, x AS token, coalesce(list_position(top, x), 0)::INT AS rank FROM n WHERE hit AND n <= 6""")
 def dropped_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Dropped positions with the token's own log probability, and its rank among the likeliest ones."""
-    df = table(spark, d, "embeddings").withColumn("pos", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: i % 16 == 5)))
-    top = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: k)
-    return df.select("vec_id", "pos", F.round(F.element_at("embedding", F.col("pos") + 1).cast("double"), 6).alias("original"), F.array_position(top, F.col("pos") % 4).cast("int").alias("rank"))
+    """Dropped positions with what was sampled there and its rank among the likeliest tokens."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("r"), F.posexplode("embedding").alias("pos", "x"))
+    top = F.slice(F.sort_array(F.slice("r", 1, 8), asc=False), 1, 4)
+    sampled = e.select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("token"), top.alias("top"))
+    drops = W.drop_decisions(e.select("vec_id", "pos", F.abs(F.col("x").cast("double")).alias("p")), "vec_id", "pos", F.col("p"), F.col("pos") % 5, 8, 6, 0.15, [0]).where("dropped")
+    return J.dropped_tokens(drops, sampled, "vec_id", "pos", "token", "top").select("vec_id", "pos", "token", "rank")
+
+
+@query("SELECT event_id // 100 AS step, 'mean' AS metric, round(avg(value), 4) AS value FROM events GROUP BY 1 UNION ALL SELECT event_id // 100, 'rows', count(*) FROM events GROUP BY 1")
+def sunk_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each step of a stream, written in long form by its micro-batches."""
+    stream, path = Q.table_stream(spark, d, "events"), Q.scratch(spark, "metrics")
+    steps = stream.groupBy(F.floor(F.col("event_id") / 100).alias("step")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("rows"))
+    steps.writeStream.outputMode("complete").foreachBatch(Q.metric_sink(f"{path}/out", "step", ["mean", "rows"])).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/out")
+    return last.groupBy("step", "metric").agg(F.round(F.max_by("value", "epoch"), 4).alias("value"))
+
+
+@query("SELECT event_id % 3 AS step, count(*) AS n, 3::BIGINT AS made FROM events GROUP BY 1")
+def cached_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Batches by step, asked for twice and made once."""
+    e, path, made = table(spark, d, "events"), Q.scratch(spark, "steps"), []
+    out = None
+    for step in (0, 1, 2, 0, 1, 2):
+        def make(step: int = step) -> DataFrame:
+            made.append(step)
+            return e.where(F.col("event_id") % 3 == step).select("event_id")
+        batch = cached_step(spark, path, step, make).agg(F.count(F.lit(1)).alias("n")).select(F.lit(step).cast("long").alias("step"), "n")
+        out = batch if out is None else out.unionByName(batch)
+    return out.distinct().withColumn("made", F.lit(len(made)).cast("long"))
 
 
 _COUNTERS = sorted({c for pair in [*E.ALWAYS.values(), *E.RATES.values(), *E.SPREADS.values()] for c in pair})

@@ -223,3 +223,9 @@ def adaptive_kl_arrays(spark: SparkSession, d: str) -> DataFrame:
     """The same where a row holds its steps in order."""
     steps = F.transform("embedding", lambda x: F.struct(F.abs(x.cast("double")).alias("kl"), F.lit(10.0).alias("n")))
     return table(spark, d, "embeddings").select("vec_id", F.round(N.adaptive_coefficient(steps, 0.1, 0.1, 1000.0), 9).alias("coefficient"))
+
+
+@query("SELECT row_id, md5(array_to_string(list_transform(prompt, lambda m: '<|im_start|>' || m.role || chr(10) || coalesce(m.content, '') || '<|im_end|>' || chr(10)), '') || '<|im_start|>assistant' || chr(10)) AS chat FROM corpus_rows")
+def chats_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts as one text by a chat template, by their hash."""
+    return table(spark, d, "corpus_rows").select("row_id", F.md5(X.chat(F.col("prompt"))).alias("chat"))

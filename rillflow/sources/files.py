@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,15 @@ def write_text(df: DataFrame, path: str) -> None:
     fs.delete(hadoop.Path(part), True)
 
 
+def cached_step(spark: SparkSession, path: str, step: int, make: Callable[[], DataFrame]) -> DataFrame:
+    """The batch of a step as it was written before, or made, written and read back: a run that is repeated generates nothing twice."""
+    folder = f"{path}/step={step}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def append_missing(df: DataFrame, path: str, key: str) -> int:
     """Write only entities that ``path`` doesn't have yet, a folder each; a run that is repeated resumes. Returns rows written."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,6 +203,16 @@ def feed(df: DataFrame, ordinal: str, epochs: int, start: int = 0) -> DataFrame:
     return each.withColumn("ordinal", F.col(ordinal) + F.col("epoch") * F.col("_n")).where(F.col("ordinal") >= start).drop("_n")
 
 
+def metric_sink(path: str, step: str, names: list[str]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: metrics in long form (``step, metric, value, epoch``), a folder per micro-batch that a repeated one replaces."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        each = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        batch.select(F.col(step).cast("long").alias("step"), F.explode(each).alias("m")).select("step", "m.*").where("value is not null").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
 def run_to_files(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Run a stream over what is there now into Parquet files, and wait for its end."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
