@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions.numeric import round_exact
+
 
 def split_long(shots: Column, most: float) -> Column:
     """Shots longer than ``most`` in floor(length / most) + 1 equal parts with bounds of two decimals."""
     def parts(s: Column) -> Column:
         n = F.when(s["end"] - s["start"] > most, F.floor((s["end"] - s["start"]) / most) + 1).otherwise(1).cast("int")
-        bound = lambda k: F.when(k == 0, s["start"]).when(k == n, s["end"]).otherwise(F.round(s["start"] + (s["end"] - s["start"]) * k / n, 2))
+        bound = lambda k: F.when(k == 0, s["start"]).when(k == n, s["end"]).otherwise(round_exact(s["start"] + (s["end"] - s["start"]) * k / n))
         return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(bound(k - 1).alias("start"), bound(k).alias("end")))
     return F.flatten(F.transform(shots, parts))
 

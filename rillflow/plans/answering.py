@@ -117,7 +117,10 @@ def weightless_padding(spark: SparkSession, d: str) -> DataFrame:
     return Z.with_weightless_rows(e, "ord", table(spark, d, "events").count(), 64).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("weight").alias("weight"))
 
 
-@query()
+@query("""WITH k AS (SELECT row_id, extra_info.video_id AS video, list_sort(list_distinct(extra_info.hop_types)) AS h FROM corpus_rows WHERE extra_info.video_id IS NOT NULL AND len(extra_info.hop_types) > 0),
+ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, h ORDER BY row_id) AS n FROM k) WHERE n <= 3), c AS (SELECT a.video, a.row_id AS i, b.row_id AS j, len(list_intersect(a.h, b.h)) AS o FROM f a JOIN f b ON a.video = b.video AND a.row_id < b.row_id),
+ t AS (SELECT x.video, x.o + y.o + z.o AS overlap, x.i, x.j, y.j AS k FROM c x JOIN c y ON y.video = x.video AND y.i = x.j JOIN c z ON z.video = x.video AND z.i = x.i AND z.j = y.j)
+ SELECT video, overlap::INT AS overlap, i || ',' || j || ',' || k AS row_ids FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY overlap, i, j, k) AS n FROM t) WHERE n = 1""")
 def diverse_triples(spark: SparkSession, d: str) -> DataFrame:
     """The three questions of a video that share the fewest kinds of hop, smallest ids at a tie."""
     rows = table(spark, d, "corpus_rows").select("row_id", F.col("extra_info.video_id").alias("video"), F.col("extra_info.hop_types").alias("hop_types")).where("video is not null and size(hop_types) > 0")
@@ -127,7 +130,7 @@ def diverse_triples(spark: SparkSession, d: str) -> DataFrame:
         best = min(((sum(len(kinds[a] & kinds[b]) for a, b in itertools.combinations(ids, 2)), ids) for ids in itertools.combinations(sorted(kinds), 3)), default=None)
         return pd.DataFrame([] if best is None else [(part["video"].iat[0], best[0], list(best[1]))], columns=["video", "overlap", "row_ids"])
 
-    return smallest_of_kinds(rows, "video", "row_id", "hop_types", 3).groupBy("video").applyInPandas(run, "video string, overlap int, row_ids array<long>")
+    return smallest_of_kinds(rows, "video", "row_id", "hop_types", 3).groupBy("video").applyInPandas(run, "video string, overlap int, row_ids array<long>").withColumn("row_ids", F.array_join(F.col("row_ids").cast("array<string>"), ","))
 
 
 @query("SELECT count(*) + 1 AS lines, 1::BIGINT AS unreadable, count(*) FILTER (extra_info.question_id IS NULL OR trim(extra_info.question_id) IN ('', 'None')) AS without_id FROM corpus_rows")

@@ -209,7 +209,17 @@ def shot_pieces(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(F.size("shots") > 0).select("video_id", "at_ms", F.size(split_long(F.col("shots"), 4.0)).cast("long").alias("pieces"))
 
 
-@query()
+#: Two decimals by the exact value of a double, a tie to the even one.
+_LEFT = "({x} * 100 - floor({x} * 100)) + ((({x} * 134217729 - ({x} * 134217729 - {x})) * 100 - {x} * 100) + ({x} - ({x} * 134217729 - ({x} * 134217729 - {x}))) * 100)"
+_EXACT = "(floor({x} * 100) + CASE WHEN " + _LEFT + " > 0.5 OR " + _LEFT + " = 0.5 AND floor({x} * 100) % 2 = 1 THEN 1 ELSE 0 END) / 100"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, video_id, epoch_ms(captioned_at) AS at_ms, timeline FROM caption_docs), k AS (SELECT id, generate_subscripts(timeline, 1) AS i, unnest(timeline) AS s FROM d),
+ n AS (SELECT id, i, s.start AS a, s."end" AS b, CASE WHEN s."end" - s.start > 4 THEN floor((s."end" - s.start) / 4) + 1 ELSE 1 END::INT AS n FROM k WHERE s."end" > s.start), q AS (SELECT *, unnest(range(n)) AS j FROM n),
+ o AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, j) AS p, {{'a': CASE WHEN j = 0 THEN a ELSE {_EXACT.format(x='(a + (b - a) * j / n)')} END, 'b': CASE WHEN j + 1 = n THEN b ELSE {_EXACT.format(x='(a + (b - a) * (j + 1) / n)')} END}} AS x FROM q),
+ r(id, p, x) AS (SELECT id, p, [x] FROM o WHERE p = 1 UNION ALL SELECT r.id, o.p, CASE WHEN r.x[-1].b - r.x[-1].a < 2 THEN list_concat(r.x[:-2], [{{'a': r.x[-1].a, 'b': o.x.b}}]) ELSE list_append(r.x, o.x) END FROM r JOIN o ON o.id = r.id AND o.p = r.p + 1),
+ e AS (SELECT id, arg_max(x, p) AS x FROM r GROUP BY id), f AS (SELECT id, unnest(CASE WHEN len(x) > 1 AND x[-1].b - x[-1].a < 2 THEN list_concat(x[:-3], [{{'a': x[-2].a, 'b': x[-1].b}}]) ELSE x END) AS s FROM e)
+ SELECT video_id, at_ms, round(s.a, 2) AS start, round(s.b, 2) AS "end" FROM f JOIN d USING (id)""")
 def merged_shots(spark: SparkSession, d: str) -> DataFrame:
     """Shots of two to four seconds where the timeline allows it."""
     docs = table(spark, d, "caption_docs").select("video_id", F.unix_millis("captioned_at").alias("at_ms"), F.filter(F.transform("timeline", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), lambda s: s["end"] > s["start"]).alias("shots"))
@@ -217,7 +227,10 @@ def merged_shots(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("video_id", "at_ms", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber AS spec_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+ r(l_orderkey, pos, free, pick) AS (SELECT l_orderkey, 0::BIGINT, list(pos + 1), NULL::BIGINT FROM l GROUP BY l_orderkey UNION ALL SELECT l.l_orderkey, l.pos, list_filter(r.free, lambda f: f IS DISTINCT FROM p.pick), p.pick FROM r JOIN l ON l.l_orderkey = r.l_orderkey AND l.pos = r.pos + 1,
+  LATERAL (SELECT CASE WHEN list_contains(r.free, l.spec_id) THEN l.spec_id WHEN list_contains(r.free, l.pos + 1) THEN l.pos + 1 END::BIGINT AS pick) p)
+ SELECT l_orderkey, pos, pick AS spec FROM r WHERE pick IS NOT NULL""")
 def attached_specs(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order attached to its specifications (made from the line numbers), by id, else by place."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
