@@ -141,9 +141,11 @@ def islands(df: DataFrame, order: list[str], label: str, by: list[str] = ()) ->
     inside = Window.partitionBy(*by, "_part").orderBy(*order)
     own = F.struct(F.col(label).alias("l"))
     before = F.coalesce(F.lag(own).over(inside), F.col("_prev"))
-    marked = attach_small(rows, ends, [*by, "_part"]).withColumn("_b", before)
+    marked = attach_small(rows, ends, [*by, "_part"], null_safe=True).withColumn("_b", before)
     marked = marked.withColumn("_d", F.when(F.col("_b").isNull(), 0).otherwise((~F.col("_b.l").eqNullSafe(F.col(label))).cast("int"))).drop("_b", "_prev")
     out = running(marked, by, order, F.col("_d"), "run", is_parted=True).withColumn("run", F.col("run") + F.col("_d"))
     out = running(out, by, order, F.lit(1), "_ord", is_parted=True)
-    first = out.groupBy(*by, "run").agg(F.min("_ord").alias("_first"))
-    return out.join(first, [*by, "run"]).withColumn("at", F.col("_ord") - F.col("_first")).drop("_d", "_part", "_ord", "_first")
+    keys = [*by, "run"]
+    first = out.groupBy(*keys).agg(F.min("_ord").alias("_first")).withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    joined = out.join(first, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return joined.withColumn("at", F.col("_ord") - F.col("_first")).drop("_d", "_part", "_ord", "_first", *[f"_k_{c}" for c in keys])

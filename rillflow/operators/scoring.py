@@ -76,7 +76,7 @@ def match_normal_list(answer: pd.Series, golds: pd.Series) -> pd.Series:
     return pd.Series([bool(m := fold(a)) and any(m == fold(g) for g in (gs if gs is not None else ())) for a, gs in zip(answer, golds)], dtype=bool)
 
 
-for _name in ("string_match", "counting", "search"):
+for _name in ("string_match", "string", "counting", "search"):
     register(_name)(string_match)
 register("list_string_match")(list_match)
 register("multiple_choice")(lambda a, g: F.coalesce((X.choice_letter(a) == F.upper(F.trim(g))).cast("double"), F.lit(0.0)))

@@ -36,14 +36,20 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
-def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int | None = None, limit: int = BROADCAST_ROWS, null_safe: bool = False) -> DataFrame:
     """Join a narrow table to a large one without moving the large one when the narrow one is proven small.
 
     The narrow side is counted (pass ``rows`` where the count is known). Up to ``limit`` rows it is broadcast; beyond, the join
-    is a shuffled one that adaptive execution may split. ``small`` should be a checkpointed table, as it is read twice.
+    is a shuffled one that adaptive execution may split. ``small`` should be a checkpointed table, as it is read twice. With
+    ``null_safe`` a null key meets a null key.
     """
     n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= limit else small.hint("merge"), on, how)
+    keys: list = on
+    if null_safe:
+        small = small.withColumnsRenamed({c: f"__on_{c}" for c in on})
+        keys = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    out = big.join(F.broadcast(small) if n <= limit else small.hint("merge"), keys, how)
+    return out.drop(*[f"__on_{c}" for c in on]) if null_safe else out
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt: Column, how: str = "left", salts: int = 16) -> DataFrame:
@@ -85,7 +91,7 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = cut(sums.withColumn("__start", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s"))
     inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = attach_small(rows.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0))), starts, [*by, "_part"])
+    out = attach_small(rows.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0))), starts, [*by, "_part"], null_safe=True)
     return out.withColumn(name, F.col("__start") + F.col("__in")).drop("__v", "__in", "__start", *([] if is_parted else ["_part"]))
 
 
@@ -99,5 +105,5 @@ def previous(df: DataFrame, by: list[str], order: list[str], value: str, name: s
     earlier = Window.partitionBy(*by).orderBy("_part")  # a row per range
     carried = cut(last.withColumn("_carried", F.lag("_last").over(earlier)).drop("_last"))
     own = F.lag(F.struct(F.col(value).alias("v"))).over(inside)
-    both = attach_small(rows.withColumn("_own", own), carried, [*by, "_part"])
+    both = attach_small(rows.withColumn("_own", own), carried, [*by, "_part"], null_safe=True)
     return both.withColumn(name, F.coalesce("_own", "_carried")["v"]).drop("_own", "_carried", "_part")

@@ -127,8 +127,10 @@ def test_majority_and_exact_best(spark):
 
 def test_reducer_names(spark):
     names = ["a/max", "b/min", "minibatch/loss", "x/maximum", "len/max_tokens"]
-    got = {r["n"]: r["r"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", E.reducer_of(F.col("n")).alias("r")).collect()}
+    got = {r["n"]: r["r"] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", E.reducer_of(F.col("n"), whole_words=True).alias("r")).collect()}
     assert got == {"a/max": "max", "b/min": "min", "minibatch/loss": "mean", "x/maximum": "mean", "len/max_tokens": "max"}
+    any_part = {r["n"]: r["r"] for r in spark.createDataFrame([(n,) for n in [*names, "acc"]], "n string").select("n", E.reducer_of(F.col("n")).alias("r")).collect()}
+    assert any_part == {"a/max": "max", "b/min": "min", "minibatch/loss": "min", "x/maximum": "max", "len/max_tokens": "max", "acc": "mean"}
 
 
 def test_gates_and_unique_join(spark):
@@ -145,3 +147,46 @@ def test_attach_greedy(spark):
     s = spark.createDataFrame([("v", 1, 1), ("v", 2, 2), ("v", 3, 3)], "video string, place int, spec int")
     got = sorted(tuple(r)[1:] for r in J.attach_greedy(c, s, "video").collect())
     assert got == [(1, 2), (3, 3)]
+
+
+def test_whitening_with_a_large_mean(spark):
+    from rillflow.operators.groups import whiten_rows
+
+    values = [1e8 + x for x in (0.0, 1.0, 2.0, 3.0)]
+    got = [r["w"] for r in whiten_rows(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double"), "x", "w").orderBy("i").collect()]
+    mean = sum(values) / (4 + 1e-8)
+    spread = sum((v - mean) ** 2 for v in values) / (4 + 1e-8) * 4 / 3
+    assert got == pytest.approx([(v - mean) / (spread + 1e-8) ** 0.5 for v in values], rel=1e-6)
+
+
+def test_percentiles_of_hot_keys_and_none(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 5 < 4, "hot").when(F.col("id") % 5 == 4, F.lit(None)).alias("k"), F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 101).cast("double")).alias("x"))
+    import numpy as np
+
+    rows = df.collect()
+    for k in ("hot", None):
+        values = [r["x"] for r in rows if r["k"] == k and r["x"] is not None]
+        got = next(r for r in E.percentiles(df, ["k"], "x").collect() if r["k"] == k)
+        assert [got["tp50"], got["tp95"], got["tp99"], got["least"], got["greatest"]] == pytest.approx([*np.percentile(values, [50, 95, 99]), min(values), max(values)])
+    everything = E.percentiles(df, [], "x", {"p10": 0.1}).first()
+    assert everything["p10"] == pytest.approx(np.percentile([r["x"] for r in rows if r["x"] is not None], 10))
+    assert E.percentiles(df.limit(0), ["k"], "x").count() == 0
+
+
+def test_previous_rows_over_ranges(spark):
+    from rillflow.scale import previous
+
+    df = spark.range(300).select((F.col("id") * 7 % 300).alias("at"), F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id")).alias("v")).repartition(7)
+    rows = {r["at"]: r for r in previous(df, [], ["at"], "v", "p").collect()}
+    assert rows[0]["p"] is None and all(rows[i]["p"] == rows[i - 1]["v"] for i in range(1, 300))
+
+
+def test_empty_batches_are_packed(spark):
+    from rillflow.operators import packing as P
+
+    df = spark.createDataFrame([(b, o, float(o * b % 5)) for b in range(40) for o in range(b % 7 + 1)] + [(None, 0, 1.0)], "b int, o long, w double")
+    placed = P.balance(df, "b", "o", "w", 3)
+    assert placed.count() == df.count() - 1 and placed.groupBy("b").agg((F.countDistinct("at") == F.count("*")).alias("ok")).where("not ok").count() == 0
+    back = P.restored(placed.select("b", "at", F.col("o").alias("place"), "w"), "b", "place")
+    assert back.where("pos <> place").count() == 0
+    assert P.balance(df.limit(0), "b", "o", "w", 3).count() == 0 and P.micro_batched(df.limit(0), "b", "o", "o", 9).count() == 0
