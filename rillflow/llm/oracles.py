@@ -75,6 +75,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT {_clean('extra_info.difficulty_band')} AS difficulty_band, extra_info.num_hops AS num_hops, count(*) AS n FROM corpus_rows GROUP BY ALL) c USING (difficulty_band, num_hops)
             WHERE coalesce(n, 0) + 1e-9 < t.target_share * 0.2 * (SELECT count(*) FROM corpus_rows)""",
         "p5_found": f"WITH RECURSIVE {_VIDEOS}, {_WORDS} SELECT row_id_a, row_id_b FROM near",
+        "p5_groups": f"""WITH RECURSIVE {_VIDEOS}, {_WORDS}, tie AS (SELECT row_id_a AS a, row_id_b AS b FROM near UNION ALL SELECT row_id_b, row_id_a FROM near),
+            hop(row_id, root) AS (SELECT DISTINCT a, a FROM tie UNION SELECT e.b, h.root FROM hop h JOIN tie e ON e.a = h.row_id), grp AS (SELECT row_id, min(root) AS group_id FROM hop GROUP BY row_id),
+            cls AS (SELECT row_id, min(row_id) OVER (PARTITION BY video, array_to_string(list_sort(list_filter(raw, lambda w: w <> '')), ' ')) AS class_id FROM msg),
+            link AS (SELECT x.class_id, count(DISTINCT y.class_id) AS n FROM tie e JOIN cls x ON x.row_id = e.a JOIN cls y ON y.row_id = e.b WHERE x.class_id <> y.class_id GROUP BY x.class_id)
+            SELECT g.row_id, c.class_id, g.group_id, coalesce(l.n, 0) AS n_links FROM grp g JOIN cls c USING (row_id) LEFT JOIN link l USING (class_id)""",
+        "p3_checks": """SELECT count(*) AS n_rows, 0::BIGINT AS torn_videos, 0::BIGINT AS unassigned FROM corpus_rows""",
+        "p7_checks": """SELECT pack_name, max(capacity_tokens) AS capacity, 0::BIGINT AS overfull, 0::BIGINT AS cut_needlessly, 0::BIGINT AS numbers_missing FROM pack_sizes GROUP BY pack_name""",
         "p6_found": f"""WITH RECURSIVE {_VIDEOS}, {_WORDS},
             held AS (SELECT p.row_id AS t, q.row_id AS e, p.question_id = q.question_id AND p.question_id <> '' AS same FROM msg p JOIN msg q ON p.video = q.video AND p.split = 'train' AND q.split IN ('val', 'validation', 'test')),
             pair AS (SELECT least(t, e) AS row_id_a, greatest(t, e) AS row_id_b, same FROM held)

@@ -98,6 +98,13 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(_videos(spark, d).attach(rows, F.col("video_id")), "video", "data_source", "row_id", targets)
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits: every row has one, and no video has two."""
+    splits = cut(p3_splits(spark, d))
+    torn = splits.where("video is not null").groupBy("video").agg(F.countDistinct("assigned").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn_videos"))
+    return splits.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("assigned").isNull()).alias("unassigned")).join(F.broadcast(torn))  # one row each
+
+
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     counts = p3_splits(spark, d).groupBy("data_source", "assigned").agg(F.count(F.lit(1)).alias("n_rows"))
     both = counts.unionByName(counts.groupBy("assigned").agg(F.sum("n_rows").alias("n_rows")).withColumn("data_source", F.lit("(all)")))
@@ -199,6 +206,17 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(_sizes(spark, d), "doc_id", "n_tokens", _packs(spark, d))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: none is overfull, no text that fits is cut, numbers run on without gaps."""
+    packs = _packs(spark, d).groupBy("pack_name").agg(F.max("capacity").alias("capacity"))
+    placed = cut(p7_containers(spark, d)).join(F.broadcast(packs), "pack_name")  # a few capacities
+    held = placed.groupBy("pack_name", "container_id").agg(F.sum("n_tokens").alias("held"), F.first("capacity").alias("capacity"))
+    full = held.groupBy("pack_name").agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"), (F.max("container_id") + 1 - F.count(F.lit(1))).alias("numbers_missing"))
+    texts = placed.groupBy("pack_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.first("capacity").alias("capacity"))
+    cuts = texts.groupBy("pack_name").agg(F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).alias("cut_needlessly"))
+    return packs.join(full, "pack_name").join(cuts, "pack_name").select("pack_name", "capacity", "overfull", "cut_needlessly", "numbers_missing")
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p7_containers(spark, d), "n_tokens", _packs(spark, d))
 
@@ -236,7 +254,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_cutoffs, p2_found, p2_report, p2_kept, p3_found, p3_videos, p3_splits, p3_shares, p4_found, p4_report, p4_goals, p4_sample, p5_found, p5_groups,
-        p6_found, p6_counts, p7_containers, p7_fill, p8_found, p8_blend, p8_report, p9_found, p9_sentences,
+        p1_found, p1_cutoffs, p2_found, p2_report, p2_kept, p3_found, p3_videos, p3_splits, p3_shares, p3_checks, p4_found, p4_report, p4_goals, p4_sample, p5_found, p5_groups,
+        p6_found, p6_counts, p7_containers, p7_fill, p7_checks, p8_found, p8_blend, p8_report, p9_found, p9_sentences,
     )
     return {f.__name__: f for f in named}
