@@ -29,8 +29,8 @@ from rillflow.scale import attach_small, cut
 
 #: Rows up to which a video is searched in one task.
 LOCAL = 4096
-#: Rows that a task holds of a larger video, rows for each bundle of chunks below that, and tasks of all bundles.
-BLOCK, BUNDLE_ROWS, MOST_TASKS = 500_000, 8192, 4000
+#: Rows that a task holds of a larger video, root of the rows for each bundle of chunks below that, and tasks of all bundles.
+BLOCK, BUNDLE_ROOT, MOST_TASKS = 600_000, 60, 4000
 #: Chance to miss a pair whose similarity is the limit; pairs above it are missed far more seldom.
 MISS = 1e-5
 #: Bits of a minwise symbol.
@@ -64,8 +64,8 @@ def shards(n: int) -> int:
 
 
 def bundles(n: int, chunks: int) -> int:
-    """Tasks that share the chunks of a video whose rows one task can hold."""
-    return min(chunks, -(-n // BUNDLE_ROWS))
+    """Tasks that share the chunks of a video whose rows one task can hold. Each of them gets all rows, so they grow with the root only."""
+    return min(chunks, math.ceil(math.sqrt(n) / BUNDLE_ROOT))
 
 
 def lanes(size: np.ndarray) -> np.ndarray:
