@@ -134,7 +134,7 @@ def counter_deltas(df: DataFrame, worker: str, step: str, at: str, counter: str)
     return previous(sums, [], [step], "total", "_before").withColumn("delta", F.when(d < 0, F.col("total")).otherwise(d)).drop("_before")
 
 
-#: Rates of a sampler that drops tokens: what is divided by what. Those of ``ALWAYS`` are 0 where nothing happened, others are left out.
+#: Rates of a sampler that drops tokens: what is divided by what (fixed values). Those of ``ALWAYS`` are 0 where nothing happened, others are left out.
 ALWAYS = {
     "lp_trigger_rate": ("triggered", "active_positions"), "lp_perturb_rate": ("perturbed", "triggered"), "lp_perturb_per_seq_mean": ("perturb_count_sum", "finished_seqs"), "lp_cap_hit_rate": ("cap_hit_seqs", "finished_seqs"),
     "lp_skipped_outside_think": ("skipped_outside_think", "active_positions"), "lp_skipped_min_pos": ("skipped_min_pos", "active_positions"), "lp_active_seq_mean": ("active_seq_count_sum", "active_seq_count_steps"),
